@@ -209,7 +209,10 @@ def redact(docs: DataFrame, model=None) -> DataFrame:
 
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     clean = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn("text", F.when(text.isNotNull() & (F.size("spans") > 0), clean).otherwise(text)).drop("_text", "spans")
+    out = found.withColumn("text", F.when(text.isNotNull() & (F.size("spans") > 0), clean).otherwise(text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(text.isNotNull() & (F.size("spans") > 0), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def digest(docs: DataFrame, model=None) -> DataFrame:

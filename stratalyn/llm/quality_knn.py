@@ -89,6 +89,15 @@ class Model:
         return np.clip(np.where(empty, self.labels.mean(), found), 0.0, 1.0)
 
 
+def _leading(x: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` leading right singular vectors, by seeded subspace iteration."""
+    q = np.random.default_rng(0).standard_normal((x.shape[1], k + 16))
+    for _ in range(6):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
+    return np.ascontiguousarray((q @ vt.T)[:, :k])
+
+
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
     """Learn from at most ``bound`` labelled documents; their counts, not their texts, reach the driver."""
     able = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -107,8 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
     x = damped(raw)
     weights = np.log((1 + len(x)) / (1 + (raw > 0).sum(axis=0))) + 1
     x = x * weights
-    _, axes = np.linalg.eigh(x.T @ x)
-    axes = np.ascontiguousarray(axes[:, ::-1][:, :DIMS])
+    axes = _leading(x, DIMS)
     v = x @ axes
     return Model(weights, axes, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), np.array([float(r.label) for r in rows]))
 

@@ -30,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalyn.llm.common import cut
@@ -224,3 +224,20 @@ def near_duplicates(docs: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
     named = linked.join(least, "root").select("fp", "component")
     known = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
     return each.join(known, "fp", "left").select(*key, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: one for each component, that with the smallest doc_id.
+
+    Of equal doc_ids one row stays, and of a component without doc_ids one row. Only ids, hashes and fingerprints are
+    grouped; texts are shuffled once, to meet their verdict.
+    """
+    mark = F.xxhash64("text")
+    found = near_duplicates(docs.withColumn("_mark", mark), ["doc_id", "_mark"])
+    # within a component one (doc_id, mark) is chosen; its minimum is aggregated before the shuffle
+    group = F.when(F.col("component_id").isNull(), F.col("fp"))
+    best = found.groupBy("component_id", group.alias("_fp")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_mark")).alias("k")).select("k.doc_id", "k._mark").distinct()
+    mine, theirs = docs.withColumn("_mark", mark).alias("d"), best.alias("b")
+    both = mine.join(theirs, F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d._mark") == F.col("b._mark"))).select("d.*")
+    first = F.row_number().over(Window.partitionBy("doc_id", "_mark").orderBy(F.lit(0)))
+    return both.withColumn("_n", first).where("_n = 1").select(*docs.columns)

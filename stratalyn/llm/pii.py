@@ -33,7 +33,7 @@ BASE = {
     "card": (r"[0-9](?:[\x20-]?+[0-9])++", ""),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"  # of one or more digits; leading zeros do not count
 #: kind: a generator of candidates. Every generator over-matches; the trees decide.
 GENERATORS = {
     "phone": r"(?<![0-9A-Za-z.+])\(?[0-9]{2,4}\)?[\x20.-][0-9(][\x20().0-9-]{4,20}[0-9](?![0-9])",

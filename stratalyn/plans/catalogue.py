@@ -17,6 +17,7 @@ from stratalyn.operators import evaluation as ev
 from stratalyn.operators import frames as fr
 from stratalyn.operators import intervals as iv
 from stratalyn.operators import routing as rt
+from stratalyn.operators import tagging as tg
 from stratalyn.operators import vectors as vx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,11 +250,8 @@ def recording_profile(spark, d):
 SELECT rec, CASE WHEN dyn < 12 THEN 4.0 WHEN dyn < 18 THEN 3.5 WHEN dyn < 25 THEN 5.0 ELSE 8.0 END::DOUBLE AS threshold_db, CASE WHEN dyn < 12 THEN 0.25 WHEN dyn < 18 THEN 0.40 ELSE 0.55 END::DOUBLE AS min_quality,
        CASE WHEN ton < 0.10 THEN 0.05 WHEN ton < 0.20 THEN 0.10 ELSE 0.20 END::DOUBLE AS tonality_floor, CASE WHEN dyn < 12 THEN 'exploratory' ELSE 'balanced' END AS mode FROM p""")
 def adaptive_params(spark, d):
-    p, dyn, ton = profile(spark, d), F.col("dyn"), F.col("ton")
-    return p.select(
-        "rec", F.when(dyn < 12, 4.0).when(dyn < 18, 3.5).when(dyn < 25, 5.0).otherwise(8.0).alias("threshold_db"), F.when(dyn < 12, 0.25).when(dyn < 18, 0.40).otherwise(0.55).alias("min_quality"),
-        F.when(ton < 0.10, 0.05).when(ton < 0.20, 0.10).otherwise(0.20).alias("tonality_floor"), F.when(dyn < 12, "exploratory").otherwise("balanced").alias("mode"),
-    )
+    p = profile(spark, d).withColumn("regime", sc.regime(F.col("density"), F.col("stat"), F.col("density"), F.col("active"), F.col("dyn")))
+    return tg.adaptive(p, "dyn", "ton", "regime").select("rec", "threshold_db", "min_quality", "tonality_floor", F.col("noise_mode").alias("mode"))
 
 
 # ---- scores and routing -------------------------------------------------------------------------------------------
@@ -639,6 +637,38 @@ def graph_components(spark, d):
     return vx.propagate(vx.nearest(e, e, "vec_id", "embedding", 1)).select("node", "label")
 
 
+@query(f"""WITH {CEN}, f AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings), c AS (SELECT f.label, i, avg(x) AS c FROM u JOIN f ON f.vec_id = u.vec_id AND f.r <= 4 GROUP BY f.label, i), n AS (SELECT label, sqrt(sum(c * c)) + 1e-9 AS n FROM c GROUP BY label),
+p AS (SELECT vec_id, i, x, sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS pn FROM u WHERE vec_id % 50 = 1), s AS (SELECT c.label, 'p' || p.vec_id AS prompt, round(sum(c.c / n.n * p.x) / max(p.pn), 7) AS sim FROM c JOIN n USING (label) JOIN p USING (i) GROUP BY c.label, p.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, prompt DESC) AS r FROM s) SELECT label, prompt, round(sim, 5) AS similarity FROM k WHERE r = 1""".replace("n AS (SELECT label, sqrt(sum(c * c)) + 1e-9 AS n FROM m GROUP BY label), cen AS (SELECT label, i, c / n AS c FROM m JOIN n USING (label)), f", "f"))
+def zero_shot_captions(spark, d):
+    e = vectors(spark, d)
+    prompts = e.where("vec_id % 50 = 1").select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("prompt"), "embedding")
+    return tg.caption(e, prompts, ["label"], "embedding", "vec_id").select("label", "prompt", rnd("similarity", 5).alias("similarity"))
+
+
+CLASSES = {"signup": "Bird song", "error": "Wind", "click": "Insect", "view": "Frog call", "purchase": "Engine"}
+
+
+@query(f"""WITH {DET}, n AS (SELECT rec, CASE event_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in CLASSES.items())} END AS name, avg(flat) AS score FROM det GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY score DESC, name) AS k FROM n),
+t AS (SELECT rec, max(CASE WHEN k <= 3 AND contains(name, 'Insect') THEN 1 ELSE 0 END) AS i, max(CASE WHEN k <= 3 AND contains(name, 'Bird') THEN 1 ELSE 0 END) AS b, max(CASE WHEN k <= 3 AND contains(name, 'Frog') THEN 1 ELSE 0 END) AS f, max(CASE WHEN k <= 3 AND contains(name, 'Wind') THEN 1 ELSE 0 END) AS w, string_agg(name, ',' ORDER BY k) FILTER (WHERE k <= 3) AS top,
+  coalesce(max(score) FILTER (WHERE name IN ('Bird song', 'Insect', 'Frog call')), 0) AS bio, coalesce(max(score) FILTER (WHERE name IN ('Wind', 'Engine')), 0) AS noise FROM r GROUP BY rec)
+SELECT rec, top, round(bio, 6) AS bio_score, round(noise, 6) AS noise_score, CASE WHEN i = 1 THEN 'insect' WHEN b = 1 THEN 'bird' WHEN f = 1 THEN 'frog' WHEN w = 1 THEN 'wind' WHEN bio > noise THEN 'biological' ELSE 'noise' END AS hint FROM t""")
+def semantic_tags(spark, d):
+    name = F.coalesce(*[F.when(F.col("event_type") == a, b) for a, b in CLASSES.items()])
+    one = detections(spark, d).select("rec", F.array(F.struct(name.alias("name"), F.col("flat").alias("score"))).alias("scores"))
+    top = tg.window_tags(tg.top_classes(one, ["rec"], "scores", 5), "top")
+    return top.select("rec", F.array_join(F.transform(F.slice("top", 1, 3), lambda x: x["name"]), ",").alias("top"), rnd("bio_score").alias("bio_score"), rnd("noise_score").alias("noise_score"), tg.hint(F.col("top"), F.col("bio_score"), F.col("noise_score")).alias("hint"))
+
+
+@query(f"WITH {KNN} SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(sum(least(greatest(sim, 0), 2)), 5) AS weight FROM k WHERE r <= 5 GROUP BY 1, 2")
+def edge_weights(spark, d):
+    e = vectors(spark, d)
+    w = sc.weight(1 - F.col("similarity"))
+    near = vx.nearest(e, e, "vec_id", "embedding", 5)
+    return near.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(rnd(F.sum(w), 5).alias("weight"))
+
+
 # ---- windows, times, strings --------------------------------------------------------------------------------------
 
 

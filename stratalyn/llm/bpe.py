@@ -254,7 +254,8 @@ def read_vocabulary(path: str) -> str:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``ids``, an array of token ids."""
+    """``docs`` with ``ids``, an array of token ids (a column of that name is replaced)."""
+    docs = docs.drop("ids")
     shared, keep = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path)), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +269,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with ``decoded``, the text of its ``ids``."""
+    """``encoded`` with ``decoded``, the text of its ``ids`` (a column of that name is replaced)."""
+    encoded = encoded.drop("decoded")
     shared, keep = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(path)), encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

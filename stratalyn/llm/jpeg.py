@@ -454,7 +454,11 @@ def features(rgb: np.ndarray) -> str:
 
 
 def decode(media: DataFrame, column: str = "content") -> DataFrame:
-    """``media`` with height, width, ``rgb`` (the tensor's bytes) and ``error`` (null if the file was read)."""
+    """``media`` with height, width, ``rgb`` (the tensor's bytes) and ``error`` (null if the file was read).
+
+    Columns that already have these names are replaced.
+    """
+    media = media.drop("height", "width", "rgb", "error")
     keep = media.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

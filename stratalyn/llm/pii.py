@@ -179,27 +179,30 @@ def train(spark: SparkSession, n: int = EXAMPLES, seed: int = 7) -> tuple[boosti
     return _fit(spark, n, seed)
 
 
-def find_pii(docs: DataFrame, model=None) -> DataFrame:
-    """Adds ``base`` and ``spans``: arrays of (kind, start, end) in code points, by kind, then start, then end."""
+def find_pii(docs: DataFrame, model=None, base: str = "base", spans: str = "spans") -> DataFrame:
+    """Adds ``base`` and ``spans``: arrays of (kind, start, end) in code points, by kind, then start, then end.
+
+    Columns that already have these names are replaced.
+    """
     trees, cut = model or train(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     score = lambda c: trees.expression([F.get(c["f"], F.lit(i)) for i in range(21)])
     limit = F.create_map(*[F.lit(x) for k, v in cut.items() for x in (k, v)])
 
-    def select(base: Column, found: Column) -> Column:
-        free = F.filter(found, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
+    def select(sure: Column, found: Column) -> Column:
+        free = F.filter(found, lambda c: ~F.exists(sure, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
         chosen = F.filter(free, lambda c: score(c) >= F.element_at(limit, c["kind"]))
-        ranked = F.transform(F.concat(base, F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))), lambda s: F.struct(F.element_at(rank, s["kind"]).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+        ranked = F.transform(F.concat(sure, F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))), lambda s: F.struct(F.element_at(rank, s["kind"]).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
         return F.transform(F.array_sort(F.array_distinct(ranked)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
-    found = docs.withColumn("base", base_spans(text))
-    return found.withColumn("spans", F.when(text.rlike("[0-9]|[(\\[{]at[)\\]}]|\\x20dot\\x20"), let(candidates(text), lambda c: select(F.col("base"), c))).otherwise(F.col("base")))
+    found = docs.withColumn(base, base_spans(text))
+    return found.withColumn(spans, F.when(text.rlike("[0-9]|[(\\[{]at[)\\]}]|\\x20dot\\x20"), let(candidates(text), lambda c: select(F.col(base), c))).otherwise(F.col(base)))
 
 
 def redact(docs: DataFrame, model=None) -> DataFrame:
     """``docs`` with every selected span replaced by its kind in brackets; overlapping spans become one."""
-    found = find_pii(docs.withColumn("_text", F.col("text")), model).drop("base")
+    found = find_pii(docs.withColumn("_text", F.col("text")), model, "_base", "_spans").drop("_base")
     text = F.col("_text")
 
     def step(acc: Column, s: Column) -> Column:
@@ -207,11 +210,11 @@ def redact(docs: DataFrame, model=None) -> DataFrame:
         out = F.when(clear, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     clean = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = found.withColumn("text", F.when(text.isNotNull() & (F.size("spans") > 0), clean).otherwise(text))
+    out = found.withColumn("text", F.when(text.isNotNull() & (F.size("_spans") > 0), clean).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(text.isNotNull() & (F.size("spans") > 0), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(text.isNotNull() & (F.size("_spans") > 0), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

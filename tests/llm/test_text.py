@@ -255,3 +255,13 @@ def test_mix_repeats_and_cuts_rows(mixed):
         texts.setdefault(x[0], []).append(x[1] or "")
     assert all(any(t.startswith(r.text) for t in texts[r.doc_id]) for r in out)
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.report(docs.where("text is null")).first().taken == 0
+
+
+def test_clashing_columns_pass_or_are_replaced(spark):
+    docs, labels = made_corpus(spark, 60)
+    names = ["score", "spans", "base", "kept", "n_words", "size", "weight", "ids", "fp", "src"]
+    wide = docs.withColumns({n: F.lit(f"mine {n}") for n in names})
+    mine = lambda df: {n: {r[0] for r in df.select(n).collect()} for n in names}
+    want = {n: {f"mine {n}"} for n in names}
+    assert mine(pii.redact(wide)) == want and mine(mixing.mix(wide)) == want and mine(quality_knn.accepted(wide, labels)) == want
+    assert quality_rules.judge(wide, []).columns.count("kept") == 1 and quality_knn.score(wide, quality_knn.fit(docs, labels)).columns.count("score") == 1

@@ -13,6 +13,7 @@ radius, so its work stays near quadratic. The forest below keeps the tree's two
 * Shell level: within a branch, fingerprints are sharded by full Hamming distance to a vantage point. By the triangle
   inequality two linked fingerprints differ in that distance by at most four: a fingerprint is at home in one shell
   and queries the next shell down only if it lies within four of the boundary.
+* Large shards (many near copies with distinct fingerprints) are split into pairs of blocks of bounded size.
 * Leaf level: each shard is searched with a vantage-point tree in memory, exact at its leaves.
 
 Each shard yields a spanning forest of its links, never all pairs; components are joined by alternating stars over
@@ -41,6 +42,7 @@ SEED = 42
 SHELL = 9  # wider than twice the radius, so that a fingerprint overlaps one boundary at most
 BRANCH = 512  # aimed at mean number of fingerprints of a branch
 LEAF = 128
+MAX_SHARD = 1 << 18  # fingerprints at home in one task; larger shards are split into pairs of blocks
 CHUNK = 1 << 15
 
 
@@ -143,8 +145,8 @@ def link_shard(fps: np.ndarray, n_home: int) -> np.ndarray:
 def _link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards arrive one after the other, home fingerprints first; yields (fp, root) of those with a link."""
 
-    def edges(tree, branch, shell, guest, fp):
-        cuts = np.flatnonzero((np.diff(tree) != 0) | (np.diff(branch) != 0) | (np.diff(shell) != 0)) + 1
+    def edges(tree, branch, shell, pair, guest, fp):
+        cuts = np.flatnonzero((np.diff(tree) != 0) | (np.diff(branch) != 0) | (np.diff(shell) != 0) | (np.diff(pair) != 0)) + 1
         a, b = [], []
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)]):
             if hi - lo < 2 or guest[lo]:
@@ -163,7 +165,7 @@ def _link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if kept is not None:
             cols = [np.concatenate(x) for x in zip(kept, cols)]
-        ends = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
+        ends = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]) | (cols[3] != cols[3][-1]))
         done = int(ends[-1]) + 1 if len(ends) else 0
         if done:
             yield edges(*(c[:done] for c in cols))
@@ -190,10 +192,29 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
     at = distinct.select("fp", F.inline(trees))
     homes = at.select("tree", "branch", F.inline(F.array(F.struct(shell(F.col("d")).alias("shell"), F.lit(0).alias("guest")), F.struct(shell(F.col("d") - RADIUS).alias("shell"), F.lit(1).alias("guest")))), "d", "fp")
     sharded = homes.where((F.col("guest") == 0) | (F.col("shell") != shell(F.col("d")))).drop("d")
-    dealt = sharded.repartition("tree", "branch", "shell").sortWithinPartitions("tree", "branch", "shell", "guest", "fp")
+    shards = split_large(sharded)
+    dealt = shards.repartition("tree", "branch", "shell", "pair").sortWithinPartitions("tree", "branch", "shell", "pair", "guest", "fp")
     return dealt.mapInArrow(_link_sorted, "a bigint, b bigint").distinct()
 
 
+def split_large(sharded: DataFrame) -> DataFrame:
+    """Shards of more than ``MAX_SHARD`` homes as pairs of blocks, so that no task holds more than two blocks.
+
+    A home of block s is at home in pairs (s, j) with j >= s and queries the pairs (i, s) with i < s; a query of the
+    shard queries every (i, i). All pairs of fingerprints still meet. ``pair`` numbers the pairs of blocks.
+    """
+    key = ["tree", "branch", "shell"]
+    large = sharded.where("guest = 0").groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > MAX_SHARD).select(*key, F.ceil(F.col("n") / MAX_SHARD).cast("int").alias("k"))
+    sized = sharded.join(large, key, "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("k").cast("long")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    each = sized.withColumn("own", own).withColumn("other", other)
+    first = F.when(F.col("guest") == 1, F.col("other")).otherwise(F.least("own", "other"))
+    second = F.when(F.col("guest") == 1, F.col("other")).otherwise(F.greatest("own", "other"))
+    role = F.when((F.col("guest") == 1) | (F.col("other") < F.col("own")), 1).otherwise(0)
+    return each.select(*key, (first * F.col("k") + second).alias("pair"), role.alias("guest"), "fp")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, by alternating large and small stars.
 

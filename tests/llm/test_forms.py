@@ -243,7 +243,9 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-def test_near_duplicates_are_those_of_all_pairs(spark):
+@pytest.mark.parametrize("largest", [1 << 18, 3])
+def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, largest):
+    monkeypatch.setattr(simhash, "MAX_SHARD", largest)
     r = random.Random(9)
     words, texts = [f"w{i}" for i in range(400)], [None, "", "  ", "One", "one", "É x", "é x"]
     for _ in range(40):
@@ -256,6 +258,8 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
     fps = [slow_fingerprint(x[1]) for x in rows]
     want = sorted(zip([x[0] for x in rows], fps, groups(fps, [x[0] for x in rows])), key=str)
     assert sorted(((x.doc_id, x.fp & (1 << 64) - 1, x.component_id) for x in got), key=str) == want
+    if largest == 3:
+        return
     kept = simhash.one_of_each(docs).collect()
     assert len(kept) == len({(c, f if c is None else 0) for _, f, c in want})
     assert simhash.one_of_each(docs.limit(0)).count() == 0
@@ -278,6 +282,21 @@ def test_a_shard_links_exactly(n):
     assert (root == label).all()
 
 
+def test_split_shards_still_meet(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MAX_SHARD", 4)
+    rows = [(0, 0, 0, int(i >= 15), i) for i in range(20)] + [(0, 1, 0, 0, i) for i in range(3)]
+    df = spark.createDataFrame(rows, "tree int, branch long, shell int, guest int, fp long")
+    met, homes = {}, {}
+    for r in simhash.split_large(df).collect():
+        homes.setdefault((r.branch, r.pair), ([], []))[r.guest].append(r.fp)
+    for (branch, _), (h, g) in homes.items():
+        for i, a in enumerate(h):
+            for b in [*h[i + 1 :], *g]:
+                met[branch, min(a, b), max(a, b)] = met.get((branch, min(a, b), max(a, b)), 0) + 1
+    want = {(0, a, b) for a in range(15) for b in range(a + 1, 20)} | {(1, a, b) for a in range(3) for b in range(a + 1, 3)}
+    assert set(met) == want and max(len(h) + len(g) for h, g in homes.values()) < 20
+
+
 def test_the_forest_covers_every_link():
     r = random.Random(3)
     for n in (10, 1 << 24, 1 << 34):

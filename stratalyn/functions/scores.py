@@ -16,8 +16,11 @@ def safe(c: Column, default: float) -> Column:
 
 
 def unit(c: Column) -> Column:
-    """Clipped to [0, 1]; null stays null."""
-    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
+    """Clipped to [0, 1]. Null would become 0 and NaN 1, so both take their default before.
+
+    The argument occurs once: these expressions nest, and every repetition multiplies the plan.
+    """
+    return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
 
 
 def smoothstep(low: float, high: float, x: Column) -> Column:
@@ -55,7 +58,8 @@ def low_confidence(q: Column, snr: Column, flatness: Column, tonality: Column, m
 
 def eventness(contrast: Column, occupancy: Column, duration: Column, is_component: Column, purity: Column, min_contrast: float = 4.0, max_active: float = 0.92) -> Column:
     base = 0.55 * smoothstep(min_contrast, min_contrast + 14, contrast) + 0.25 * (1 - smoothstep(0.55, max_active, occupancy)) + 0.20 * duration
-    return unit(F.when(is_component & purity.isNotNull(), 0.75 * base + 0.25 * unit(purity)).otherwise(base))
+    pure = is_component & purity.isNotNull()
+    return unit(F.when(pure, 0.75).otherwise(1.0) * base + F.when(pure, 0.25 * unit(purity)).otherwise(0.0))
 
 
 def duration_window(duration: Column, rise: tuple[float, float], fall: tuple[float, float]) -> Column:
@@ -64,9 +68,9 @@ def duration_window(duration: Column, rise: tuple[float, float], fall: tuple[flo
 
 
 def selection(event: Column, purity: Column, q: Column, duration: Column, peak_db: Column, is_component: Column) -> Column:
-    clipped = lambda c, d: F.coalesce(unit(c), d if isinstance(d, Column) else F.lit(d))
+    clipped = lambda c, d: unit(F.coalesce(c, d if isinstance(d, Column) else F.lit(d)))
     preferred = F.when(duration <= 0, 0.0).otherwise(duration_window(duration, (0.08, 0.25), (5.0, 8.0)))
-    peak = F.coalesce(unit((peak_db + 60) / 60), F.lit(0.5))
+    peak = unit(F.coalesce((peak_db + 60) / 60, F.lit(0.5)))
     return 0.40 * clipped(event, 0.5) + 0.25 * clipped(purity, F.when(is_component, 0.5).otherwise(0.7)) + 0.20 * clipped(q, 0.7) + 0.10 * preferred + 0.05 * peak
 
 

@@ -174,7 +174,6 @@ def normalise(decided: DataFrame, folder: str) -> DataFrame:
                     if len(index) >= 8192:
                         yield _index(index)
                         index = []
-            fs.delete_file(_open(source)[1])
             yield _index(index)
 
     def _index(rows: list[tuple]) -> pa.RecordBatch:
@@ -219,6 +218,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     places = cut(write_monoliths(pages, folder))
     index = cut(normalise(first_of_equals(places), folder))
+    for row in places.select("file").distinct().toLocalIterator():  # only now: a repeated task reads its source again
+        fs, at = _open(row.file)
+        fs.delete_file(at)
     return read_members(index)
 
 

@@ -168,7 +168,10 @@ def materialise(docs: DataFrame, path: str) -> DataFrame:
     folder = f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
     sequences(docs, path).write.parquet(f"{folder}/sequences", compression="zstd")
     placed, total = place(docs.sparkSession.read.parquet(f"{folder}/sequences"))
-    return cut(write_shards(placed, total, folder))
+    manifest = cut(write_shards(placed, total, folder))
+    fs, at = pafs.FileSystem.from_uri(f"{folder}/sequences")
+    fs.delete_dir(at)  # the shards hold them now, and the manifest is checkpointed
+    return manifest
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -20,6 +20,7 @@ from stratalyn.functions import scores as sc
 from stratalyn.operators import intervals as iv
 from stratalyn.operators import routing as rt
 from stratalyn.operators import vectors as vx
+from stratalyn.plans.session import shared_dir
 
 EVENTS = (
     "recording_id string, event_id string, parent_event_id string, start_sec double, end_sec double, duration_sec double, is_component boolean, is_mixed boolean, n_components int, polyphony_score double, "
@@ -225,7 +226,14 @@ def clusters(events: DataFrame, c: DiscoveryConfig) -> DataFrame:
 
 
 def run(recordings: DataFrame, c: DiscoveryConfig | None = None) -> tuple[DataFrame, DataFrame]:
-    """(events, clusters) of all recordings."""
+    """(events, clusters) of all recordings.
+
+    Kernels run once: detections, routed events and clustered events are checkpointed (rows of numbers, never samples),
+    because the routers and cluster summaries join a table with what they derive from it.
+    """
     c = c or DiscoveryConfig()
-    events = clustered(routed(scored(detections(recordings, c), c), c), c).withColumn("config_hash", F.lit(fingerprint(c)))
+    shared_dir(recordings.sparkSession)
+    found = detections(recordings, c).checkpoint()
+    sorted_out = routed(scored(found, c), c).checkpoint()
+    events = clustered(sorted_out, c).withColumn("config_hash", F.lit(fingerprint(c))).checkpoint()
     return events, clusters(events, c)

@@ -15,6 +15,7 @@ from stratalyn.functions import plugins
 from stratalyn.functions import scores as sc
 from stratalyn.operators import intervals as iv
 from stratalyn.operators import vectors as vx
+from stratalyn.plans.session import shared_dir
 
 WINDOWS = "recording_id string, win_idx int, start_sec double, rms_db double, embedding array<float>"
 
@@ -114,6 +115,7 @@ def few_shot(clusters: DataFrame, found: DataFrame, labels: DataFrame, c: Window
 def run(recordings: DataFrame, c: WindowConfig | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(windows, events, clusters) of all recordings."""
     c = c or WindowConfig()
-    win = grouped(windows(recordings, c), c).cache()
-    found = embedded(events(win, c), win)
+    shared_dir(recordings.sparkSession)
+    win = grouped(windows(recordings, c).checkpoint(), c).checkpoint()  # the encoder runs once
+    found = embedded(events(win, c), win).checkpoint()
     return win, found, summarised(found, c)

@@ -1,10 +1,10 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text becomes counts of hashed byte trigrams and of byte classes over the whole text, damped, weighted by inverse
-document frequency and projected on the leading singular vectors of a labelled sample. The sample's unit vectors and
-labels (at most ``LABELLED`` rows of ``DIMS`` floats: under 2 MB) are broadcast. Every document's cosines with all of
-them are computed exactly, a block of documents at a time; the ``NEIGHBOURS`` most similar vote with a weight that
-grows with similarity.
+A text becomes counts of hashed byte trigrams, of pairs of byte classes and of repeated words and lines over the whole
+text, damped, weighted by inverse document frequency and projected on the leading singular vectors of a labelled
+sample. The sample's unit vectors and labels (at most ``LABELLED`` rows of ``DIMS`` floats: under 2 MB) are broadcast.
+Every document's cosines with all of them are computed exactly, a block of documents at a time; the ``NEIGHBOURS`` most
+similar vote with a weight that grows with similarity.
 
 The labelled sample is bounded (``LABELLED`` rows, the smallest hashes of doc_id outside the held-out fifth). Only it
 is collected; documents stream through mapInArrow with bounded memory and no shuffle.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -27,42 +28,50 @@ from pyspark.sql import functions as F
 from stratalyn.llm.common import held_out
 
 LABELLED = 4000
-BUCKETS = 2048
+BUCKETS = 1024
+REPEATS = 2.0
 DIMS = 48
-NEIGHBOURS = 25
-SHARPNESS = 8.0
+NEIGHBOURS = 15
+SHARPNESS = 20.0
 BLOCK = 256
 THRESHOLD = 0.3
 
-#: Byte classes: control, space, newline, digit, lower, upper, each of the other ASCII characters, non-ASCII.
+#: Byte classes: control, newline, space, digit, lower, upper, non-ASCII, "!", "|", "#$%&*<>", stops, the rest.
 _CLASS = np.zeros(256, np.int64)
+_CLASS[33:127] = 11
 _CLASS[10], _CLASS[32], _CLASS[48:58], _CLASS[97:123], _CLASS[65:91], _CLASS[128:] = 1, 2, 3, 4, 5, 6
-_others = [i for i in range(33, 127) if not chr(i).isalnum()]
-_CLASS[_others] = np.arange(7, 7 + len(_others))
-N_CLASSES = 7 + len(_others)
-WIDTH = BUCKETS + N_CLASSES * N_CLASSES
+for _i, _signs in enumerate((b"!", b"|", b"#$%&*<>", b".,;:?'\"()-")):
+    _CLASS[list(_signs)] = 7 + _i
+N_CLASSES = 12
+#: Hashed trigrams; class pairs; words like the one before, words seen before, other words, lines seen before, other lines.
+PARTS = (slice(0, BUCKETS), slice(BUCKETS, BUCKETS + N_CLASSES**2), slice(BUCKETS + N_CLASSES**2, BUCKETS + N_CLASSES**2 + 5))
+WIDTH = PARTS[-1].stop
 PIECE = 1 << 18
 
 
 def counts(raw: bytes) -> np.ndarray:
-    """Counts of hashed letter trigrams and of class bigrams, piece by piece over the whole text."""
+    """Counts over the whole text, piece by piece but for its words and lines."""
     out = np.zeros(WIDTH, np.int64)
     for at in range(0, len(raw), PIECE):
         b = np.frombuffer(raw, np.uint8, min(PIECE + 2, len(raw) - at), at).astype(np.uint32)
         if len(b) > 2:
             h = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA6B)) ^ (b[2:] * np.uint32(0xC2B2AE35))
-            out[:BUCKETS] += np.bincount((h >> np.uint32(16)) % BUCKETS, minlength=BUCKETS)
+            out[PARTS[0]] += np.bincount((h >> np.uint32(16)) % BUCKETS, minlength=BUCKETS)
         c = _CLASS[b[: PIECE + 1]]
         if len(c) > 1:
-            out[BUCKETS:] += np.bincount(c[:-1] * N_CLASSES + c[1:], minlength=N_CLASSES * N_CLASSES)
+            out[PARTS[1]] += np.bincount(c[:-1] * N_CLASSES + c[1:], minlength=N_CLASSES * N_CLASSES)
+    words, lines = raw.split(), raw.split(b"\n")
+    same, kinds, line_kinds = sum(map(eq, words, words[1:])), len(set(words)), len(set(lines))
+    out[PARTS[2]] = same, len(words) - kinds - same if len(words) - kinds > same else 0, kinds, len(lines) - line_kinds, line_kinds
     return out
 
 
 def damped(n: np.ndarray) -> np.ndarray:
-    """Both halves as shares of their sum, damped by a square root."""
-    n = np.atleast_2d(n).astype(np.float64)
-    for part in (slice(0, BUCKETS), slice(BUCKETS, WIDTH)):
+    """Each part as shares of its sum, damped by a square root; words and lines count ``REPEATS`` times."""
+    n = np.atleast_2d(n).astype(np.float32)
+    for part in PARTS:
         n[:, part] = np.sqrt(n[:, part] / np.maximum(n[:, part].sum(axis=1, keepdims=True), 1))
+    n[:, PARTS[2]] *= REPEATS
     return n
 
 
@@ -74,7 +83,7 @@ class Model:
     labels: np.ndarray
 
     def latent(self, damped_counts: np.ndarray) -> np.ndarray:
-        v = (damped_counts * self.weights) @ self.axes
+        v = ((damped_counts * self.weights) @ self.axes).astype(np.float64)
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def score(self, damped_counts: np.ndarray) -> np.ndarray:
@@ -85,13 +94,13 @@ class Model:
         near = np.argsort(-np.round(like, 9), axis=1, kind="stable")[:, :k]
         vote = np.exp(SHARPNESS * (np.take_along_axis(like, near, axis=1) - 1))
         found = (vote * self.labels[near]).sum(axis=1) / vote.sum(axis=1)
-        empty = ~damped_counts.any(axis=1)
+        empty = ~damped_counts[:, PARTS[0]].any(axis=1)
         return np.clip(np.where(empty, self.labels.mean(), found), 0.0, 1.0)
 
 
 def _leading(x: np.ndarray, k: int) -> np.ndarray:
     """The ``k`` leading right singular vectors, by seeded subspace iteration."""
-    q = np.random.default_rng(0).standard_normal((x.shape[1], k + 16))
+    q = np.random.default_rng(0).standard_normal((x.shape[1], k + 16)).astype(np.float32)
     for _ in range(6):
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
@@ -112,18 +121,22 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
     rows = sorted(sample.mapInArrow(run, "h long, label int, n binary").collect(), key=lambda r: (r.h, bytes(r.n)))
     if not rows:
         return Model(np.ones(WIDTH), np.zeros((WIDTH, DIMS)), np.zeros((0, DIMS)), np.zeros(0))
-    raw = np.stack([np.frombuffer(r.n, "<u4") for r in rows])
-    x = damped(raw)
-    weights = np.log((1 + len(x)) / (1 + (raw > 0).sum(axis=0))) + 1
-    x = x * weights
+    marks = np.array([float(r.label) for r in rows])
+    x = damped(np.stack([np.frombuffer(r.n, "<u4") for r in rows]))
+    del rows
+    weights = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
+    x *= weights
     axes = _leading(x, DIMS)
     v = x @ axes
-    return Model(weights, axes, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), np.array([float(r.label) for r in rows]))
+    return Model(weights, axes, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), marks)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (default: all) with ``score``, the similarity-weighted share of label 1."""
-    keep = docs.columns if keep is None else keep
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` (default: all) with ``out``, the similarity-weighted share of label 1.
+
+    A column that already has this name is replaced.
+    """
+    keep = [c for c in (docs.columns if keep is None else keep) if c != out]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +146,10 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             for at in range(0, len(raw), BLOCK):
                 block = np.stack([counts(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in raw[at : at + BLOCK]])
                 scores.append(model.score(damped(block)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*keep, out])
 
     given = docs.select(*keep, F.col("text").cast("binary").alias("_raw"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]) + ", score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]) + f", `{out}` double"
     return given.mapInArrow(run, schema)
 
 
@@ -148,4 +161,4 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    return score(docs, fit(docs.select("doc_id", "text"), labels)).where(F.col("score") >= THRESHOLD).drop("score")
+    return score(docs, fit(docs.select("doc_id", "text"), labels), out="_score").where(F.col("_score") >= THRESHOLD).drop("_score")

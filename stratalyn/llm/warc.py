@@ -141,10 +141,12 @@ def first_of_equals(places: DataFrame) -> DataFrame:
     return both.select("file", "ordinal", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
 
 
-def normalise(decided: DataFrame, folder: str) -> DataFrame:
+def normalise(decided: DataFrame, folder: str, n_files: int) -> DataFrame:
     """Rewrite each file that ``decided`` (file, ordinal, refers_to) names; the index of the new archives.
 
-    A file's decisions arrive in the order of its records and are consumed as the stream is inflated.
+    A file's decisions arrive in the order of its records and are consumed as the stream is inflated. The number of
+    partitions is given: the decisions are a few bytes a record, and by their size alone Spark would join them into
+    one task, though the work behind them is the whole archive.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int | None]]:
@@ -180,7 +182,7 @@ def normalise(decided: DataFrame, folder: str) -> DataFrame:
         cols = list(zip(*rows)) or [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()))], ["file", "offset", "length"])
 
-    dealt = decided.repartition("file").sortWithinPartitions("file", "ordinal").select("file", "ordinal", "refers_to")
+    dealt = decided.repartition(max(1, n_files), "file").sortWithinPartitions("file", "ordinal").select("file", "ordinal", "refers_to")
     return dealt.mapInArrow(run, "file string, offset long, length long")
 
 
@@ -217,9 +219,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """The columns of op8: write, normalise with an index, read back."""
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     places = cut(write_monoliths(pages, folder))
-    index = cut(normalise(first_of_equals(places), folder))
-    for row in places.select("file").distinct().toLocalIterator():  # only now: a repeated task reads its source again
-        fs, at = _open(row.file)
+    files = [r.file for r in places.select("file").distinct().collect()]  # one a partition of pages
+    index = cut(normalise(first_of_equals(places), folder, len(files)))
+    for name in files:  # only now: a repeated task reads its source again
+        fs, at = _open(name)
         fs.delete_file(at)
     return read_members(index)
 

@@ -23,6 +23,7 @@ from stratalyn.llm.common import held_out, let, words_of
 
 LABELLED = 6000
 MAX_RULES, MAX_TESTS, PRECISION, LEAST = 8, 3, 0.95, 8
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_f")
 FEATURES = ["n_words", "word_len", "symbols", "dup_lines", "repeats", "upper", "bangs", "digits", "word_share"]
 
 
@@ -42,7 +43,8 @@ def _repeat_words(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base statistics and ``_f``, the features of the list."""
+    """``docs`` with the base statistics and ``_f``, the features of the list; columns of these names are replaced."""
+    docs = docs.drop(*STATISTICS)
     text = F.coalesce(F.col("text"), F.lit(""))
     words = docs.withColumn("_words", words_of(F.col("text")))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -129,8 +131,9 @@ def learn(x: np.ndarray, bad: np.ndarray) -> list[Rule]:
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> list[Rule]:
     """The decision list; only numbers of at most ``bound`` labelled texts reach the driver."""
     sample = docs.join(F.broadcast(_ids(labels, bound)), "doc_id")
-    rows = statistics(sample.select("doc_id", "text", "_label")).where(~F.col("base_failed")).select(F.xxhash64("doc_id").alias("h"), "_f", "_label").collect()
-    rows.sort(key=lambda r: (r.h, r._f))
+    # not filtered here: a filter on the statistics would move below the join and compute them for every document
+    found = statistics(sample.select("doc_id", "text", "_label")).select(F.xxhash64("doc_id").alias("h"), "_f", "_label", "base_failed").collect()
+    rows = sorted((r for r in found if not r.base_failed), key=lambda r: (r.h, r._f))
     if not rows:
         return []
     return learn(np.array([r._f for r in rows]), np.array([r._label == 0 for r in rows]))

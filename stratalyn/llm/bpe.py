@@ -22,6 +22,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 
 KEPT_WORDS = 600_000
 KEPT_PAIRS = 2_000_000
+_LITTLE = sys.byteorder == "little"
 #: Anything but letters and signs for which NFC changes nothing and str.lower() is the library's lower case.
 _ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]")
 
@@ -58,7 +61,7 @@ class Tokenizer:
         self._words = regex.compile(pattern).findall
         self._specials = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self._library = None
-        self.shown = _Table(self._show)
+        self.shown, self.packed = _Table(self._show), _Table(self._pack)
 
     def _bytes_to_signs(self, vocab: dict[str, int]) -> list[tuple[int, int]]:
         """For each byte its symbol inside a word and at the end of one."""
@@ -203,6 +206,14 @@ class Tokenizer:
         ids, text = self.encode_word(chunk), self.text
         return " ".join(map(str, ids)), " ".join([text[i] for i in ids])
 
+    def _pack(self, chunk: str) -> bytes:
+        """Ids of the same as 16-bit little-endian numbers."""
+        if chunk[0] != "\0" and chunk not in self.special:
+            words = self._words(chunk)
+            if len(words) != 1:
+                return b"".join([self.packed[w] for w in words])
+        return array("H", self.encode_word(chunk)).tobytes() if _LITTLE else b"".join(i.to_bytes(2, "little") for i in self.encode_word(chunk))
+
     def chunks(self, text: str) -> list[str]:
         """What a text splits into before the vocabulary's own pattern: nothing crosses white space or a special token."""
         if self._specials and "<|" in text:
@@ -234,7 +245,7 @@ class _Table(dict):
         super().__init__()
         self.make = make
 
-    def __missing__(self, word: str) -> tuple[str, str]:
+    def __missing__(self, word: str):
         got = self.make(word)
         if len(word) <= 48:
             if len(self) >= KEPT_WORDS:

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from stratalyn.llm import bpe
 from stratalyn.llm.common import cut, shared_dir
 
-LENGTH = 512
-PER_SHARD = 16384
+LENGTH = 256
+PER_SHARD = 32768
 KEY = 0x5DEECE66D
 ROUNDS = 4
 HEAD = "<qii"
@@ -71,14 +71,14 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, part, pos = bpe.tokenizer(shared.value), TaskContext.get().partitionId(), 0
-        show, kinds = t.shown.__getitem__, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        pack, kinds = t.packed.__getitem__, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shown = " ".join([x[0] for x in map(show, t.chunks(text.as_py() or ""))])
-                ids = np.fromstring(shown, dtype="<u2", sep=" ") if shown else np.zeros(0, "<u2")
-                for chunk, at in enumerate(range(0, len(ids), length)):
-                    rows.append((part, pos, doc_id, chunk, min(length, len(ids) - at), ids[at : at + length].tobytes()))
+                ids = b"".join(map(pack, t.chunks(text.as_py() or "")))
+                for chunk, at in enumerate(range(0, len(ids), 2 * length)):
+                    piece = ids[at : at + 2 * length]
+                    rows.append((part, pos, doc_id, chunk, len(piece) // 2, piece))
                     pos += 1
             cols = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["part", "pos", "doc_id", "chunk", "used", "ids"])
@@ -166,7 +166,7 @@ def read_shards(manifest: DataFrame, length: int = LENGTH, resume_at: int = 0) -
 def materialise(docs: DataFrame, path: str) -> DataFrame:
     """Write all shards; the manifest, checkpointed."""
     folder = f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
-    sequences(docs, path).write.parquet(f"{folder}/sequences", compression="zstd")
+    sequences(docs, path).write.option("parquet.compression.codec.zstd.level", 9).parquet(f"{folder}/sequences", compression="zstd")
     placed, total = place(docs.sparkSession.read.parquet(f"{folder}/sequences"))
     manifest = cut(write_shards(placed, total, folder))
     fs, at = pafs.FileSystem.from_uri(f"{folder}/sequences")

@@ -184,11 +184,11 @@ class Tokenizer:
         return out
 
     def encode_word(self, word: str) -> list[int]:
-        """Ids of one word, normalised, as text; a word of the library's splitter starts with a NUL."""
+        """Ids of one word, normalised, as text; a word of the library's splitter starts with a NUL, a special token with \\1."""
         if word[0] == "\0":
             signs = [self._sign_ids[c] for c in word[1:]]
-        elif word in self.special:
-            return [self.special[word]]
+        elif word[0] == "\1":
+            return [self.special[word[1:]]]
         else:
             byte = self._byte
             signs = [byte[b] for b in word.encode()]
@@ -198,7 +198,7 @@ class Tokenizer:
 
     def _show(self, chunk: str) -> tuple[str, str]:
         """Ids and tokens of what stands between two white spaces, each joined by spaces."""
-        if chunk[0] != "\0" and chunk not in self.special:
+        if chunk[0] > "\1":
             words = self._words(chunk)
             if len(words) != 1:
                 each = [self.shown[w] for w in words]
@@ -208,16 +208,19 @@ class Tokenizer:
 
     def _pack(self, chunk: str) -> bytes:
         """Ids of the same as 16-bit little-endian numbers."""
-        if chunk[0] != "\0" and chunk not in self.special:
+        if chunk[0] > "\1":
             words = self._words(chunk)
             if len(words) != 1:
                 return b"".join([self.packed[w] for w in words])
         return array("H", self.encode_word(chunk)).tobytes() if _LITTLE else b"".join(i.to_bytes(2, "little") for i in self.encode_word(chunk))
 
     def chunks(self, text: str) -> list[str]:
-        """What a text splits into before the vocabulary's own pattern: nothing crosses white space or a special token."""
+        """What a text splits into before the vocabulary's own pattern: nothing crosses white space or a special token.
+
+        Special tokens are found in the raw text, before lower case, and marked: other spellings are plain text.
+        """
         if self._specials and "<|" in text:
-            return [w for i, part in enumerate(self._specials.split(text)) for w in ([part] if i % 2 else self._plain(part))]
+            return [w for i, part in enumerate(self._specials.split(text)) for w in (["\1" + part] if i % 2 else self._plain(part))]
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:

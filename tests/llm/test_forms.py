@@ -40,6 +40,17 @@ def test_encoding_is_the_librarys(spark, texts):
     assert bpe.digest(docs.limit(0), queries.VOCABULARY).count() == 0
 
 
+@needs_vocabulary
+def test_other_spellings_of_special_tokens_are_plain_text():
+    tokenizers = pytest.importorskip("tokenizers")
+    lib = tokenizers.Tokenizer.from_file(queries.VOCABULARY)
+    t = bpe.Tokenizer(bpe.read_vocabulary(queries.VOCABULARY))
+    for x in ("a <|ENDOFTEXT|> b", "<|EndOfText|>", "<|endoftext|> <|ENDOFTEXT|><|startoftext|> <|StartOfText|>", "日本 <|ENDOFTEXT|> é", "<|EndOfText|><|endoftext|>x"):
+        want = lib.encode(x, add_special_tokens=False).ids
+        assert t.encode(x) == want, x
+        assert b"".join(map(t.packed.__getitem__, t.chunks(x))) == np.array(want, "<u2").tobytes(), x
+
+
 @needs_vocabulary
 def test_every_token_encodes_to_itself(monkeypatch):
     t = bpe.Tokenizer(bpe.read_vocabulary(queries.VOCABULARY))

@@ -38,7 +38,7 @@ OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"  # of one or more
 GENERATORS = {
     "phone": r"(?<![0-9A-Za-z.+])\(?[0-9]{2,4}\)?[\x20.-][0-9(][\x20().0-9-]{4,20}[0-9](?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,200}+(?![A-Za-z0-9+/_-])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:\x20?[(\[{]at[)\]}]\x20?[A-Za-z0-9-]{1,64}+(?:\x20?(?:[(\[{]dot[)\]}]|\.)\x20?[A-Za-z0-9-]{2,24}+){1,4}|\x20at\x20[A-Za-z0-9-]{1,64}+(?:\x20dot\x20[A-Za-z0-9-]{2,24}+){1,4})",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }

@@ -60,6 +60,18 @@ def test_the_trees_add_spans_and_leave_prose_alone(spark):
     assert got[1].startswith("secret:") and got[2] == "phone:5:17" and got[3] == "" and got[4].startswith("email:0:")
 
 
+def test_secrets_of_any_length_are_candidates(spark):
+    r = random.Random(5)
+    some = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    late = "".join(r.choice("ABCDEFghijkl") for _ in range(60)) + "7"
+    keys = [some(n) for n in (200, 201, 240, 1000, 50000)] + [late]
+    docs = spark.createDataFrame([(i, f'an token = "{x}" re', None, "s", 0) for i, x in enumerate(keys)], DOCS)
+    found = {r.doc_id: [c for c in r.c if c.kind == "secret"] for r in docs.select("doc_id", pii.candidates(F.col("text")).alias("c")).collect()}
+    assert all([(c.start, c.end) for c in found[i]] == [(12, 12 + len(x))] for i, x in enumerate(keys))
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert all(clean[i] == 'an token = "[SECRET]" re' for i in range(5))
+
+
 def test_redaction_replaces_spans_only(spark):
     docs = spark.createDataFrame([(1, "ü a@b.cc, +1 (652) 555-4544!", "en", "s", 28), (2, None, None, None, None), (3, "clean", "en", "s", 5)], DOCS)
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(docs).collect()}

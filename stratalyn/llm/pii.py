@@ -191,7 +191,7 @@ def find_pii(docs: DataFrame, model=None, base: str = "base", spans: str = "span
     limit = F.create_map(*[F.lit(x) for k, v in cut.items() for x in (k, v)])
 
     def select(sure: Column, found: Column) -> Column:
-        free = F.filter(found, lambda c: ~F.exists(sure, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
+        free = F.filter(found, lambda c: ~F.exists(sure, lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])))  # nothing that a base span covers wholly
         chosen = F.filter(free, lambda c: score(c) >= F.element_at(limit, c["kind"]))
         ranked = F.transform(F.concat(sure, F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))), lambda s: F.struct(F.element_at(rank, s["kind"]).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
         return F.transform(F.array_sort(F.array_distinct(ranked)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))

@@ -72,6 +72,18 @@ def test_secrets_of_any_length_are_candidates(spark):
     assert all(clean[i] == 'an token = "[SECRET]" re' for i in range(5))
 
 
+def test_items_that_hold_a_base_span_are_scored(spark):
+    texts = ['an token = "sk_live_4242424242424242abcdEFGH12345678" re', "an account DE18 4242 4242 4242 4242 re", "card 4242 4242 4242 4242 re"]
+    assert [len(base_spans(x)) for x in texts] == [1, 1, 1]
+    docs = spark.createDataFrame([(i, x, None, "s", 0) for i, x in enumerate(texts)], DOCS)
+    spans = {r.doc_id: r.spans.split(",") for r in pii.digest(docs).collect()}
+    assert all(set(base_spans(x)) <= set(spans[i]) for i, x in enumerate(texts))
+    assert "secret:12:52" in spans[0] and spans[2] == base_spans(texts[2])
+    assert "iban:11:35" in spans[1]
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean == {0: 'an token = "[SECRET]" re', 1: "an account [IBAN] re", 2: "card [CARD] re"}
+
+
 def test_redaction_replaces_spans_only(spark):
     docs = spark.createDataFrame([(1, "ü a@b.cc, +1 (652) 555-4544!", "en", "s", 28), (2, None, None, None, None), (3, "clean", "en", "s", 5)], DOCS)
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(docs).collect()}

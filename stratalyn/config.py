@@ -22,6 +22,11 @@ class DiscoveryConfig:
     max_event: float = 8.0
     merge_gap: float = 0.4
     pad: float = 0.15
+    multiband: bool = True
+    band_window: float = 8.0
+    band_snr: float = 6.0
+    band_flux_z: float = 2.0
+    band_gap: float = 0.08
     refine_above_floor: float = 3.0
     refine_below_peak: float = 18.0
     refine_nms: float = 0.85

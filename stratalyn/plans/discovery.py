@@ -25,12 +25,32 @@ from stratalyn.plans.session import shared_dir
 EVENTS = (
     "recording_id string, event_id string, parent_event_id string, start_sec double, end_sec double, duration_sec double, is_component boolean, is_mixed boolean, n_components int, polyphony_score double, "
     "purity_score double, snr_db double, detection_score double, rms_db double, peak_db double, spectral_centroid double, bandwidth_hz double, spectral_flatness double, tonality_score double, peak_band_snr_db double, "
-    "temporal_contrast_db double, active_ratio double, zero_crossing double, modulation_hz double, embedding_stability double, bandwidth_ratio double, embedding array<float>, mix_reason string"
+    "temporal_contrast_db double, active_ratio double, zero_crossing double, modulation_hz double, embedding_stability double, bandwidth_ratio double, embedding array<float>, mix_reason string, "
+    "component_energy_ratio double, component_snr_db double, component_compactness double"
 )
+#: Bands in Hz; the last one ends at the highest frequency.
+BANDS = ((100.0, 800.0), (800.0, 3000.0), (3000.0, 8000.0), (8000.0, float("inf")))
+
+
+def band_activity(x: np.ndarray, rate: int, c: DiscoveryConfig, n: int) -> np.ndarray:
+    """Frames in which any band is well above its own floor and either rises sharply or is concentrated."""
+    out, top = np.zeros(n, bool), rate / 2
+    for low, high in BANDS:
+        high = min(high, top * 0.98)
+        if low >= top * 0.95 or high <= low:
+            continue
+        y = k.band_pass(x, rate, low, high)
+        db, flat = k.rms_db(y, c.frame, c.hop)[:n], k.flatness(np.abs(k.stft(y, c.frame, c.hop)))[:n]
+        rise = np.pad(np.maximum(np.diff(db), 0), (1, 0), mode="edge") if n > 1 else np.zeros(n)
+        mid = np.median(rise)
+        z = (rise - mid) / (1.4826 * (np.median(np.abs(rise - mid)) + 1e-9))
+        above = db - k.rolling_floor(db, max(5, int(round(c.band_window * rate / c.hop))))
+        out |= (above >= c.band_snr) & ((z >= c.band_flux_z) | (flat < c.max_flatness))
+    return k.opened_closed(out, 1, max(1, int(round(c.band_gap * rate / c.hop))))
 
 
 def detect(x: np.ndarray, rate: int, c: DiscoveryConfig) -> list[dict]:
-    """Intervals in which at least ``votes`` of energy, change and concentration are active, with their frame scores."""
+    """Intervals in which at least ``votes`` of energy, change and concentration are active, or any band is, with their frame scores."""
     db = k.rms_db(x, c.frame, c.hop)
     floor = k.rolling_floor(db, int(c.floor_window * rate / c.hop))
     mel, mag = k.log_mel(x, rate, c.frame, c.hop, 64), np.abs(k.stft(x, c.frame, c.hop))
@@ -40,6 +60,8 @@ def detect(x: np.ndarray, rate: int, c: DiscoveryConfig) -> list[dict]:
     limit = max(np.percentile(fl, 90), np.median(fl) + 4 * mad)
     energy = db > floor + c.threshold_db
     mask = energy.astype(int) + ((fl > limit) & (db > floor + 1.5)) + ((flat < c.max_flatness) & (db > floor + 1.5)) >= c.votes
+    if c.multiband:
+        mask |= band_activity(x, rate, c, n)
     step, length = c.hop / rate, len(x) / rate
     mask = k.opened_closed(mask, max(1, int(0.04 / step)), max(1, int(c.merge_gap / step)))
     spans, out = [(max(0.0, a - c.pad), min(length, b + c.pad)) for a, b in k.intervals(mask, step, length) if b - a >= c.min_event * 0.5], []
@@ -82,7 +104,7 @@ def separate(x: np.ndarray, rate: int, c: DiscoveryConfig) -> tuple[list[dict],
         around = power[f.min() : f.max() + 1, t.min() : t.max() + 1].sum()
         energy, compact = float(power[f, t].sum()), len(f) / box
         snr = float(np.median(db[f, t]) - np.median(db))
-        out.append({"f0": f.min(), "f1": f.max(), "t0": int(t.min()), "t1": int(t.max()), "energy": energy, "ratio": energy / total, "compact": compact, "duration": (t.max() - t.min() + 1) * hop / rate, "bandwidth": (f.max() - f.min() + 1) * rate / n, "snr": snr, "purity": 0.45 * min(1.0, energy / max(around, 1e-12)) + 0.35 * compact + 0.20 * min(1.0, max(0.0, snr) / 20), "mask": lab == i})
+        out.append({"f0": f.min(), "f1": f.max(), "t0": int(t.min()), "t1": int(t.max()), "from": int(t.min()) * hop, "to": min(len(x), (int(t.max()) + 1) * hop), "energy": energy, "ratio": energy / total, "compact": compact, "duration": (t.max() - t.min() + 1) * hop / rate, "bandwidth": (f.max() - f.min() + 1) * rate / n, "snr": snr, "purity": 0.45 * min(1.0, energy / max(around, 1e-12)) + 0.35 * compact + 0.20 * min(1.0, max(0.0, snr) / 20), "mask": lab == i})
     strong = [p for p in out if p["duration"] >= c.component_duration and p["ratio"] >= c.component_ratio and (p["bandwidth"] >= c.component_bandwidth or p["ratio"] >= max(0.02, 2 * c.component_ratio))]
     strong = sorted(strong, key=lambda p: -p["energy"])[: c.max_components]
     cover = np.zeros(z.shape[1], int)
@@ -135,8 +157,13 @@ def events_of(recording: str, x: np.ndarray, rate: int, c: DiscoveryConfig) -> l
         if reason:
             out.append(base | measure(clip, rate, band_floor, c) | {"is_mixed": True, "mix_reason": reason, "purity_score": float(np.mean([p["purity"] for p in parts]))})
             continue
+        pure = [p for p in pure if p["to"] - p["from"] >= max(1, round(c.component_duration * rate))]
+        if not pure:
+            out.append(base | measure(clip, rate, band_floor, c) | {"is_mixed": True, "mix_reason": "not_separable", "purity_score": float(np.mean([p["purity"] for p in parts]))})
         for i, p in enumerate(sorted(pure, key=lambda p: -p["purity"])):
-            out.append(base | measure(p["audio"], rate, band_floor, c) | {"event_id": f"{ident}_c{i}", "parent_event_id": ident, "is_component": True, "purity_score": p["purity"]})
+            own = {"start_sec": d["start"] + p["from"] / rate, "end_sec": d["start"] + p["to"] / rate, "duration_sec": (p["to"] - p["from"]) / rate}
+            gate = {"component_energy_ratio": p["ratio"], "component_snr_db": p["snr"], "component_compactness": p["compact"]}
+            out.append(base | measure(p["audio"][p["from"] : p["to"]], rate, band_floor, c) | own | gate | {"event_id": f"{ident}_c{i}", "parent_event_id": ident, "is_component": True, "purity_score": p["purity"]})
     return out
 
 
@@ -152,8 +179,21 @@ def detections(recordings: DataFrame, c: DiscoveryConfig) -> DataFrame:
     return recordings.where("samples is not null").select("recording_id", "sample_rate", "samples").mapInPandas(run, EVENTS)
 
 
-def scored(events: DataFrame, c: DiscoveryConfig) -> DataFrame:
+def gated(events: DataFrame) -> DataFrame:
+    """Quality, rank within the parent and the gate's reason of every component; null for other events."""
+    from pyspark.sql import Window
+
     col = F.col
+    q = sc.component_quality(col("purity_score"), col("component_snr_db"), col("component_energy_ratio"), col("component_compactness"), col("duration_sec"))
+    x = events.withColumn("component_quality_score", F.when(col("is_component"), q))
+    w = Window.partitionBy("recording_id", F.coalesce("parent_event_id", "event_id")).orderBy(col("component_quality_score").desc(), "event_id")
+    x = x.withColumn("component_rank", F.when(col("is_component"), F.row_number().over(w) - 1))
+    why = sc.component_gate(col("component_rank"), col("purity_score"), col("component_energy_ratio"), col("component_snr_db"), col("component_compactness"), col("component_quality_score"))
+    return x.withColumn("component_reason", F.when(col("is_component"), why))
+
+
+def scored(events: DataFrame, c: DiscoveryConfig) -> DataFrame:
+    col, events = F.col, gated(events)
     duration = sc.duration_window(col("duration_sec"), (c.min_event * 0.6, max(c.min_event * 2, 0.12)), (c.max_event * 0.75, c.max_event))
     q = sc.quality(col("snr_db"), col("spectral_flatness"), col("tonality_score"), col("bandwidth_ratio"), col("peak_band_snr_db"), c.min_snr, c.noise_flatness, c.min_tonality)
     x = events.withColumn("quality_score", q).withColumn("eventness_score", sc.eventness(col("temporal_contrast_db"), col("active_ratio"), duration, col("is_component"), col("purity_score")))
@@ -170,6 +210,7 @@ def routed(events: DataFrame, c: DiscoveryConfig) -> DataFrame:
     """Refinement suppression, then the routers in order; every detection that survives refinement keeps a row."""
     x = iv.suppress(events, ["recording_id"], "start_sec", "end_sec", "event_id", [-F.coalesce("peak_db", "rms_db", "duration_sec")], c.refine_nms, "parent_event_id")
     x = rt.route(rt.start(x), F.col("is_mixed"), rt.MIXED, F.coalesce("mix_reason", F.lit("mixed")))
+    x = rt.route(x, F.col("component_reason") != "clusterable_component", rt.COMPONENT_REVIEW, F.col("component_reason"))
     x = rt.route(x, F.col("detection_score") < c.min_detection, rt.LOW_DETECTION, "low_detection")
     low = sc.low_confidence(F.col("quality_score"), F.col("snr_db"), F.col("spectral_flatness"), F.col("tonality_score"), c.noise_mode, c.min_quality, c.min_snr, c.noise_flatness, c.min_tonality, c.tonality_floor)
     x = rt.route(x, low, rt.LOW_NOISE, "noise_quality")

@@ -124,6 +124,27 @@ def test_interval_pipeline(spark, folder, tmp_path):
     assert res.png(scene(0.3, []), RATE)[:4] == b"\x89PNG"
 
 
+def test_bands_find_what_full_band_votes_miss():
+    c = DiscoveryConfig(rate=RATE, frame=1024, hop=256)
+    t = np.arange(10 * RATE) / RATE
+    x = scene(10, [(5.0, tone(5000, 0.5, amp=0.05))], noise=0.0005) + k.band_pass(np.random.default_rng(3).normal(0, 1.0, len(t)), RATE, 100, 700).astype(np.float32)
+    near = lambda cfg: [d for d in discovery.detect(x, RATE, cfg) if d["start"] > 4.3 and d["end"] < 6.2 and d["start"] < 5.3 < d["end"]]
+    assert near(c) and not near(DiscoveryConfig(rate=RATE, frame=1024, hop=256, multiband=False))
+
+
+def test_components_have_their_own_times_and_pass_the_gate(spark):
+    c = DiscoveryConfig(rate=RATE, frame=1024, hop=256, max_event=8.0)
+    x = scene(6, [(1.0, tone(500, 1.0)), (1.7, tone(3500, 1.0))], noise=0.0005)
+    docs = spark.createDataFrame([("r", RATE, bytearray(x.tobytes()))], "recording_id string, sample_rate int, samples binary")
+    found = [r for r in discovery.detections(docs, c).collect() if r.is_component]
+    assert len(found) == 2
+    low, high = sorted(found, key=lambda r: r.spectral_centroid)
+    assert low.end_sec < 2.3 and high.start_sec > 1.4 and all(abs(r.end_sec - r.start_sec - r.duration_sec) < 1e-9 for r in found)
+    made = spark.createDataFrame([("r", f"e_c{i}", "e", True, p, 0.3, 20.0, 0.8, 0.5) for i, p in enumerate((0.95, 0.9, 0.85))] + [("r", "f_c0", "f", True, 0.6, 0.3, 20.0, 0.8, 0.5), ("r", "g", None, False, 0.9, None, None, None, 0.5)], "recording_id string, event_id string, parent_event_id string, is_component boolean, purity_score double, component_energy_ratio double, component_snr_db double, component_compactness double, duration_sec double")
+    why = {r.event_id: r.component_reason for r in discovery.gated(made).collect()}
+    assert why == {"e_c0": "clusterable_component", "e_c1": "clusterable_component", "e_c2": "component_rank_exceeds_clustering_limit", "f_c0": "component_purity_below_threshold", "g": None}
+
+
 def test_window_graph_pipeline(spark, folder):
     c = WindowConfig(rate=RATE, window=1.0, hop=0.5, neighbours=5, min_cluster=3, max_gap=0.5)
     win, events, clusters = window_graph.run(src.load(spark, str(folder), RATE).where("recording_id = 'a'"), c)

@@ -89,12 +89,14 @@ class WindowConfig:
     max_event: float = 30.0
     max_gap: float = 1.0
     nms: float = 0.5
+    refine: bool = True
     envelope_db: float = 8.0
     envelope_pad: float = 0.05
     smoothing: float = 0.02
     few_shot: float = 0.45
     representatives: int = 16
     encoder: str = "mock"
+    denoiser: str = "identity"
     seed: int = 42
 
     def __post_init__(self) -> None:

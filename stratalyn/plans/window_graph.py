@@ -14,6 +14,7 @@ from stratalyn.functions import kernels as k
 from stratalyn.functions import plugins
 from stratalyn.functions import scores as sc
 from stratalyn.operators import intervals as iv
+from stratalyn.operators import tagging as tg
 from stratalyn.operators import vectors as vx
 from stratalyn.plans.session import shared_dir
 
@@ -22,12 +23,12 @@ WINDOWS = "recording_id string, win_idx int, start_sec double, rms_db double, em
 
 def windows(recordings: DataFrame, c: WindowConfig) -> DataFrame:
     """Embedded windows; silent ones keep their row, without an embedding. A few windows are in memory at a time."""
-    encoder = plugins.find(plugins.ENCODERS, c.encoder)
+    encoder, denoise = plugins.find(plugins.ENCODERS, c.encoder), plugins.find(plugins.DENOISERS, c.denoiser)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples():
-                x = k.resample(np.frombuffer(row.samples, np.float32), int(row.sample_rate), c.rate)
+                x = denoise(k.resample(np.frombuffer(row.samples, np.float32), int(row.sample_rate), c.rate), c.rate)
                 size, hop = int(c.window * c.rate), int(c.hop * c.rate)
                 n = 1 if len(x) <= size else (len(x) - size) // hop + (2 if hop <= size else 1)
                 for first in range(0, n, 32):
@@ -75,13 +76,41 @@ def grouped(win: DataFrame, c: WindowConfig) -> DataFrame:
     return win.join(found, ["recording_id", "win_idx"], "left").na.fill({"label": -1, "stability": 0.0})
 
 
-def events(labelled: DataFrame, c: WindowConfig) -> DataFrame:
-    """Runs of windows, overlapping runs suppressed by stability, numbered in time order."""
+def refined(kept: DataFrame, recordings: DataFrame, c: WindowConfig) -> DataFrame:
+    """Events with the bounds of their envelope in the recording as it is; a silent event keeps its own.
+
+    Each recording meets the list of its events. The lists are small beside the samples, so the plan sends them to the
+    samples as long as they fit the broadcast threshold.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.itertuples():
+                x, out = k.resample(np.frombuffer(row.samples, np.float32), int(row.sample_rate), c.rate), []
+                for s in row.spans:
+                    start, end = s["start_sec"], s["end_sec"]
+                    clip = x[int(round(start * c.rate)) : int(round(end * c.rate))]
+                    if len(clip) and np.abs(clip).max() > 1e-9:
+                        a, b = k.refine_envelope(clip, c.rate, c.envelope_db, c.envelope_pad, c.smoothing)
+                        start, end = start + a, min(end, start + b)
+                    out.append((row.recording_id, s["key"], start, end))
+                yield pd.DataFrame(out, columns=["recording_id", "key", "start_sec", "end_sec"])
+
+    spans = kept.groupBy("recording_id").agg(F.collect_list(F.struct("key", "start_sec", "end_sec")).alias("spans"))
+    heard = recordings.where("samples is not null").select("recording_id", "sample_rate", "samples").join(spans, "recording_id")
+    bounds = heard.select("recording_id", "sample_rate", "samples", "spans").mapInPandas(run, "recording_id string, key string, start_sec double, end_sec double")
+    return kept.drop("start_sec", "end_sec").join(bounds, ["recording_id", "key"])
+
+
+def events(labelled: DataFrame, c: WindowConfig, recordings: DataFrame | None = None) -> DataFrame:
+    """Runs of windows, overlapping runs suppressed by stability, refined if there are recordings, numbered in time order."""
     from pyspark.sql import Window
 
     found = iv.runs(labelled.select("recording_id", "win_idx", "start_sec", "label", "stability", "rms_db"), ["recording_id"], "start_sec", "label", "win_idx", c.window, c.max_gap, max(c.max_event, c.window), c.min_event, ["stability", "rms_db"])
     named = found.withColumn("key", F.concat_ws("-", "label", F.format_string("%012.3f", "start_sec")))
     kept = iv.suppress(named, ["recording_id"], "start_sec", "end_sec", "key", [-F.col("mean_stability"), F.col("start_sec") - F.col("end_sec")], c.nms)
+    if recordings is not None and c.refine:
+        kept = refined(kept.checkpoint(), recordings, c)
     order = F.row_number().over(Window.partitionBy("recording_id").orderBy("start_sec", "end_sec", "key")) - 1
     return kept.withColumn("event_id", F.format_string("event_%06d", order)).drop("key")
 
@@ -112,10 +141,20 @@ def few_shot(clusters: DataFrame, found: DataFrame, labels: DataFrame, c: Window
     return named.withColumn("name", F.when(F.col("b._s") >= c.few_shot, F.col("b.name"))).withColumn("folder", F.concat_ws("_", F.format_string("cluster_%03d", "label"), F.when(F.col("name").isNotNull(), sc.slug(F.col("name"))))).drop("b")
 
 
-def run(recordings: DataFrame, c: WindowConfig | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(windows, events, clusters) of all recordings."""
+def captioned(clusters: DataFrame, found: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Clusters with the prompt (prompt, embedding) nearest to the mean of their first representatives."""
+    reps = clusters.select("recording_id", "label", F.posexplode("representatives").alias("_pos", "event_id")).join(found.select("recording_id", "event_id", "embedding"), ["recording_id", "event_id"])
+    best = tg.caption(reps, prompts, ["recording_id", "label"], "embedding", "_pos")
+    return clusters.join(best.select("recording_id", "label", F.col("prompt").alias("caption"), F.col("similarity").alias("caption_score")), ["recording_id", "label"], "left")
+
+
+def run(recordings: DataFrame, c: WindowConfig | None = None, prompts: DataFrame | None = None, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(windows, events, clusters) of all recordings; captions if there are prompts, names if there are labelled events."""
     c = c or WindowConfig()
     shared_dir(recordings.sparkSession)
     win = grouped(windows(recordings, c).checkpoint(), c).checkpoint()  # the encoder runs once
-    found = embedded(events(win, c), win).checkpoint()
-    return win, found, summarised(found, c)
+    found = embedded(events(win, c, recordings), win).checkpoint()
+    clusters = summarised(found, c)
+    if prompts is not None:
+        clusters = captioned(clusters, found, prompts)
+    return win, found, clusters if labels is None else few_shot(clusters, found, labels, c)

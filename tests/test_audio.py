@@ -156,6 +156,24 @@ def test_window_graph_pipeline(spark, folder):
     assert any(r.name == "Great Tit" and r.folder.endswith("Great_Tit") for r in named)
 
 
+def test_window_events_are_refined_named_and_captioned(spark, monkeypatch):
+    x = scene(40, [(t, tone(2000, 0.6)) for t in (3.2, 13.2, 23.2, 33.2)], noise=0.0001)
+    docs = spark.createDataFrame([("r", RATE, bytearray(x.tobytes()))], "recording_id string, sample_rate int, samples binary")
+    c = WindowConfig(rate=RATE, window=2.0, hop=1.0, neighbours=2, min_cluster=2, max_gap=0.5)
+    wide = window_graph.run(docs, WindowConfig(rate=RATE, window=2.0, hop=1.0, neighbours=2, min_cluster=2, max_gap=0.5, refine=False))[1].collect()
+    _, found, clusters = window_graph.run(docs, c)
+    rows = sorted(found.collect(), key=lambda r: (r.start_sec, r.end_sec, r.event_id))
+    assert wide and min(r.end_sec - r.start_sec for r in wide) >= 2.0 and len(rows) == len(wide)
+    assert any(r.end_sec - r.start_sec < 1.0 and abs(r.start_sec - at) < 0.2 for r in rows for at in (3.2, 13.2, 23.2, 33.2))
+    assert [r.event_id for r in rows] == [f"event_{i:06d}" for i in range(len(rows))]
+    prompts = spark.createDataFrame([("same", [float(v) for v in rows[0].embedding]), ("other", [-float(v) for v in rows[0].embedding])], "prompt string, embedding array<double>")
+    names = spark.createDataFrame([(rows[0].event_id, "Great Tit")], "event_id string, label string")
+    monkeypatch.setitem(plugins.DENOISERS, "mute", lambda y, rate: y * 0)
+    got = {r.label: r for r in window_graph.run(docs, c, prompts, names)[2].collect()}
+    assert got[rows[0].label].caption == "same" and any(r.name == "Great Tit" for r in got.values())
+    assert window_graph.windows(docs, WindowConfig(rate=RATE, window=2.0, denoiser="mute")).where("embedding is not null").count() == 0
+
+
 def test_annotations_and_labels(spark, tmp_path):
     (tmp_path / "n").mkdir()
     (tmp_path / "n/a.csv").write_text("Starttime,Endtime,Q\n0.5,1.0,POS\n2,3,NEG\n4,3,POS\nx,5,POS\n6,7,UNK\n")

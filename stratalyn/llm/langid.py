@@ -6,8 +6,8 @@ after an escape from each longer one, down to a uniform order. All code lengths
 per context node, so that scoring a text is two table look-ups per byte, exact, in numpy. The language with the
 shortest code for the whole text wins.
 
-Bytes are mapped to the ``SYMBOLS - 2`` most frequent ones of the sample, one symbol for the rest and one for the start
-of a text. Contexts seen fewer than ``LEAST`` times are not grown, which bounds the tables (a few tens of MB).
+The alphabet is all 256 bytes and the start of a text. Bytes that no sample holds are in no context and cost the same
+everywhere, so they share one row of the tables; that changes no code length. Contexts seen fewer than ``LEAST`` times are not grown, which bounds the tables (a few tens of MB).
 
 The sample is bounded (``PER_LANG`` documents a language, the smallest hashes of doc_id outside the held-out fifth; all
 their text is read). Texts are scored whole, streaming through mapInArrow; nothing is shuffled but the sample's ids.
@@ -32,7 +32,7 @@ from stratalyn.llm.common import held_out
 
 ORDER = 3
 PER_LANG = 150
-SYMBOLS = 96
+SYMBOLS = 257
 LEAST = 12
 PIECE = 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
@@ -44,10 +44,11 @@ class Model:
     symbol: np.ndarray  # byte to symbol
     node: np.ndarray  # the last ORDER symbols, packed, to the longest known context
     bits: np.ndarray  # context x symbol x language: code length
+    width: int  # rows of a context
 
     def code_lengths(self, raw: bytes) -> np.ndarray:
         """Bits of the whole text in each language."""
-        total, n = np.zeros(len(self.languages)), SYMBOLS
+        total, n = np.zeros(len(self.languages)), self.width
         tail = np.zeros(ORDER, np.int64)  # the start symbol is 0
         for at in range(0, len(raw), PIECE):
             s = np.concatenate((tail, self.symbol[np.frombuffer(raw, np.uint8, min(PIECE, len(raw) - at), at)]))
@@ -71,10 +72,10 @@ def train(samples: dict[str, list[bytes]]) -> Model:
     """Frozen statistics of each language's sample."""
     names = sorted(samples)
     seen = np.bincount(np.frombuffer(b"".join(b"".join(v) for v in samples.values()), np.uint8), minlength=256)
-    common = sorted(np.argsort(-seen, kind="stable")[: SYMBOLS - 2].tolist())
-    symbol = np.ones(256, np.int64)  # 0: start, 1: any other byte
-    symbol[common] = np.arange(2, 2 + len(common))
-    n = SYMBOLS
+    own = np.flatnonzero(seen)
+    symbol = np.ones(256, np.int64)  # 0: start, 1: any byte that no sample holds
+    symbol[own] = np.arange(2, 2 + len(own))
+    n = 2 + len(own)
     streams = {k: [np.concatenate((np.zeros(ORDER, np.int64), symbol[np.frombuffer(x, np.uint8)])) for x in v] for k, v in samples.items()}
 
     def grams(lang: str, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +97,7 @@ def train(samples: dict[str, list[bytes]]) -> Model:
     first = np.cumsum([0, *map(len, known)])
     bits = np.empty((first[-1], n, len(names)), np.float32)
     for j, k in enumerate(names):
-        lower = np.full((1, n), np.log2(n))  # uniform
+        lower = np.full((1, n), np.log2(SYMBOLS))  # uniform
         for order in range(ORDER + 1):
             contexts = known[order]
             suffix = contexts % n ** max(order - 1, 0)
@@ -112,15 +113,11 @@ def train(samples: dict[str, list[bytes]]) -> Model:
                 miss = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0) + below
             lower = np.where(c > 0, hit, miss)
             bits[first[order] : first[order + 1], :, j] = lower
-    # every context of full length points to its longest known suffix; a suffix's suffix is known or shorter still
+    # every context of full length points to its longest known suffix: longer ones are written over shorter ones
     node = np.zeros(n**ORDER, np.int32)
-    every = np.arange(n**ORDER)
     for order in range(1, ORDER + 1):
-        if len(known[order]):
-            part = every % n**order
-            at = np.minimum(np.searchsorted(known[order], part), len(known[order]) - 1)
-            node = np.where(known[order][at] == part, first[order] + at, node).astype(np.int32)
-    return Model(names, symbol, node, bits.reshape(-1, len(names)))
+        node.reshape(-1, n**order)[:, known[order]] = first[order] + np.arange(len(known[order]))
+    return Model(names, symbol, node, bits.reshape(-1, len(names)), n)
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
@@ -139,7 +136,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     samples: dict[str, list[bytes]] = {}
     for r in docs.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "doc_id", F.col("text").cast("binary").alias("raw")).orderBy("lang", "doc_id", "raw").collect():
         samples.setdefault(r.lang, []).append(bytes(r.raw))
-    return train(samples) if samples else Model([], np.zeros(256, np.int64), np.zeros(1, np.int32), np.zeros((0, 0), np.float32))
+    return train(samples) if samples else Model([], np.zeros(256, np.int64), np.zeros(1, np.int32), np.zeros((0, 0), np.float32), 1)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -216,6 +216,20 @@ def test_code_lengths_are_those_of_the_context_trees(monkeypatch):
     assert np.allclose(m.code_lengths(raw), got)
 
 
+def test_every_byte_of_the_samples_has_its_own_symbol(monkeypatch):
+    monkeypatch.setattr(langid, "LEAST", 3)
+    common = bytes(range(32, 127)) * 40  # more kinds than any cut of the alphabet to its most frequent bytes
+    samples = {"a": [common + "яюэ".encode() * 9], "b": [common + "ґєї".encode() * 9], "c": [common + "日本語".encode() * 9]}
+    m = langid.train(samples)
+    held = {x for v in samples.values() for raw in v for x in raw}
+    assert len({int(m.symbol[x]) for x in held}) == len(held) and m.symbol[0] == m.symbol[255] == 1
+    for k, text in (("a", "эюя"), ("b", "їєґ"), ("c", "語本日"), ("a", "\0 юэ \x7f")):
+        raw = text.encode()
+        bits = m.code_lengths(raw)
+        assert m.languages[int(np.argmin(bits))] == k
+        assert all(math.isclose(bits[j], slow_ppm(samples, raw, name), rel_tol=1e-5) for j, name in enumerate(m.languages))
+
+
 def test_languages_hold_out(spark):
     r = random.Random(6)
     parts = {"en": ["the", "ing", "and", "th"], "de": ["der", "sch", "ung", "ein"], "fr": ["eau", "que", "les", "é"]}

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from stratalyn.llm import bpe
 from stratalyn.llm.common import cut, shared_dir
 
-LENGTH = 256
-PER_SHARD = 32768
+LENGTH = 512
+PER_SHARD = 16384
 KEY = 0x5DEECE66D
 ROUNDS = 4
 HEAD = "<qii"

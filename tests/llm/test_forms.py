@@ -51,6 +51,10 @@ def test_other_spellings_of_special_tokens_are_plain_text():
         assert b"".join(map(t.packed.__getitem__, t.chunks(x))) == np.array(want, "<u2").tobytes(), x
 
 
+def test_production_parameters_of_shards():
+    assert (shards.LENGTH, shards.PER_SHARD) == (512, 16384)
+
+
 @needs_vocabulary
 def test_every_token_encodes_to_itself(monkeypatch):
     t = bpe.Tokenizer(bpe.read_vocabulary(queries.VOCABULARY))

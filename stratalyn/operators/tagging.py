@@ -44,14 +44,18 @@ def hint(top: Column, bio: Column, noise: Column) -> Column:
 
 
 def caption(clips: DataFrame, prompts: DataFrame, keys: list[str], vector: str, order: str, most: int = 4) -> DataFrame:
-    """The prompt most similar to the mean of a group's first clips; prompts (prompt, embedding) are a literal-sized table."""
+    """The prompt most similar to the mean of a group's first clips; prompts are (prompt, embedding).
+
+    Both sides may be large: the plan broadcasts one only if it is small, else it compares them in blocks, and each task
+    passes on no more than its best prompt of a group.
+    """
     from stratalyn.operators.vectors import centroids, ranked
 
     first = ranked(clips.withColumn("_o", -F.col(order)), keys, "_o", order, most)
     mean = centroids(first, keys, vector)
     p = prompts.select("prompt", F.col("embedding").alias("_p"))
     sim = F.round(dot(F.col("centroid"), F.col("_p")) / norm(F.col("_p")), 7)
-    best = mean.join(F.broadcast(p)).withColumn("_s", sim).groupBy(*keys).agg(F.max(F.struct("_s", "prompt")).alias("b"))
+    best = mean.crossJoin(p).withColumn("_s", sim).groupBy(*keys).agg(F.max(F.struct("_s", "prompt")).alias("b"))
     return best.select(*keys, F.col("b.prompt").alias("prompt"), F.col("b._s").alias("similarity"))
 
 

@@ -173,3 +173,26 @@ def test_stream_and_batch_windows_agree(spark, tmp_path):
     key = lambda d: sorted(map(tuple, d.collect()))
     assert key(out) == key(sw.tumbling(df, "ts", "10 minutes", ["user_id"]))
     assert sw.sessions(df, "user_id", "ts", "10 minutes").count() == 4
+
+
+def test_captions_compare_all_prompts_in_blocks(spark):
+    import numpy as np
+
+    from stratalyn.operators import tagging
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 6))
+    df = spark.createDataFrame([(i, i % 7, [float(v) for v in y]) for i, y in enumerate(x)], "vec_id long, label long, embedding array<double>")
+    prompts = df.selectExpr("concat('p', vec_id) AS prompt", "embedding").repartition(8)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = tagging.caption(df, prompts, ["label"], "embedding", "vec_id")
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+        best = {row.label: row.prompt for row in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    for label in range(7):
+        mean = x[label::7][:4].mean(axis=0)
+        like = np.round(x @ (mean / (np.linalg.norm(mean) + 1e-9)) / np.linalg.norm(x, axis=1), 7)
+        assert best[label] == max((v, f"p{i}") for i, v in enumerate(like))[1]

@@ -6,15 +6,23 @@ neighbour to the left, already known, is compatible: a pair of tokens is compati
 first, never shows a pair across the boundary that would have merged earlier. Back-pointers give the exact ids, in time
 linear in the word.
 
+Work is done on blocks of texts: Arrow lower-cases and splits them and numbers their distinct words, numpy runs the
+dynamic programme over all words of a block at once, one prefix length at a time, and the ids of a text are gathered
+by the numbers of its words. Few or very long words go one by one, in time linear in the word.
+
 The driver reads the vocabulary once and broadcasts it (1.7 MB); each Python worker builds the automaton once and keeps
-a bounded table of words. Texts stream through mapInArrow whole; nothing is shuffled.
+bounded tables of words and of pairs. Whole texts stream through mapInArrow; nothing is shuffled. A text of more than
+``BLOCK`` bytes is taken in pieces that end at white space, so memory follows the block and the ids of one text.
 
 Text is normalised and split as the vocabulary file says: NFC, white space, lower case; letters, single digits and
 other runs. Strings of special tokens are single ids. Texts outside Latin letters go through the library's normaliser
 and splitter, never through its model.
 
-Defined results: null and empty texts have no ids and decode to an empty text; repeated rows get equal results; other
-columns pass through ``encode``; an empty table gives an empty table.
+Decoding looks up the token of every id; the vocabulary file names no decoder, so tokens are joined by spaces.
+
+Defined results: null and empty texts have no ids and decode to an empty text; very long texts and words are encoded
+whole; repeated rows get equal results; bytes that are not UTF-8 count as replacement characters; a column named like
+an output is replaced, all others pass through ``encode`` and ``decode``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,21 +30,99 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
-from array import array
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalyn.llm.common import beside, schema_of
+
 KEPT_WORDS = 600_000
-KEPT_PAIRS = 2_000_000
-_LITTLE = sys.byteorder == "little"
-#: Anything but letters and signs for which NFC changes nothing and str.lower() is the library's lower case.
-_ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]")
+KEPT_PAIRS = 1 << 20
+BLOCK = 8 << 20
+GROUP = 16_384  # words in one run of the dynamic programme
+FEW = 48  # fewer words go one by one
+#: Texts with anything but letters and signs for which NFC changes nothing and Arrow's lower case is the library's.
+_PLAIN = "".join(c for c in map(chr, [*range(0xA1, 0xAD), *range(0xAE, 0x250)]) if pc.utf8_lower(pa.scalar(c)).as_py() == c.lower())
+_ODD = "[^\\t\\n\\r\\x20-\\x7e" + _PLAIN + "]"
+_GAP = re.compile(rb"[\t\n\r ]")
+
+
+class _Map:
+    """Whole numbers below 2**62 to numbers, in numpy: open addressing, at most half full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, room: int = 0):
+        self.mask = (1 << max(4, (2 * max(len(keys), room)).bit_length())) - 1
+        self.keys, self.values, self.n = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, values.dtype), 0
+        self.put(keys, values)
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) & self.mask
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that are not in the table yet."""
+        self.n += len(keys)
+        at, left = self._start(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = keys[free]  # of several at one place the last one stays
+            self.values[at[free]] = values[free]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & self.mask
+
+    def get(self, keys: np.ndarray, default: int) -> np.ndarray:
+        at = self._start(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], default)
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found = self.keys[at[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every piece, one piece after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+#: Kinds of letters below U+0250: 1 letters, 2 numbers, 3 all others.
+_KIND = np.array([{"L": 1, "N": 2}.get(unicodedata.category(chr(i))[0], 3) for i in range(0x250)], np.uint8)
+
+
+def _runs(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words below U+0250 cut into runs of letters, single numbers and runs of others, and how many each word has."""
+    raw, offsets = _raw(words)
+    raw, offsets = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+    kind, inside = _KIND[np.minimum(raw, 127)], (raw & 0xC0) == 0x80
+    lead = np.flatnonzero((raw >= 0xC2) & (raw < 0xCA))
+    kind[lead] = kind[lead + 1] = _KIND[np.minimum((raw[lead] & 0x1F).astype(np.int64) << 6 | raw[lead + 1] & 0x3F, 0x24F)]
+    head = np.ones(len(raw), bool)
+    head[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    head &= ~inside
+    head[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(head)
+    counts = np.diff(np.searchsorted(starts, offsets))
+    bounds = np.concatenate((starts, [len(raw)])).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))), counts
+
+
+def _raw(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a string array without nulls."""
+    _, offsets, data = strings.buffers()
+    o = np.frombuffer(offsets, np.int32, len(strings) + 1, 4 * strings.offset).astype(np.int64) if offsets else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), o
 
 
 class Tokenizer:
@@ -57,11 +143,34 @@ class Tokenizer:
         self._next: dict[int, int] = {}
         self._whole: dict[int, bool] = {}
         self._automaton(vocab)
-        pattern = next(p["pattern"]["Regex"] for p in given["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self._words = regex.compile(pattern).findall
+        self._arrays()
+        self._pattern = next(p["pattern"]["Regex"] for p in given["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._specials = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self._library = None
-        self.shown, self.packed = _Table(self._show), _Table(self._pack)
+        self._forget()
+        shown = [self.text.get(i, "") for i in range(size)]
+        self.token_text, self.decimal = pa.array([x + " " for x in shown]), pa.array([f"{i} " for i in range(size)])
+
+    def _arrays(self) -> None:
+        """The same tables for numpy."""
+        keys = lambda d: np.fromiter(d, np.int64, len(d))
+        self.n_rank, self.n_left, self.n_right, self.n_length = (np.array(x, np.int64) for x in (self.rank, self.left, self.right, self.length))
+        self.n_merge = _Map(keys(self.merge), np.fromiter(self.merge.values(), np.int64, len(self.merge)))
+        edges = {at << 17 | s: to for at, go in enumerate(self._go) for s, to in go.items()}
+        self.n_go, self.n_back = _Map(keys(edges), np.fromiter(edges.values(), np.int64, len(edges))), np.array(self._back, np.int64)
+        self.n_token, self.n_hit = np.array(self._ends, np.int64), np.zeros(len(self._go), np.int64)
+        for at in self._order:  # the nearest suffix, itself included, that is a token
+            self.n_hit[at] = at if self._ends[at] >= 0 else self.n_hit[self._back[at]]
+        self.n_more = self.n_hit[self.n_back]
+        self.n_whole = np.full(len(self.rank), -1, np.int8)
+        self.n_pairs = _Map(np.zeros(0, np.int64), np.zeros(0, np.int8), KEPT_PAIRS)
+        self.n_byte = np.array(self._byte, np.int32)
+
+    def _forget(self) -> None:
+        """An empty table of words: their ids one after the other, where each begins, and how many it has."""
+        self.known: dict[str, int] = {}
+        self.ids, self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
 
     def _bytes_to_signs(self, vocab: dict[str, int]) -> list[tuple[int, int]]:
         """For each byte its symbol inside a word and at the end of one."""
@@ -97,7 +206,7 @@ class Tokenizer:
                 back[to] = go[b].get(s, 0)
                 queue.append(to)
         # breadth first: a node's suffix is shallower, so its matches are known before the node's own
-        self._go, self._back, self._found = go, back, found
+        self._go, self._back, self._found, self._ends, self._order = go, back, found, ends, queue
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the encoding of a's text followed by b's is just (a, b)."""
@@ -183,78 +292,247 @@ class Tokenizer:
         out.reverse()
         return out
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of one word, normalised, as text; a word of the library's splitter starts with a NUL, a special token with \\1."""
-        if word[0] == "\0":
-            signs = [self._sign_ids[c] for c in word[1:]]
-        elif word[0] == "\1":
+    def _next_state(self, at: np.ndarray, s: np.ndarray) -> np.ndarray:
+        out = self.n_go.get(at << 17 | s, -1)
+        left = np.flatnonzero(out < 0)
+        while len(left):
+            root = at[left] == 0
+            out[left[root]] = 0
+            left = left[~root]
+            at[left] = self.n_back[at[left]]
+            out[left] = self.n_go.get(at[left] << 17 | s[left], -1)
+            left = left[out[left] < 0]
+        return out
+
+    def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``compatible`` for many pairs at once, kept in a bounded table."""
+        keys = a << 17 | b
+        out = self.n_pairs.get(keys, -1)
+        miss = np.unique(keys[out < 0])
+        if not len(miss):
+            return out > 0
+        if self.n_pairs.n + len(miss) > KEPT_PAIRS:
+            self.n_pairs = _Map(np.zeros(0, np.int64), np.zeros(0, np.int8), max(KEPT_PAIRS, len(miss)))
+        x, y, ok = miss >> 17, miss & 0x1FFFF, np.zeros(len(miss), np.int8)
+        limit, left = np.full(len(miss), len(self.rank)), np.arange(len(miss))
+        while len(left):
+            p, q = x[left], y[left]
+            fine = self.n_merge.get(p << 17 | q, 1 << 40) >= limit[left]
+            left, p, q = left[fine], p[fine], q[fine]
+            rp, rq = self.n_rank[p], self.n_rank[q]
+            first, done = rp > rq, (rp <= rq) & (rq < 0)
+            ok[left[done]] = 1
+            limit[left] = np.where(first, rp, rq + 1)
+            x[left], y[left] = np.where(first, self.n_right[p], p), np.where(first, q, self.n_left[q])
+            left = left[~done]
+        self.n_pairs.put(miss, ok)
+        return self.n_pairs.get(keys, 0) > 0
+
+    def _whole_tokens(self, t: np.ndarray) -> np.ndarray:
+        out = self.n_whole[t]
+        for x in np.unique(t[out < 0]).tolist():
+            self.n_whole[x] = self.whole(x)
+        return self.n_whole[t] > 0
+
+    def _encode_group(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, shortest first, and how many each has; ``symbols`` has a row a word."""
+        words, longest = symbols.shape
+        last, state = np.zeros((words, longest), np.int32), np.zeros(words, np.int64)
+        begin = np.searchsorted(sizes, np.arange(longest), side="right")  # the words that go on at each place
+        for i in range(longest):
+            k = int(begin[i])
+            state[k:] = at = self._next_state(state[k:].copy(), symbols[k:, i].astype(np.int64))
+            at, left = self.n_hit[at], np.arange(words - k)
+            while len(left):
+                t = self.n_token[at]
+                n = self.n_length[t]
+                head = n > i
+                ok = np.empty(len(left), bool)
+                ok[head] = self._whole_tokens(t[head])
+                rest = np.flatnonzero(~head)
+                ok[rest] = self._compatible(last[k + left[rest], i - n[rest]].astype(np.int64), t[rest])
+                last[k + left[ok], i] = t[ok]
+                at, left = self.n_more[at[~ok]], left[~ok]
+        out, n, at, rows = np.zeros((words, longest), np.int32), np.zeros(words, np.int64), sizes - 1, np.arange(words)
+        while len(rows):  # back-pointers
+            t = last[rows, at[rows]]
+            out[rows, n[rows]] = t
+            n[rows] += 1
+            at[rows] -= self.n_length[t]
+            rows = rows[at[rows] >= 0]
+        turned = n[:, None] - 1 - np.arange(int(n.max()))
+        return np.take_along_axis(out, np.maximum(turned, 0), axis=1)[turned >= 0], n
+
+    def _encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of the splitter, one after the other, and how many each has."""
+        raw, offsets = _raw(pieces)
+        raw, offsets, sizes = raw[offsets[0] : offsets[-1]], offsets - offsets[0], np.diff(offsets)
+        full = sizes > 0
+        signs, ends = self.n_byte[raw, 0], offsets[1:][full] - 1
+        signs[ends] = self.n_byte[raw[ends], 1]
+        order = np.argsort(sizes, kind="stable")
+        order = order[int((~full).sum()) :]
+        n, parts, owners = np.zeros(len(sizes), np.int64), [], []
+        for at in range(0, len(order), GROUP):
+            rows = order[at : at + GROUP]
+            own = sizes[rows]
+            lo = 0
+            while lo < len(rows):  # a run's places stay in proportion to its signs
+                hi = int(np.searchsorted(own, max(16, 2 * own[lo]), side="right"))
+                mine, size = rows[lo:hi], own[lo:hi]
+                if len(mine) < FEW:
+                    each = [self.encode_symbols(signs[offsets[r] : offsets[r + 1]].tolist()) for r in mine.tolist()]
+                    n[mine] = [len(x) for x in each]
+                    parts += [np.array(x, np.int32) for x in each]
+                else:
+                    matrix = np.zeros((len(mine), int(size[-1])), np.int32)
+                    matrix[np.arange(int(size[-1])) < size[:, None]] = signs[spread(offsets[mine], size)]
+                    ids, n[mine] = self._encode_group(matrix, size)
+                    parts.append(ids)
+                owners.append(mine)
+                lo = hi
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        begin = np.zeros(len(sizes), np.int64)
+        placed = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        begin[placed] = np.cumsum(n[placed]) - n[placed]
+        return ids[spread(begin, n)], n
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks and how many each has; one from the library's splitter starts with a NUL, a special token with \\1."""
+        quoted = pc.match_substring(words, "'")  # the pattern's own cases; all others are cut by the kinds of their letters
+        rows = np.flatnonzero(quoted.to_numpy(zero_copy_only=False))
+        others = np.setdiff1d(np.arange(len(words)), rows, assume_unique=True)
+        alone, alone_counts = _runs(words.filter(pc.invert(quoted)))
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(words.filter(quoted), f"({self._pattern})", "\\1 "))
+        counts, first = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        for mine, each, base in ((others, alone_counts, 0), (rows, pc.list_value_length(split).to_numpy().astype(np.int64), len(alone))):
+            counts[mine] = each
+            first[mine] = base + np.cumsum(each) - each
+        pieces = pa.concat_arrays([alone, split.flatten()]).dictionary_encode()
+        ids, n = self._encode_pieces(pieces.dictionary)
+        each, begin = pieces.indices.to_numpy()[spread(first, counts)], np.cumsum(n) - n
+        ids, bounds = ids[spread(begin[each], n[each])], np.concatenate(([0], np.cumsum(n[each])))[np.concatenate(([0], np.cumsum(counts)))]
+        sizes = np.diff(bounds)
+        marked = np.flatnonzero(pc.match_substring_regex(words, "^[\\x00\\x01]").to_numpy(zero_copy_only=False)).tolist()
+        if marked:
+            own = [self._encode_signs(words[i].as_py()) for i in marked]
+            starts = bounds[:-1].copy()
+            sizes[marked] = [len(x) for x in own]
+            starts[marked] = len(ids) + np.cumsum(sizes[marked]) - sizes[marked]
+            ids = np.concatenate([ids, *(np.array(x, np.int32) for x in own)])[spread(starts, sizes)]
+        return ids, sizes
+
+    def _encode_signs(self, word: str) -> list[int]:
+        if word[0] == "\1":
             return [self.special[word[1:]]]
-        else:
-            byte = self._byte
-            signs = [byte[b] for b in word.encode()]
-        symbols = [s[0] for s in signs]
-        symbols[-1] = signs[-1][1]
-        return self.encode_symbols(symbols)
-
-    def _show(self, chunk: str) -> tuple[str, str]:
-        """Ids and tokens of what stands between two white spaces, each joined by spaces."""
-        if chunk[0] > "\1":
-            words = self._words(chunk)
-            if len(words) != 1:
-                each = [self.shown[w] for w in words]
-                return " ".join([x[0] for x in each]), " ".join([x[1] for x in each])
-        ids, text = self.encode_word(chunk), self.text
-        return " ".join(map(str, ids)), " ".join([text[i] for i in ids])
-
-    def _pack(self, chunk: str) -> bytes:
-        """Ids of the same as 16-bit little-endian numbers."""
-        if chunk[0] > "\1":
-            words = self._words(chunk)
-            if len(words) != 1:
-                return b"".join([self.packed[w] for w in words])
-        return array("H", self.encode_word(chunk)).tobytes() if _LITTLE else b"".join(i.to_bytes(2, "little") for i in self.encode_word(chunk))
-
-    def chunks(self, text: str) -> list[str]:
-        """What a text splits into before the vocabulary's own pattern: nothing crosses white space or a special token.
-
-        Special tokens are found in the raw text, before lower case, and marked: other spellings are plain text.
-        """
-        if self._specials and "<|" in text:
-            return [w for i, part in enumerate(self._specials.split(text)) for w in (["\1" + part] if i % 2 else self._plain(part))]
-        return self._plain(text)
-
-    def _plain(self, text: str) -> list[str]:
-        if text.isascii() and text.isprintable() or not _ODD.search(text):
-            return text.lower().split()
+        signs = [self._sign_ids[c] for c in word[1:]]
+        return self.encode_symbols([*(s[0] for s in signs[:-1]), signs[-1][1]])
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each distinct word in the table of words, which learns those it lacks."""
+        shown = words.to_numpy(zero_copy_only=False).tolist()
+        found = np.array(list(map(self.known.get, shown, repeat(-1))), np.int64)
+        miss = np.flatnonzero(found < 0)
+        if len(miss) and len(self.known) and len(self.known) + len(miss) > KEPT_WORDS:
+            self._forget()
+            found[:], miss = -1, np.arange(len(words))
+        if not len(miss):
+            return found
+        ids, sizes = self._encode_words(words.take(pa.array(miss)))
+        first = len(self.known)
+        need, count = self.used + len(ids), first + len(miss)
+        if need > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.used], np.zeros(2 * need - self.used, np.int32)))
+        if count > len(self.starts):
+            self.starts, self.sizes = (np.concatenate((x[:first], np.zeros(2 * count - first, np.int64))) for x in (self.starts, self.sizes))
+        self.ids[self.used : need], self.sizes[first:count] = ids, sizes
+        self.starts[first:count] = self.used + np.cumsum(sizes) - sizes
+        self.used, found[miss] = need, np.arange(first, count)
+        self.known.update(zip([shown[i] for i in miss.tolist()], range(first, count)))
+        return found
+
+    def _chunks(self, text: str) -> list[str]:
+        """What an odd text splits into: special tokens are found in the raw text, before lower case; other spellings are plain text."""
         if self._library is None:
             import tokenizers
 
             self._library = tokenizers.Tokenizer.from_str(self.source)
-        shown = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
-        return ["\0" + w for w, _ in shown if w]
-
-    def encode(self, text: str | None) -> list[int]:
-        return [int(i) for w in self.chunks(text or "") for i in self.shown[w][0].split()]
-
-    def decode(self, ids: list[int]) -> str:
-        """Tokens joined by spaces: the vocabulary file names no decoder."""
-        return " ".join(self.text[i] for i in ids)
+        out = []
+        for i, part in enumerate(self._specials.split(text) if self._specials else [text]):
+            if i % 2:
+                out.append("\1" + part)
+            else:
+                out += ["\0" + w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(part)) if w]
+        return out
 
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after the other, and the bounds of each text among them."""
+        odd = pc.match_substring_regex(texts, _ODD)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        strange = odd.to_numpy(zero_copy_only=False)
+        split = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(pc.invert(odd)) if strange.any() else texts))
+        words, counts = split.flatten(), np.zeros(len(texts), np.int64)
+        counts[~strange] = pc.list_value_length(split).to_numpy()
+        if strange.any():
+            own = [self._chunks(x) for x in texts.filter(odd).to_pylist()]
+            counts[strange] = [len(x) for x in own]
+            words = pa.concat_arrays([words, pa.array([w for x in own for w in x], pa.string())])
+        coded = words.dictionary_encode()
+        each = self._numbers(coded.dictionary)[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        if strange.any():  # words of odd texts stand after all others: put them in order
+            lead = np.empty(len(texts), np.int64)
+            for rows, base in ((np.flatnonzero(~strange), 0), (np.flatnonzero(strange), int(counts[~strange].sum()))):
+                lead[rows] = base + np.cumsum(counts[rows]) - counts[rows]
+            each = each[spread(lead, counts)]
+        n = self.sizes[each]
+        bounds = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
+        return self.ids[spread(self.starts[each], n)], bounds
+
+    def blocks(self, texts: pa.Array) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Blocks of a column of texts: the rows, their ids and bounds. A row of several pieces occurs in several blocks."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        size = np.diff(_raw(texts)[1])
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(np.cumsum(size[lo:]), BLOCK, side="right")) + lo)
+            block = texts.slice(lo, hi - lo)
+            if size[lo] <= BLOCK or pc.any(pc.match_substring_regex(block, _ODD)).as_py() or any(pc.any(pc.match_substring(block, s)).as_py() for s in self.special):
+                yield list(range(lo, hi)), *self.encode_block(block)
+            else:
+                raw, at = block[0].as_buffer().to_pybytes(), 0
+                while at < len(raw):
+                    gap = _GAP.search(raw, at + BLOCK)
+                    end = gap.start() if gap else len(raw)
+                    yield [lo], *self.encode_block(pa.array([raw[at:end].decode()]))
+                    at = end
+            lo = hi
+
+    def texts(self, column: pa.Array) -> Iterator[list[np.ndarray]]:
+        """The ids of every text, as a list of pieces, in order."""
+        row, held = -1, []
+        for rows, ids, bounds in self.blocks(column):
+            for j, r in enumerate(rows):
+                if r != row and row >= 0:
+                    yield held
+                    held = []
+                row = r
+                held.append(ids[bounds[j] : bounds[j + 1]])
+        if row >= 0:
+            yield held
 
-class _Table(dict):
-    """A bounded table of words; a miss is computed, a full table starts anew, long words are not kept."""
+    def encode(self, text: str | None) -> list[int]:
+        return np.concatenate(next(self.texts(pa.array([text], pa.string())))).tolist()
 
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
+    def shown(self, ids: np.ndarray, by: pa.Array, bounds: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """Entries of ``by`` for all ids, in one buffer, and the bounds in it of what lies between ``bounds``."""
+        found = by.take(pa.array(ids))
+        raw, offsets = _raw(found)
+        return memoryview(raw), offsets[bounds]
 
-    def __missing__(self, word: str):
-        got = self.make(word)
-        if len(word) <= 48:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = got
-        return got
+    def decode(self, ids: list[int]) -> str:
+        raw, ends = self.shown(np.array(ids, np.int32), self.token_text, np.array([0, len(ids)]))
+        return bytes(raw[ends[0] : max(ends[0], ends[1] - 1)]).decode()
 
 
 @lru_cache(maxsize=2)
@@ -270,22 +548,23 @@ def read_vocabulary(path: str) -> str:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with ``ids``, an array of token ids (a column of that name is replaced)."""
     docs = docs.drop("ids")
-    shared, keep = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path)), docs.columns
+    shared, keep, name = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path)), docs.columns, beside(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(shared.value)
         for batch in batches:
-            ids = [t.encode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"])
+            each = [np.concatenate(x) for x in t.texts(batch.column(batch.num_columns - 1))]
+            bounds = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int32), *each])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*keep, "ids"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", ids array<int>"
-    return docs.withColumn("_text", F.col("text")).mapInArrow(run, schema)
+    return docs.withColumn(name, F.make_valid_utf8("text")).mapInArrow(run, schema_of(docs, "ids array<int>"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``decoded``, the text of its ``ids`` (a column of that name is replaced)."""
     encoded = encoded.drop("decoded")
-    shared, keep = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(path)), encoded.columns
+    shared, keep, name = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(path)), encoded.columns, beside(encoded, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(shared.value)
@@ -293,27 +572,34 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             out = [t.decode(x or []) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], [*keep, "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields) + ", decoded string"
-    return encoded.withColumn("_ids", F.col("ids")).mapInArrow(run, schema)
+    return encoded.withColumn(name, F.col("ids")).mapInArrow(run, schema_of(encoded, "decoded string"))
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
-    """The columns of op4: both directions in one pass, through the tables of words."""
+    """The columns of op4: ids of every text, and the text decoded from these ids, as digests."""
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(shared.value)
-        show = t.shown.__getitem__
         for batch in batches:
-            n, ids, texts = [], [], []
-            for text in batch.column(1):
-                each = list(map(show, t.chunks(text.as_py() or "")))
-                found = " ".join([x[0] for x in each])
-                n.append(found.count(" ") + 1 if found else 0)
-                ids.append(sha(found))
-                texts.append(sha(" ".join([x[1] for x in each])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n = np.zeros(batch.num_rows, np.int64)
+            sums = {}  # row to running digests of its ids and of its decoded text
+            out = [[""] * batch.num_rows for _ in range(2)]
+            for rows, ids, bounds in t.blocks(batch.column(1)):
+                parts = [t.shown(ids, by, bounds) for by in (t.decimal, t.token_text)]
+                for j, r in enumerate(rows):
+                    more, sums = sums.get(r), {}
+                    for k, (raw, ends) in enumerate(parts):
+                        sha = more[k] if more else hashlib.sha256()
+                        if ends[j + 1] > ends[j]:
+                            if n[r]:
+                                sha.update(b" ")
+                            sha.update(raw[ends[j] : ends[j + 1] - 1])
+                        sums.setdefault(r, []).append(sha)
+                        out[k][r] = sha
+                    n[r] += bounds[j + 1] - bounds[j]
+            shown = [pa.array([x.hexdigest() for x in part], pa.string()) for part in out]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *shown], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", F.make_valid_utf8("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +31,28 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def beside(df: DataFrame, name: str) -> str:
+    """A column name made from ``name`` that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def schema_of(df: DataFrame, *more: str) -> str:
+    """The columns of ``df`` as a DDL string, with ``more`` after them."""
+    quoted = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields]
+    return ", ".join([*quoted, *more])
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may go without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = tempfile.mkdtemp(prefix="stratalyn-")
-            spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="stratalyn-")
+        spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
@@ -45,3 +60,39 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint; lost executors do not lose it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared place, wherever that lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key with at least this part of all rows is heavy; there are at most so many.
+HEAVY = 1024
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and says in ``n`` how many rows of ``left`` have it.
+
+    ``total`` is the number of rows of ``left``. Keys that hold 1 / HEAVY of it, at most HEAVY of them, are broadcast,
+    so that no task gets all rows of a hot key; all others are joined by a shuffle.
+    """
+    hot = F.broadcast(right.where(F.col(n) * HEAVY >= total))
+    cold = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(n) * HEAVY < total), keys, how)
+    return left.join(hot, keys).unionByName(cold).drop(n)
+
+
+def one_text_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids`` (bounded, one row a doc_id) with the text of that doc_id that has the smallest hash.
+
+    However often a doc_id is repeated, one row of it goes on; minima are taken before the shuffle.
+    """
+    text = F.col("text").cast("string")
+    best = docs.select("doc_id", F.struct(F.xxhash64(text).alias("h"), text.alias("text")).alias("best")).join(F.broadcast(ids), "doc_id")
+    others = [c for c in ids.columns if c != "doc_id"]
+    return best.groupBy("doc_id", *others).agg(F.min("best").alias("best")).select("doc_id", *others, F.col("best.text").alias("text"))

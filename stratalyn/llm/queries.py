@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from stratalyn.llm.common import read_table
 
 
 #: Where the vocabulary of public tokenizers lies; read on the driver and broadcast.
-VOCABULARY = os.environ.get("STRATALYN_VOCABULARY", "/opt/tokenizers/word_bpe_49k.json")
+VOCABULARY = os.environ.get("STRATALYN_VOCABULARY") or (importlib.import_module("public_tokenizers").path("word_bpe_49k.json") if importlib.util.find_spec("public_tokenizers") else "word_bpe_49k.json")
 
 
 def op1_pii_boosted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

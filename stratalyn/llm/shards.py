@@ -1,25 +1,32 @@
 """Token-id output in training order: fixed-stride binary shards for sequential, resumable reads.
 
 Documents become sequences of ``LENGTH`` token ids (16 bits each; the last sequence of a document is padded). Every
-sequence has a dense index: its number within its file of a checkpointed table plus the number of sequences in files
-before, from one count a file. A keyed Feistel network permutes an even-bit domain that covers the indexes; walking its
-cycle until it falls below their number makes that a permutation of the indexes, so every sequence gets one global
+sequence has a dense index: its number within its partition of the input plus the number of sequences in partitions
+before, from one count a partition. A keyed Feistel network permutes an even-bit domain that covers the indexes; walking
+its cycle until it falls below their number makes that a permutation of the indexes, so every sequence gets one global
 slot, without a sort, a shuffle seed per run or a table of the order. Slots are range-partitioned into shards of
 ``PER_SHARD`` slots; a record stands at ``(slot - first slot of its shard) * stride``, so a reader resumes at any slot
 by one seek.
 
-A shard is written under a name unique to the task attempt and counts only once the checkpointed manifest names it.
+Texts are encoded twice, once to count and once to deal: keeping the sequences between would store all ids a third time
+besides the shuffle and the shards. So the order of a given key follows the input's partitions: the same files, read in
+the same way, give the same order. A partition that yields another number of sequences than was counted raises an error,
+and so does a shard with a slot missing or twice; give a table, not the outcome of a shuffle, whose rows may come in
+another order when a lost executor's work is repeated.
+
+A shard is written under a name unique to the task attempt and counts only once the checkpointed manifest names it;
+``materialise`` then deletes what attempts that do not count have left.
 
 Record: doc_id (int64), number within its document (int32), tokens used (int32), ``LENGTH`` ids (uint16), little-endian.
 
-Defined results: null and empty texts have no sequence; null doc_ids are stored as the least int64 and read back null;
-repeated rows have sequences of their own; an empty table gives no shard and an empty table.
+Defined results: null and empty texts have no sequence; very long texts have as many sequences as they need; null doc_ids
+are stored as the least int64 and read back null; ties and repeated rows have sequences of their own; other columns are
+ignored, whatever their names; an empty table gives no shard and an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
 import uuid
 from collections.abc import Iterator
 
@@ -37,9 +44,13 @@ LENGTH = 512
 PER_SHARD = 16384
 KEY = 0x5DEECE66D
 ROUNDS = 4
-HEAD = "<qii"
-HEAD_SIZE = struct.calcsize(HEAD)
 NO_ID = -(1 << 63)
+AT_ONCE = 2048  # records in one buffer
+MOST_TASKS = 1 << 15  # of more shards, a task writes several, one after the other
+
+
+def record(length: int) -> np.dtype:
+    return np.dtype([("doc_id", "<i8"), ("chunk", "<i4"), ("used", "<i4"), ("ids", "<u2", (length,))])
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -65,84 +76,119 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
-    """(part, pos, doc_id, chunk, used, ids): the token sequences of all documents, numbered within their partition."""
+def _binary(flat: np.ndarray, used: np.ndarray) -> pa.Array:
+    """16-bit ids, one row after the other, as a binary column."""
+    offsets = np.concatenate(([0], np.cumsum(2 * used))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat.astype("<u2")))])
+
+
+def _cut(t: bpe.Tokenizer, batch: pa.RecordBatch, length: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sequences of a batch of (doc_id, text), some texts at a time: doc_id, chunk, used, and all ids in one row."""
+    row, held, size = 0, [], 0
+
+    def made(texts: list[np.ndarray], first: int):
+        n = np.array([len(x) for x in texts], np.int64)
+        chunks = -(-n // length)
+        chunk = bpe.spread(np.zeros(len(n), np.int64), chunks)
+        used = np.minimum(length, np.repeat(n, chunks) - chunk * length)
+        return batch.column(0).slice(first, len(n)).take(pa.array(np.repeat(np.arange(len(n)), chunks))), chunk, used, np.concatenate(texts)
+
+    for pieces in t.texts(batch.column(1)):
+        held.append(np.concatenate(pieces))
+        size += len(held[-1])
+        if size >= AT_ONCE * length:
+            yield made(held, row)
+            row, held, size = row + len(held), [], 0
+    if held:
+        yield made(held, row)
+
+
+def count(docs: DataFrame, path: str, length: int = LENGTH) -> dict[int, int]:
+    """The number of sequences of each partition of ``docs``: one number a partition reaches the driver."""
     shared = docs.sparkSession.sparkContext.broadcast(bpe.read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, part, pos = bpe.tokenizer(shared.value), TaskContext.get().partitionId(), 0
-        pack, kinds = t.packed.__getitem__, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        t, n = bpe.tokenizer(shared.value), 0
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = b"".join(map(pack, t.chunks(text.as_py() or "")))
-                for chunk, at in enumerate(range(0, len(ids), 2 * length)):
-                    piece = ids[at : at + 2 * length]
-                    rows.append((part, pos, doc_id, chunk, len(piece) // 2, piece))
-                    pos += 1
-            cols = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["part", "pos", "doc_id", "chunk", "used", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "part int, pos long, doc_id long, chunk int, used int, ids binary")
-
-
-def place(kept: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
-    """``kept`` (materialised sequences) with their global ``slot``, and the number of slots.
-
-    One count a partition reaches the driver, nothing else.
-    """
-    counts = sorted((r.part, r.n) for r in kept.groupBy("part").agg(F.count("*").alias("n")).collect())
-    offsets, total = {}, 0
-    for part, n in counts:
+            for pieces in t.texts(batch.column(0)):
+                n += -(-sum(map(len, pieces)) // length)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
+
+    return {r.part: r.n for r in docs.select(F.make_valid_utf8(F.col("text").cast("string"))).mapInArrow(run, "part int, n long").collect()}
+
+
+def sequences(docs: DataFrame, path: str, counts: dict[int, int], key: int = KEY, length: int = LENGTH) -> DataFrame:
+    """(slot, doc_id, chunk, used, ids): the token sequences of all documents at their global slots."""
+    total, offsets = 0, {}
+    for part in sorted(counts):
         offsets[part] = total
-        total += n
+        total += counts[part]
+    shared, placed = (docs.sparkSession.sparkContext.broadcast(x) for x in (bpe.read_vocabulary(path), (counts, offsets)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, part, pos = bpe.tokenizer(shared.value), TaskContext.get().partitionId(), 0
+        counts, offsets = placed.value
         for batch in batches:
-            base = np.array([offsets[p] for p in batch.column(0).to_pylist()], np.int64)
-            slot = permute(base + batch.column(1).to_numpy(), total, key) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), *batch.columns[2:]], ["slot", "doc_id", "chunk", "used", "ids"])
+            for doc_id, chunk, used, flat in _cut(t, batch, length):
+                slot = permute(offsets.get(part, 0) + pos + np.arange(len(used)), total, key)
+                pos += len(used)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), doc_id, pa.array(chunk, pa.int32()), pa.array(used, pa.int32()), _binary(flat, used)], ["slot", "doc_id", "chunk", "used", "ids"])
+        if pos != counts.get(part, 0):
+            raise ValueError(f"partition {part} has {pos} sequences where {counts.get(part, 0)} were counted")
 
-    return kept.mapInArrow(run, "slot long, doc_id long, chunk int, used int, ids binary"), total
+    return docs.select(F.col("doc_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string"))).mapInArrow(run, "slot long, doc_id long, chunk int, used int, ids binary")
 
 
 def write_shards(placed: DataFrame, total: int, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
     """The manifest (shard, file, first_slot, n, sha256) of the shards written."""
-    stride = HEAD_SIZE + 2 * length
+    kind = record(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, f, name, sha, first, n, done = None, None, "", None, 0, 0, []
+        f, done, shard, n = None, [], -1, 0
         for batch in batches:
-            for s, slot, doc_id, chunk, used, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if s != shard:
+            slot, used = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            rows = np.zeros(len(slot), kind)
+            rows["doc_id"], rows["chunk"], rows["used"] = batch.column(1).fill_null(NO_ID).to_numpy(), batch.column(2).to_numpy(), used
+            _, offsets, raw = batch.column(4).buffers()
+            o = np.frombuffer(offsets, np.int32, len(slot) + 1, 4 * batch.column(4).offset)
+            rows["ids"][np.arange(length) < used[:, None]] = np.frombuffer(raw, "<u2", (int(o[-1]) - int(o[0])) // 2, int(o[0])) if len(slot) else 0
+            cuts = np.flatnonzero(np.diff(slot // per_shard)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(slot)]):
+                if lo == hi:
+                    continue
+                if slot[lo] // per_shard != shard:
                     if f:
                         f.close()
-                        done.append((shard, name, first, n, sha.hexdigest()))
-                    shard, first, n, sha, name = s, s * per_shard, 0, hashlib.sha256(), f"{folder}/shard-{s:08d}-{uuid.uuid4().hex}.bin"
+                        done.append((shard, name, shard * per_shard, n, sha.hexdigest()))
+                    shard, n, sha = int(slot[lo] // per_shard), 0, hashlib.sha256()
+                    name = f"{folder}/shard-{shard:08d}-{uuid.uuid4().hex}.bin"
                     fs, at = pafs.FileSystem.from_uri(name)
                     fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
                     f = fs.open_output_stream(at, compression=None, buffer_size=1 << 20)
-                if slot != first + n:
-                    raise ValueError(f"slot {slot} where {first + n} was due")
-                record = (struct.pack(HEAD, NO_ID if doc_id is None else doc_id, chunk, used) + ids).ljust(stride, b"\0")
-                f.write(record)
-                sha.update(record)
-                n += 1
+                due = np.arange(shard * per_shard + n, shard * per_shard + n + hi - lo)
+                if (slot[lo:hi] != due).any():
+                    raise ValueError(f"shard {shard} lacks a slot or has one twice after {due[0]}")
+                piece = rows[lo:hi].tobytes()
+                f.write(piece)
+                sha.update(piece)
+                n += hi - lo
         if f:
             f.close()
-            done.append((shard, name, first, n, sha.hexdigest()))
+            done.append((shard, name, shard * per_shard, n, sha.hexdigest()))
         cols = list(zip(*done)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], ["shard", "file", "first_slot", "n", "sha256"])
 
     shards = max(1, -(-total // per_shard))
-    dealt = placed.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long")).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
-    return dealt.select("shard", "slot", "doc_id", "chunk", "used", "ids").mapInArrow(run, "shard long, file string, first_slot long, n long, sha256 string")
+    tasks = min(shards, MOST_TASKS)
+    # ranges of whole shards; their bounds are known, so no sample of the slots is taken
+    part = F.expr(f"CAST((slot DIV {per_shard}L) * {tasks}L DIV {shards}L AS INT)")
+    dealt = placed.repartitionById(tasks, part).sortWithinPartitions("slot")
+    return dealt.select("slot", "doc_id", "chunk", "used", "ids").mapInArrow(run, "shard long, file string, first_slot long, n long, sha256 string")
 
 
 def read_shards(manifest: DataFrame, length: int = LENGTH, resume_at: int = 0) -> DataFrame:
     """(slot, shard, doc_id, chunk, n_tokens, ids) of all slots from ``resume_at`` on, each shard read from one seek."""
-    stride = HEAD_SIZE + 2 * length
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    kind = record(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,27 +196,31 @@ def read_shards(manifest: DataFrame, length: int = LENGTH, resume_at: int = 0) -
                 fs, at = pafs.FileSystem.from_uri(name)
                 with fs.open_input_file(at) as f:
                     slot = max(first, resume_at)
-                    f.seek((slot - first) * stride)
+                    f.seek((slot - first) * kind.itemsize)
                     while slot < first + n:
-                        raw, rows = f.read(min(1024, first + n - slot) * stride), []
-                        for i in range(0, len(raw), stride):
-                            doc_id, chunk, used = struct.unpack_from(HEAD, raw, i)
-                            rows.append((slot, shard, None if doc_id == NO_ID else doc_id, chunk, used, raw[i + HEAD_SIZE : i + HEAD_SIZE + 2 * used]))
-                            slot += 1
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["slot", "shard", "doc_id", "chunk", "n_tokens", "ids"])
+                        rows = np.frombuffer(f.read(min(AT_ONCE, first + n - slot) * kind.itemsize), kind)
+                        used, doc_id = rows["used"].astype(np.int64), rows["doc_id"]
+                        ids = _binary(rows["ids"][np.arange(length) < used[:, None]], used)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.arange(slot, slot + len(rows))), pa.array(np.full(len(rows), shard, np.int64)), pa.array(doc_id, pa.int64(), mask=doc_id == NO_ID),
+                            pa.array(rows["chunk"], pa.int32()), pa.array(rows["used"], pa.int32()), ids,
+                        ], ["slot", "shard", "doc_id", "chunk", "n_tokens", "ids"])
+                        slot += len(rows)
 
     wanted = manifest.where(F.col("first_slot") + F.col("n") > resume_at).select("shard", "file", "first_slot", "n")
     return wanted.mapInArrow(run, "slot long, shard long, doc_id long, chunk int, n_tokens int, ids binary")
 
 
-def materialise(docs: DataFrame, path: str) -> DataFrame:
-    """Write all shards; the manifest, checkpointed."""
+def materialise(docs: DataFrame, path: str, key: int = KEY, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+    """Write all shards; the manifest, checkpointed. What attempts that do not count have left is deleted."""
     folder = f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
-    sequences(docs, path).write.option("parquet.compression.codec.zstd.level", 9).parquet(f"{folder}/sequences", compression="zstd")
-    placed, total = place(docs.sparkSession.read.parquet(f"{folder}/sequences"))
-    manifest = cut(write_shards(placed, total, folder))
-    fs, at = pafs.FileSystem.from_uri(f"{folder}/sequences")
-    fs.delete_dir(at)  # the shards hold them now, and the manifest is checkpointed
+    counts = count(docs, path, length)
+    manifest = cut(write_shards(sequences(docs, path, counts, key, length), sum(counts.values()), folder, length, per_shard))
+    fs, at = pafs.FileSystem.from_uri(folder)
+    kept = {r.file.rsplit("/", 1)[-1] for r in manifest.select("file").toLocalIterator()}  # one name a shard
+    for found in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)):
+        if found.base_name not in kept:
+            fs.delete_file(found.path)
     return manifest
 
 

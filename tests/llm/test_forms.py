@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import struct
 import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,7 +50,6 @@ def test_other_spellings_of_special_tokens_are_plain_text():
     for x in ("a <|ENDOFTEXT|> b", "<|EndOfText|>", "<|endoftext|> <|ENDOFTEXT|><|startoftext|> <|StartOfText|>", "日本 <|ENDOFTEXT|> é", "<|EndOfText|><|endoftext|>x"):
         want = lib.encode(x, add_special_tokens=False).ids
         assert t.encode(x) == want, x
-        assert b"".join(map(t.packed.__getitem__, t.chunks(x))) == np.array(want, "<u2").tobytes(), x
 
 
 def test_production_parameters_of_shards():
@@ -65,6 +66,71 @@ def test_every_token_encodes_to_itself(monkeypatch):
     assert small.encode(x) == t.encode(x)
 
 
+@needs_vocabulary
+def test_blocks_groups_and_single_words_give_the_same_ids(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    lib, source = tokenizers.Tokenizer.from_file(queries.VOCABULARY), bpe.read_vocabulary(queries.VOCABULARY)
+    r = random.Random(3)
+    word = lambda: "".join(r.choice(["the", "ing", "qu", "é", "x", "tion", "'s", "7", "½", "!?", "zz"]) for _ in range(r.randint(1, 9)))
+    many = [" ".join(word() for _ in range(r.randint(0, 60))) for _ in range(400)]
+    long = ["z" * 20_000, "ab" * 3_000 + " the", " ".join(word() for _ in range(40_000)), "日本 " * 5_000 + "<|endoftext|>", "a\xa0b " * 9_000, ("x" * 70 + "\n") * 400]
+    want = [e.ids for e in lib.encode_batch(many + long, add_special_tokens=False)]
+    for block, few in ((8 << 20, 48), (4096, 1), (1 << 14, 10**9)):
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        monkeypatch.setattr(bpe, "FEW", few)
+        t = bpe.Tokenizer(source)
+        assert [np.concatenate(x).tolist() for x in t.texts(pa.array(many + long))] == want
+
+
+@needs_vocabulary
+def test_encoding_keeps_columns_and_mends_bytes(spark, monkeypatch):
+    docs = spark.sql("select 1 doc_id, 'the cat' text, 2 _text, 3 `_text_`, 4 TEXT_, 5 _ids union all select 2, cast(x'74686520ff636174' as string), 6, 7, 8, 9")
+    got = bpe.decode(bpe.encode(docs, queries.VOCABULARY), queries.VOCABULARY).orderBy("doc_id").collect()
+    t = bpe.Tokenizer(bpe.read_vocabulary(queries.VOCABULARY))
+    assert [tuple(r[c] for c in ("_text", "_text_", "TEXT_", "_ids")) for r in got] == [(2, 3, 4, 5), (6, 7, 8, 9)]
+    assert [r.ids for r in got] == [t.encode("the cat"), t.encode("the \ufffdcat")] and got[0].decoded == "the</w> cat</w>"
+    assert bpe.digest(docs, queries.VOCABULARY).count() == 2 and shards.round_trip(docs, queries.VOCABULARY).count() == 2
+
+
+def slow_slot(i, n, key):
+    """The keyed Feistel permutation with cycle-walking, one index at a time."""
+    half, full = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2), (1 << 64) - 1
+
+    def mixed(x, k):
+        x = ((x ^ (k & full)) * 0x9E3779B97F4A7C15) & full
+        x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & full
+        return x ^ (x >> 32)
+
+    while True:
+        left, right = i >> half, i & ((1 << half) - 1)
+        for r in range(4):
+            left, right = right, left ^ (mixed(right, key + 0x1000003 * (r + 1)) & ((1 << half) - 1))
+        i = left << half | right
+        if i < n:
+            return i
+
+
+@needs_vocabulary
+def test_shards_hold_the_bytes_of_a_slow_writer(spark):
+    r, t = random.Random(9), bpe.Tokenizer(bpe.read_vocabulary(queries.VOCABULARY))
+    rows = [(i if i % 9 else None, " ".join(r.choice(["the", "cat", "sat", "é"]) for _ in range(r.choice([0, 1, 16, 17, 100]))), None, "s", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1).checkpoint()
+    length, per_shard, key = 16, 7, 12345
+    manifest = sorted(shards.materialise(docs, queries.VOCABULARY, key, length, per_shard).collect(), key=lambda m: m.shard)
+    records = []
+    for doc_id, text, *_ in rows:
+        ids = t.encode(text)
+        for chunk, at in enumerate(range(0, len(ids), length)):
+            piece = ids[at : at + length]
+            records.append(struct.pack("<qii", -(1 << 63) if doc_id is None else doc_id, chunk, len(piece)) + struct.pack(f"<{length}H", *piece, *[0] * (length - len(piece))))
+    placed = {slow_slot(i, len(records), key): x for i, x in enumerate(records)}
+    assert sorted(placed) == list(range(len(records)))
+    assert [(m.shard, m.first_slot, m.n) for m in manifest] == [(s, s * per_shard, min(per_shard, len(records) - s * per_shard)) for s in range(-(-len(records) // per_shard))]
+    for m in manifest:
+        raw = Path(m.file.removeprefix("file:")).read_bytes()
+        assert raw == b"".join(placed[m.first_slot + i] for i in range(m.n)) and hashlib.sha256(raw).hexdigest() == m.sha256
+
+
 @pytest.mark.parametrize("n", [64, 128, 384, 385 * 64, 64 * 4095 * 6 + 64])
 def test_payloads_come_back(n):
     p = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes()

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,10 +42,20 @@ def beside(df: DataFrame, name: str) -> str:
     return name
 
 
-def schema_of(df: DataFrame, *more: str) -> str:
-    """The columns of ``df`` as a DDL string, with ``more`` after them."""
-    quoted = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return ", ".join([*quoted, *more])
+def map_rows(df: DataFrame, value: Column, run, name: str, kind: DataType) -> DataFrame:
+    """``df`` with a column ``name``, made from ``value`` by ``run``, which maps an Arrow column to one of type ``kind``.
+
+    Rows travel as one column, so no name of theirs can clash; one that is called ``name`` is replaced.
+    """
+    given = df.drop(name)
+    packed = given.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in given.columns]).alias("row"), value.alias("value"))
+    schema = StructType([StructField("row", packed.schema["row"].dataType), StructField(name, kind)])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), run(batch.column(1))], ["row", name])
+
+    return packed.mapInArrow(each, schema).select("row.*", name)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -9,12 +9,14 @@ shortest code for the whole text wins.
 The alphabet is all 256 bytes and the start of a text. Bytes that no sample holds are in no context and cost the same
 everywhere, so they share one row of the tables; that changes no code length. Contexts seen fewer than ``LEAST`` times are not grown, which bounds the tables (a few tens of MB).
 
-The sample is bounded (``PER_LANG`` documents a language, the smallest hashes of doc_id outside the held-out fifth; all
-their text is read). Texts are scored whole, streaming through mapInArrow; nothing is shuffled but the sample's ids.
-
-Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the first language in code
-point order; without any learned language every text is ``und``; repeated rows get equal results; other columns are
-ignored; an empty table gives an empty table.
+The sample is bounded: ``PER_LANG`` documents of each of the ``LANGUAGES`` languages with most documents, the smallest
+hashes of doc_id outside the held-out fifth, of at most ``MOST_BYTES`` each (so 10 MB a language at most), and of a doc_id
+that is repeated one text. Texts are scored whole, streaming through mapInArrow; only ids are shuffled.
+
+Defined results: null texts and texts without a letter (Unicode category L) are ``und`` with score 0; very long texts are
+scored whole, piece by piece; ties go to the first language in code point order; without any learned language every text
+is ``und``; repeated rows get equal results; bytes that are not UTF-8 count as replacement characters; other columns are
+ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalyn.llm.common import held_out
@@ -35,7 +38,9 @@ PER_LANG = 150
 SYMBOLS = 257
 LEAST = 12
 PIECE = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+MOST_BYTES = 1 << 16
+LANGUAGES = 64
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
@@ -126,15 +131,17 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     Ids are ranked per language in two steps, within slices of the hash and then among the slices' first, so that a
     language that holds most rows is never ranked in one task; only the chosen texts reach the driver.
     """
-    from pyspark.sql import Window
-
-    able = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = able.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    able = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= MOST_BYTES))
+    names = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    # one row a language and doc_id, however often it is repeated
+    ids = able.groupBy("lang", "doc_id").agg(F.min(F.xxhash64("text")).alias("t")).join(F.broadcast(names), "lang").withColumn("h", F.xxhash64("doc_id"))
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
     sliced = ids.withColumn("slice", F.pmod("h", F.lit(64))).withColumn("r", rank("lang", "slice")).where(F.col("r") <= per_lang)
-    chosen = sliced.withColumn("r", rank("lang")).where(F.col("r") <= per_lang).select("lang", "doc_id").distinct()
+    chosen = sliced.withColumn("r", rank("lang")).where(F.col("r") <= per_lang).select("lang", "doc_id", "t")
+    found = able.select("lang", "doc_id", F.xxhash64("text").alias("t"), F.make_valid_utf8("text").alias("text")).join(F.broadcast(chosen), ["lang", "doc_id", "t"])
+    texts = found.groupBy("lang", "doc_id").agg(F.min("text").cast("binary").alias("raw"))
     samples: dict[str, list[bytes]] = {}
-    for r in docs.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "doc_id", F.col("text").cast("binary").alias("raw")).orderBy("lang", "doc_id", "raw").collect():
+    for r in texts.orderBy("lang", "doc_id").collect():
         samples.setdefault(r.lang, []).append(bytes(r.raw))
     return train(samples) if samples else Model([], np.zeros(256, np.int64), np.zeros(1, np.int32), np.zeros((0, 0), np.float32), 1)
 
@@ -150,7 +157,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", F.make_valid_utf8("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def report(docs: DataFrame) -> DataFrame:

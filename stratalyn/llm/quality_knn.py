@@ -6,12 +6,13 @@ sample. The sample's unit vectors and labels (at most ``LABELLED`` rows of ``DIM
 Every document's cosines with all of them are computed exactly, a block of documents at a time; the ``NEIGHBOURS`` most
 similar vote with a weight that grows with similarity.
 
-The labelled sample is bounded (``LABELLED`` rows, the smallest hashes of doc_id outside the held-out fifth). Only it
-is collected; documents stream through mapInArrow with bounded memory and no shuffle.
+The labelled sample is bounded (``LABELLED`` rows, the smallest hashes of doc_id outside the held-out fifth; of a doc_id
+that is repeated, one text). Only it is collected; documents stream through mapInArrow with bounded memory and no shuffle.
 
 Defined results: null and empty texts score as the zero vector, the share of label 1 among the sample; ties between
-neighbours go to the earlier sample row; repeated rows get equal scores; without labels every score is 0.5; other
-columns pass through; an empty table gives an empty table.
+neighbours go to the earlier sample row; very long texts are counted whole, piece by piece; of several labels of a doc_id
+the highest counts; repeated rows get equal scores; without labels every score is 0.5; other columns pass through
+``accepted`` whatever their names, ``score`` replaces one named like its output; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from stratalyn.llm.common import held_out
+from stratalyn.llm.common import beside, held_out, map_rows, one_text_each
 
 LABELLED = 4000
 BUCKETS = 1024
@@ -108,16 +110,16 @@ def _leading(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
-    """Learn from at most ``bound`` labelled documents; their counts, not their texts, reach the driver."""
+    """Learn from at most ``bound`` labelled documents, one text a doc_id; their counts, not their texts, reach the driver."""
     able = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = able.groupBy("doc_id").agg(F.max("quality").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    ids = able.groupBy("doc_id").agg(F.max("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [counts(x.as_buffer().to_pybytes() if x.is_valid else b"").astype("<u4").tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["h", "label", "n"])
 
-    sample = docs.join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id").alias("h"), F.col("_label").cast("int"), F.col("text").cast("binary"))
+    sample = one_text_each(docs, ids).select(F.xxhash64("doc_id").alias("h"), F.col("label").cast("int"), F.col("text").cast("binary"))
     rows = sorted(sample.mapInArrow(run, "h long, label int, n binary").collect(), key=lambda r: (r.h, bytes(r.n)))
     if not rows:
         return Model(np.ones(WIDTH), np.zeros((WIDTH, DIMS)), np.zeros((0, DIMS)), np.zeros(0))
@@ -131,34 +133,27 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
     return Model(weights, axes, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), marks)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None, out: str = "score") -> DataFrame:
-    """The columns ``keep`` of ``docs`` (default: all) with ``out``, the similarity-weighted share of label 1.
-
-    A column that already has this name is replaced.
-    """
-    keep = [c for c in (docs.columns if keep is None else keep) if c != out]
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """``docs`` with ``out``, the similarity-weighted share of label 1 (a column that has this name is replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            raw, scores = batch.column(batch.num_columns - 1), []
-            for at in range(0, len(raw), BLOCK):
-                block = np.stack([counts(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in raw[at : at + BLOCK]])
-                scores.append(model.score(damped(block)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*keep, out])
+    def run(raw: pa.Array) -> pa.Array:
+        scores = [np.zeros(0)]
+        for at in range(0, len(raw), BLOCK):
+            block = np.stack([counts(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in raw[at : at + BLOCK]])
+            scores.append(shared.value.score(damped(block)))
+        return pa.array(np.concatenate(scores), pa.float64())
 
-    given = docs.select(*keep, F.col("text").cast("binary").alias("_raw"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]) + f", `{out}` double"
-    return given.mapInArrow(run, schema)
+    return map_rows(docs, F.col("text").cast("binary"), run, out, DoubleType())
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The columns of op6."""
-    scored = score(docs, fit(docs.select("doc_id", "text"), labels), ["doc_id"])
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    found = score(docs.select("doc_id", "text"), fit(docs.select("doc_id", "text"), labels))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    return score(docs, fit(docs.select("doc_id", "text"), labels), out="_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    name = beside(docs, "score")
+    return score(docs, fit(docs.select("doc_id", "text"), labels), out=name).where(F.col(name) >= THRESHOLD).drop(name)

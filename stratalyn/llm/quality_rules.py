@@ -5,10 +5,13 @@ conjunction of thresholds is grown on two thirds of the labelled sample by infor
 pruned on the rest, kept if it stays precise, and what it covers is removed before the next one is grown. The list
 becomes one ordered CASE expression.
 
-The labelled sample is bounded (``LABELLED`` rows, the smallest hashes of doc_id outside the held-out fifth).
+The labelled sample is bounded (``LABELLED`` rows, the smallest hashes of doc_id outside the held-out fifth; of a doc_id
+that is repeated, one text).
 
-Defined results: null and empty texts have no words and fail the base rule; other columns pass through; repeated rows
-get equal verdicts; without labels the list is empty and the base rule alone decides; an empty table gives an empty one.
+Defined results: null and empty texts have no words and fail the base rule; very long texts are read whole; of several
+labels of a doc_id the highest counts; other columns pass through, but those named like an output are replaced; repeated
+rows get equal verdicts; without labels the list is empty and the base rule alone decides; an empty table gives an empty
+one.
 """
 
 from __future__ import annotations
@@ -19,47 +22,50 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalyn.llm.common import held_out, let, words_of
+from stratalyn.llm.common import beside, held_out, let, one_text_each, words_of
 
 LABELLED = 6000
 MAX_RULES, MAX_TESTS, PRECISION, LEAST = 8, 3, 0.95, 8
-STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_f")
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 FEATURES = ["n_words", "word_len", "symbols", "dup_lines", "repeats", "upper", "bangs", "digits", "word_share"]
 
 
 def _repeat_words(words: Column) -> Column:
     """Words that lie in a window of three that occurs at least twice.
 
-    Windows are sorted by hash, equal neighbours kept, their places sorted; three words each, less what overlaps.
+    Windows are sorted by hash and, where hashes are equal, by their words; equal neighbours are kept and their places
+    sorted; three words each, less what overlaps.
     """
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
+    each = lambda i: [F.get(words, i + k) for k in range(3)]
+    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.struct(F.xxhash64(*each(i)).alias("h"), *(w.alias(f"w{k}") for k, w in enumerate(each(i)))).alias("w"), i.alias("i")))
 
     def covered(s: Column) -> Column:
-        twice = F.filter(s, lambda w, k: (w["h"] == F.get(s, k + 1)["h"]) | F.coalesce(w["h"] == F.get(s, k - 1)["h"], F.lit(False)))
+        same = lambda a, b: F.coalesce((a["w"]["h"] == b["w"]["h"]) & (a["w"] == b["w"]), F.lit(False))
+        twice = F.filter(s, lambda w, k: same(w, F.get(s, k + 1)) | same(w, F.get(s, k - 1)))
         total = lambda p: F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
         return total(F.array_sort(F.transform(F.filter(twice, lambda w: w.isNotNull()), lambda w: w["i"])))
 
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(F.array_sort(windows), covered))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base statistics and ``_f``, the features of the list; columns of these names are replaced."""
-    docs = docs.drop(*STATISTICS)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = docs.withColumn("_words", words_of(F.col("text")))
+def statistics(docs: DataFrame, features: str = "features") -> DataFrame:
+    """``docs`` with the base statistics and the features of the list; columns of these names are replaced."""
+    docs = docs.drop(*STATISTICS, features)
+    text, w, n = F.coalesce(F.col("text"), F.lit("")), beside(docs, "words_of_text"), beside(docs, "counts_of_text")
+    words = docs.withColumn(w, words_of(F.col("text")))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     kept = lambda charset: F.length(F.regexp_replace(text, charset, ""))
+    signs = let(F.regexp_replace(text, "[^A-Z!0-9]+", ""), lambda x: F.struct(F.length(F.regexp_replace(x, "[^A-Z]+", "")).alias("upper"), F.length(F.regexp_replace(x, "[^!]+", "")).alias("bangs"), F.length(F.regexp_replace(x, "[^0-9]+", "")).alias("digits"), F.length(text).alias("chars")))
     base = words.select(
-        *docs.columns,
-        F.size("_words").cast("long").alias("n_words"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         kept("[^#*$%&|<>]+").cast("long").alias("n_symbols"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(F.col("_words"), _repeat_words).cast("long").alias("n_repeat_words"), F.length(text).alias("_chars"),
-        let(F.regexp_replace(text, "[^A-Z!0-9]+", ""), lambda x: F.struct(F.length(F.regexp_replace(x, "[^A-Z]+", "")).alias("upper"), F.length(F.regexp_replace(x, "[^!]+", "")).alias("bangs"), F.length(F.regexp_replace(x, "[^0-9]+", "")).alias("digits"))).alias("_c"),
+        let(F.col(w), _repeat_words).cast("long").alias("n_repeat_words"), signs.alias(n),
     )
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    features = [F.col("n_words").cast("double"), per("word_chars", "n_words"), per("n_symbols", "word_chars"), per("n_dup_lines", "n_words"), per("n_repeat_words", "n_words"), per("_c.upper", "word_chars"), per("_c.bangs", "word_chars"), per("_c.digits", "word_chars"), per("word_chars", "_chars")]
+    found = [F.col("n_words").cast("double"), per("word_chars", "n_words"), per("n_symbols", "word_chars"), per("n_dup_lines", "n_words"), per("n_repeat_words", "n_words"), per(f"{n}.upper", "word_chars"), per(f"{n}.bangs", "word_chars"), per(f"{n}.digits", "word_chars"), per("word_chars", f"{n}.chars")]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return base.withColumn("_f", F.array(*features)).withColumn("base_failed", failed).drop("_c", "_chars")
+    return base.withColumn(features, F.array(*found)).withColumn("base_failed", failed).drop(n)
 
 
 @dataclass(frozen=True)
@@ -74,10 +80,10 @@ class Rule:
             out &= x[:, f] > t if above else x[:, f] <= t
         return out
 
-    def expression(self) -> Column:
+    def expression(self, features: str) -> Column:
         out = F.lit(True)
         for f, above, t in self.tests:
-            v = F.get(F.col("_f"), F.lit(f))
+            v = F.get(F.col(features), F.lit(f))
             out = out & (v > t if above else v <= t)
         return out
 
@@ -129,29 +135,30 @@ def learn(x: np.ndarray, bad: np.ndarray) -> list[Rule]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> list[Rule]:
-    """The decision list; only numbers of at most ``bound`` labelled texts reach the driver."""
-    sample = docs.join(F.broadcast(_ids(labels, bound)), "doc_id")
+    """The decision list; only the numbers of at most ``bound`` labelled texts, one a doc_id, reach the driver."""
+    sample = one_text_each(docs, _ids(labels, bound))
     # not filtered here: a filter on the statistics would move below the join and compute them for every document
-    found = statistics(sample.select("doc_id", "text", "_label")).select(F.xxhash64("doc_id").alias("h"), "_f", "_label", "base_failed").collect()
-    rows = sorted((r for r in found if not r.base_failed), key=lambda r: (r.h, r._f))
+    found = statistics(sample).select(F.xxhash64("doc_id").alias("h"), "features", "label", "base_failed").collect()
+    rows = sorted((r for r in found if not r.base_failed), key=lambda r: (r.h, r.features))
     if not rows:
         return []
-    return learn(np.array([r._f for r in rows]), np.array([r._label == 0 for r in rows]))
+    return learn(np.array([r.features for r in rows]), np.array([r.label == 0 for r in rows]))
 
 
 def _ids(labels: DataFrame, bound: int) -> DataFrame:
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    return chosen.groupBy("doc_id").agg(F.max("quality").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return chosen.groupBy("doc_id").agg(F.max("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], features: str = "features") -> Column:
     """Ordered: base rule, then each learned rule rejects; what none covers is kept."""
     out = F.when(F.col("base_failed"), False)
     for rule in rules:
-        out = out.when(rule.expression(), False)
+        out = out.when(rule.expression(features), False)
     return out.otherwise(True)
 
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept."""
-    return statistics(docs).withColumn("kept", verdict(rules)).drop("_f")
+    features = beside(docs, "features")
+    return statistics(docs, features).withColumn("kept", verdict(rules, features)).drop(features)

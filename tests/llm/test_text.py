@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratalyn.llm import boosting, langid, mixing, pii, quality_knn, quality_rules
+from stratalyn.llm import boosting, langid, mixing, pii, quality_knn, quality_rules, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -279,10 +280,33 @@ def test_mix_meets_its_targets(mixed):
         assert 0 <= r.taken <= 3 * r.size
         by.setdefault((r.source_size, round(r.target, 6)), []).append(r.taken)
     assert sorted(by) == sorted((sizes[s], round(want[s], 6)) for s in sizes)
-    assert all(abs(sum(v) - t) <= 1 for (_, t), v in by.items())
+    assert all(abs(sum(v) - t) <= mixing.QUANTUM + 1 for (_, t), v in by.items())
+    assert sum(map(sum, by.values())) == sum(sizes.values())
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.report(docs).collect()), key=str)
 
 
+def test_mix_serves_the_sorted_queue(mixed):
+    """Every quantum of every pass in one list, sorted by virtual finish time and served until the budget is spent."""
+    rows, docs = mixed
+    sources = sorted({s for *_, s, _ in rows if s is not None}) + ([None] if any(s is None for *_, s, _ in rows) else [])
+    queue, served = [], Counter()
+    for rank, src in enumerate(sources):
+        mine = sorted((hashlib.md5((mixing.SEED + str(t if i is None else i)).encode()).hexdigest(), i if i is not None else -1, len((t or "").split())) for i, t, _, s, _ in rows if s == src)
+        size, weight = sum(x[2] for x in mine), mixing.WEIGHTS[rank % 3]
+        for e in range(mixing.EPOCHS):
+            at = e * size
+            for md5, i, n in mine:
+                for begin in range(0, n, 16):
+                    queue.append(((at + min(n, begin + 16)) / weight, rank, (md5, n), min(16, n - begin)))
+                at += n
+    left = sum(len((t or "").split()) for _, t, *_ in rows)
+    for _, _, doc, words in sorted(queue, key=lambda q: q[:2]):
+        served[doc] += min(words, left)
+        left -= min(words, left)
+    plans = mixing.plan(docs, quantum=16, span=100).collect()
+    assert sorted(sum(r.served) for r in plans if r.size) == sorted(served[k] for k in served)
+
+
 def test_mix_repeats_and_cuts_rows(mixed):
     rows, docs = mixed
     plan = mixing.report(docs).collect()
@@ -297,9 +321,77 @@ def test_mix_repeats_and_cuts_rows(mixed):
 
 def test_clashing_columns_pass_or_are_replaced(spark):
     docs, labels = made_corpus(spark, 60)
-    names = ["score", "spans", "base", "kept", "n_words", "size", "weight", "ids", "fp", "src"]
+    names = ["score", "spans", "base", "kept", "n_words", "size", "weight", "ids", "fp", "src", "_mark", "_n", "_size", "_text", "_spans", "_score", "_raw", "_f", "_words", "mark", "row", "all", "i", "pass", "served", "label", "base_spans", "text_given", "raw", "slice", "at", "d.row"]
     wide = docs.withColumns({n: F.lit(f"mine {n}") for n in names})
-    mine = lambda df: {n: {r[0] for r in df.select(n).collect()} for n in names}
+    mine = lambda df: {n: {r[0] for r in df.select(f"`{n}`").collect()} for n in names}
     want = {n: {f"mine {n}"} for n in names}
-    assert mine(pii.redact(wide)) == want and mine(mixing.mix(wide)) == want and mine(quality_knn.accepted(wide, labels)) == want
-    assert quality_rules.judge(wide, []).columns.count("kept") == 1 and quality_knn.score(wide, quality_knn.fit(docs, labels)).columns.count("score") == 1
+    for stage in (pii.redact, mixing.mix, lambda d: quality_knn.accepted(d, labels), simhash.one_of_each):
+        made = stage(wide)
+        assert made.columns == wide.columns and mine(made) == want
+    judged = quality_rules.judge(wide, [])
+    assert judged.columns.count("kept") == 1 and [r[0] for r in judged.select("_f").distinct().collect()] == ["mine _f"]
+    assert quality_knn.score(wide, quality_knn.fit(docs, labels)).columns.count("score") == 1
+
+
+def test_learning_takes_one_row_of_a_doc_id(spark):
+    """5,000 rows of one doc_id count once, so bounds on ids are bounds on rows."""
+    docs, labels = made_corpus(spark, 80)
+    one = next(r.doc_id for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5)
+    many = docs.union(docs.where(F.col("doc_id") == one).crossJoin(spark.range(5000)).drop("id"))
+    want, got = quality_knn.fit(docs, labels), quality_knn.fit(many, labels)
+    assert len(got.labels) == len(want.labels) <= 80 and np.array_equal(got.labels, want.labels) and np.allclose(got.vectors, want.vectors)
+    assert quality_rules.fit(many, labels) == quality_rules.fit(docs, labels)
+    few, lots = (langid.fit(d.select("doc_id", "text", "lang"), 30) for d in (docs, many))
+    assert few.languages == lots.languages and np.array_equal(few.bits, lots.bits) and np.array_equal(few.node, lots.node)
+
+
+def test_texts_without_letters_have_no_language(spark):
+    docs, _ = made_corpus(spark, 40)
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    odd = [None, "", "½ ² 12", "٣ Ⅷ ① ㊗", "_-!", "é", "字", "a1"]
+    got = [r.lang_pred for r in langid.identify(spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert got == ["und"] * 5 + ["en"] * 3
+    broken = spark.sql("select 1L doc_id, cast(x'ff74686520616e' as string) text")
+    assert langid.identify(broken, model).first().lang_pred == "en"
+
+
+def test_languages_of_many_scripts_keep_all_bytes():
+    """Code lengths over more than 96 distinct bytes are those of a slow coder."""
+    r = random.Random(8)
+    scripts = {"aa": range(0x61, 0x7B), "bb": range(0x410, 0x450), "cc": range(0x3B1, 0x3CA), "dd": range(0x4E00, 0x6E80, 61), "ee": range(0x5D0, 0x5EA)}
+    samples = {k: ["".join(chr(r.choice(v)) for _ in range(400)).encode() for _ in range(4)] for k, v in scripts.items()}
+    assert len({b for v in samples.values() for x in v for b in x}) > 96
+    model = langid.train(samples)
+    for k, v in scripts.items():
+        text = "".join(chr(r.choice(v)) for _ in range(60)).encode()
+        assert model.predict(text)[0] == k
+
+
+def test_very_long_texts_are_read_whole(spark):
+    """Personal data, statistics and languages of texts of several MB, in time that follows their length."""
+    model = pii.train(spark)
+    docs = spark.createDataFrame([(1, "call 555-123-4567 or a@b.de, " * 60_000, "en", "s", 0)], DOCS)
+    began = time.time()
+    found = pii.digest(docs, model).first()
+    assert found.n_email == 60_000 and found.spans.count(",") == 119_999
+    clean = pii.redact(docs, model).first()
+    assert clean.text == "call [PHONE] or [EMAIL], " * 60_000 and clean.n_chars == len(clean.text)
+    assert time.time() - began < 240
+    long = spark.createDataFrame([(1, "the an re ti on es la " * 60_000, "en", "s", 0), (2, None, "en", "s", 0)], DOCS)
+    got = {r.doc_id: r for r in quality_rules.judge(long, []).collect()}
+    assert (got[1].n_words, got[1].n_repeat_words, got[2].n_words) == (420_000, 420_000, 0)
+    assert {r.doc_id: r.size for r in mixing.report(long).collect()} == {1: 420_000, 2: 0}
+
+
+def test_added_spans_on_sentences_the_trees_have_not_seen(spark):
+    """Precision and recall of what the trees add, on made sentences of another seed."""
+    made = pii._examples(1200, 991)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t, _, _ in made], DOCS)
+    spans = {r.doc_id: [tuple(x.split(":")) for x in r.spans.split(",") if x] for r in pii.digest(docs).collect()}
+    hit = wrong = personal = 0
+    for i, text, span, label in made:
+        at = text.index(span)
+        over = any(int(s) < at + len(span) and int(e) > at for _, s, e in spans[i])
+        personal += label
+        hit, wrong = hit + (over and label), wrong + (over and not label)
+    assert hit / personal >= 0.95 and hit / max(1, hit + wrong) >= 0.95, (hit, wrong, personal)

@@ -41,8 +41,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from stratalyn.llm.common import beside, schema_of
+from stratalyn.llm.common import map_rows
 
 KEPT_WORDS = 600_000
 KEPT_PAIRS = 1 << 20
@@ -547,32 +548,24 @@ def read_vocabulary(path: str) -> str:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with ``ids``, an array of token ids (a column of that name is replaced)."""
-    docs = docs.drop("ids")
-    shared, keep, name = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path)), docs.columns, beside(docs, "text")
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(shared.value)
-        for batch in batches:
-            each = [np.concatenate(x) for x in t.texts(batch.column(batch.num_columns - 1))]
-            bounds = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int32), *each])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*keep, "ids"])
+    def run(texts: pa.Array) -> pa.Array:
+        each = [np.concatenate(x) for x in tokenizer(shared.value).texts(texts)]
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int32), *each])))
 
-    return docs.withColumn(name, F.make_valid_utf8("text")).mapInArrow(run, schema_of(docs, "ids array<int>"))
+    return map_rows(docs, F.make_valid_utf8("text"), run, "ids", ArrayType(IntegerType()))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``decoded``, the text of its ``ids`` (a column of that name is replaced)."""
-    encoded = encoded.drop("decoded")
-    shared, keep, name = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(path)), encoded.columns, beside(encoded, "ids")
+    shared = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(shared.value)
-        for batch in batches:
-            out = [t.decode(x or []) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], [*keep, "decoded"])
+    def run(ids: pa.Array) -> pa.Array:
+        return pa.array([tokenizer(shared.value).decode(x or []) for x in ids.to_pylist()], pa.string())
 
-    return encoded.withColumn(name, F.col("ids")).mapInArrow(run, schema_of(encoded, "decoded string"))
+    return map_rows(encoded, F.col("ids"), run, "decoded", StringType())
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalyn.llm import bpe
-from stratalyn.llm.common import cut, shared_dir
+from stratalyn.llm.common import cut, new_folder
 
 LENGTH = 512
 PER_SHARD = 16384
@@ -213,7 +213,7 @@ def read_shards(manifest: DataFrame, length: int = LENGTH, resume_at: int = 0) -
 
 def materialise(docs: DataFrame, path: str, key: int = KEY, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
     """Write all shards; the manifest, checkpointed. What attempts that do not count have left is deleted."""
-    folder = f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    folder = new_folder(docs.sparkSession, "shards")
     counts = count(docs, path, length)
     manifest = cut(write_shards(sequences(docs, path, counts, key, length), sum(counts.values()), folder, length, per_shard))
     fs, at = pafs.FileSystem.from_uri(folder)

@@ -13,14 +13,18 @@ radius, so its work stays near quadratic. The forest below keeps the tree's two
 * Shell level: within a branch, fingerprints are sharded by full Hamming distance to a vantage point. By the triangle
   inequality two linked fingerprints differ in that distance by at most four: a fingerprint is at home in one shell
   and queries the next shell down only if it lies within four of the boundary.
-* Large shards (many near copies with distinct fingerprints) are split into pairs of blocks of bounded size.
+* Large shards (many near copies with distinct fingerprints) are split into pairs of blocks of bounded size, homes and
+  queries alike.
 * Leaf level: each shard is searched with a vantage-point tree in memory, exact at its leaves.
 
 Each shard yields a spanning forest of its links, never all pairs; components are joined by alternating stars over
-DataFrames with reliable checkpoints. Nothing is collected to the driver but two counts.
+DataFrames, each round written to the shared folder. Fingerprints, hubs and components with very many rows are joined by
+broadcast, at most 1,024 of them, and all others by shuffles. Only counts are collected to the driver.
 
-Defined results: null and empty texts have fingerprint zero and link like others; repeated rows are one group; null
-doc_ids keep their row and are ignored as smallest doc_id; an empty table gives an empty table.
+Defined results: null and empty texts have fingerprint zero and link like others; very long texts are fingerprinted whole,
+bytes that are not UTF-8 as they stand; repeated rows and ties are one group; null doc_ids keep their row and are ignored
+as smallest doc_id; ``one_of_each`` passes all columns through, whatever their names, the others ignore them; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,8 +37,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from stratalyn.llm.common import cut
+from stratalyn.llm.common import cut, delete, join_counted, new_folder
 
 RADIUS = 4
 SHINGLE = 4
@@ -67,14 +72,15 @@ def fingerprint(raw: bytes, width: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
     """``key`` columns and ``fp`` (the fingerprint as a signed long) of every document."""
 
+    given = docs.select(*key, F.col("text").cast("binary").alias("raw"))
+    schema = StructType([*given.schema.fields[:-1], StructField("fp", LongType())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(batch.num_columns - 1)
             fps = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in raw], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], [*key, "fp"])
 
-    given = docs.select(*key, F.col("text").cast("binary").alias("_raw"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]) + ", fp bigint"
     return given.mapInArrow(run, schema)
 
 
@@ -197,68 +203,81 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
     return dealt.mapInArrow(_link_sorted, "a bigint, b bigint").distinct()
 
 
-def split_large(sharded: DataFrame) -> DataFrame:
-    """Shards of more than ``MAX_SHARD`` homes as pairs of blocks, so that no task holds more than two blocks.
+def split_large(sharded: DataFrame, most: int = 0) -> DataFrame:
+    """Shards with more than ``MAX_SHARD`` homes or queries as pairs of blocks, so that no task holds more than two blocks.
 
-    A home of block s is at home in pairs (s, j) with j >= s and queries the pairs (i, s) with i < s; a query of the
-    shard queries every (i, i). All pairs of fingerprints still meet. ``pair`` numbers the pairs of blocks.
+    Homes and queries are dealt to blocks of their own by hash. A home of block s is at home in pairs (s, j) of home
+    blocks with j >= s, queries the pairs (i, s) with i < s, and is at home in a pair with each block of queries; a
+    query of block g queries its pair with every home block. All pairs of which one is at home still meet. ``pair``
+    numbers the pairs of a shard; a small shard is one pair.
     """
-    key = ["tree", "branch", "shell"]
-    large = sharded.where("guest = 0").groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > MAX_SHARD).select(*key, F.ceil(F.col("n") / MAX_SHARD).cast("int").alias("k"))
-    sized = sharded.join(large, key, "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("k").cast("long")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    each = sized.withColumn("own", own).withColumn("other", other)
-    first = F.when(F.col("guest") == 1, F.col("other")).otherwise(F.least("own", "other"))
-    second = F.when(F.col("guest") == 1, F.col("other")).otherwise(F.greatest("own", "other"))
-    role = F.when((F.col("guest") == 1) | (F.col("other") < F.col("own")), 1).otherwise(0)
-    return each.select(*key, (first * F.col("k") + second).alias("pair"), role.alias("guest"), "fp")
+    most, key = most or MAX_SHARD, ["tree", "branch", "shell"]
+    blocks = lambda guest: F.greatest(F.ceil(F.count_if(F.col("guest") == guest) / most), F.lit(guest == 0).cast("long")).cast("int")
+    large = sharded.groupBy(*key).agg(blocks(0).alias("k"), blocks(1).alias("m")).where("k > 1 OR m > 1")
+    sized = sharded.join(large, key, "left")
+    home = F.expr("transform(sequence(0, k - 1), j -> struct(least(own, j) * k + greatest(own, j) AS pair, IF(j < own, 1, 0) AS guest))")
+    asked = F.expr("IF(m = 0, array(), transform(sequence(0, m - 1), g -> struct(k * k + own * m + g AS pair, 0 AS guest)))")
+    asks = F.expr("transform(sequence(0, k - 1), i -> struct(k * k + i * m + own AS pair, 1 AS guest))")
+    own = F.pmod(F.xxhash64("fp"), F.when(F.col("guest") == 0, F.col("k")).otherwise(F.col("m")).cast("long")).cast("int")
+    alone = F.array(F.struct(F.lit(0).alias("pair"), F.col("guest")))
+    return sized.withColumn("own", own).select(*key, "fp", F.inline(F.when(F.col("k").isNull(), alone).when(F.col("guest") == 0, F.concat(home, asked)).otherwise(asks))).select(*key, "pair", "guest", "fp")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, by alternating large and small stars.
 
-    Minima are aggregated before any shuffle and joined back, so a hub is split like any skewed join.
+    Minima are aggregated before any shuffle; hubs are joined by broadcast (``join_counted``). Each round is written to
+    the shared folder and the one before deleted.
     """
-    edges, before = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    spark, at, before = edges.sparkSession, new_folder(edges.sparkSession, "components"), None
+
+    def kept(df: DataFrame, step: int) -> DataFrame:
+        df.write.parquet(f"{at}/{step}")
+        if step:
+            delete(spark, f"{at}/{step - 1}")
+        return spark.read.schema("a bigint, b bigint").parquet(f"{at}/{step}")
+
+    step, edges = 0, kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 0)
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = cut(small.where("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+        before, step = now, step + 1
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).where("n > 0")
+        large = join_counted(both.where("b > a"), least, ["a"], "n", now[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_counted(large, least, ["a"], "n", now[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        edges = kept(small.where("a <> b").distinct(), step)
 
 
 def near_duplicates(docs: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
     """``key`` columns, ``fp`` and ``component_id`` (smallest doc_id of the group) of every document; key holds doc_id."""
     each = cut(fingerprints(docs, key))
-    distinct = cut(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct.select("fp"), distinct.count()))
+    distinct = cut(each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    size, total = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    roots = components(links(distinct.select("fp"), size))
     # only linked fingerprints go through the second aggregation
-    linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp").join(distinct, "fp")
-    least = linked.groupBy("root").agg(F.min("first").alias("component"))
-    named = linked.join(least, "root").select("fp", "component")
-    known = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return each.join(known, "fp", "left").select(*key, "fp", "component_id")
+    linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp").join(distinct.drop("n"), "fp")
+    least = linked.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("m"))
+    named = join_counted(linked, least, ["root"], "m", size).select("fp", "component")
+    known = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"), "n")
+    return join_counted(each, known, ["fp"], "n", total).select(*key, "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one for each component, that with the smallest doc_id.
 
-    Of equal doc_ids one row stays, and of a component without doc_ids one row. Only ids, hashes and fingerprints are
-    grouped; texts are shuffled once, to meet their verdict.
+    Of equal doc_ids one row stays, that with the smallest hashes of its text and then of its whole row, and of a
+    component without doc_ids one row. Only ids, hashes and fingerprints are grouped; texts are shuffled once, to meet
+    their verdict. The row travels as one column, so no name can clash.
     """
-    mark = F.xxhash64("text")
-    found = near_duplicates(docs.withColumn("_mark", mark), ["doc_id", "_mark"])
+    rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("mark"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = near_duplicates(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text"), ["doc_id", "mark"])
     # within a component one (doc_id, mark) is chosen; its minimum is aggregated before the shuffle
     group = F.when(F.col("component_id").isNull(), F.col("fp"))
-    best = found.groupBy("component_id", group.alias("_fp")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_mark")).alias("k")).select("k.doc_id", "k._mark").distinct()
-    mine, theirs = docs.withColumn("_mark", mark).alias("d"), best.alias("b")
-    both = mine.join(theirs, F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d._mark") == F.col("b._mark"))).select("d.*")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_mark").orderBy(F.lit(0)))
-    return both.withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    best = found.groupBy("component_id", group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("k")).select("k.doc_id", "k.mark").distinct()
+    mine, theirs = rows.alias("d"), best.alias("b")
+    both = mine.join(theirs, F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d.mark") == F.col("b.mark"))).select("d.*")
+    first = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("all"))
+    return both.withColumn("n", first).where("n = 1").select("row.*")

@@ -9,9 +9,10 @@ Files lie in the folder that driver and executors share (spark.checkpoint.dir),
 which names count is kept in checkpointed tables, so lost executors and repeated tasks do no harm. Pages are never
 shuffled: only digests and places are.
 
-Defined results: null html is an empty payload and is compared like any other; repeated rows with the smallest page_id
-are all responses; a null page_id is written as an empty id, never refers, and is smaller than none; null urls are
-written as an empty target; an empty table gives an empty table.
+Defined results: null html is an empty payload and is compared like any other; very long pages are one record, held in
+memory one at a time; repeated rows and ties at the smallest page_id are all responses; a null page_id is written as an
+empty id, never refers, and is smaller than none; null urls are written as an empty target; other columns are ignored,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalyn.llm.common import cut, shared_dir
+from stratalyn.llm.common import cut, delete, join_counted, new_folder
 
 PIECE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -134,10 +135,11 @@ def write_monoliths(pages: DataFrame, folder: str) -> DataFrame:
 def first_of_equals(places: DataFrame) -> DataFrame:
     """``places`` with refers_to: the smallest page_id of an equal payload, null for that one itself.
 
-    Only payloads that occur twice are joined back; their minima are aggregated before the shuffle.
+    Only payloads that occur twice are joined back; their minima are aggregated before the shuffle, and those of very
+    common payloads are broadcast. ``places`` must be cheap to read again.
     """
-    firsts = places.groupBy("digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    both = places.join(firsts, ["digest", "payload_bytes"], "left")
+    firsts = places.groupBy("digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    both = join_counted(places, firsts, ["digest", "payload_bytes"], "n", places.count(), "left")
     return both.select("file", "ordinal", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
 
 
@@ -160,6 +162,7 @@ def normalise(decided: DataFrame, folder: str, n_files: int) -> DataFrame:
             source, index, offset, ordinal = row[0], [], 0, 0
             name = f"{folder}/norm-{uuid.uuid4().hex}.warc.gz"
             fs, at = _open(name)
+            fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
             with fs.open_output_stream(at, compression=None) as out, fs.open_output_stream(f"{at}.idx", compression=None) as side:
                 for raw in records(_read_pieces(source)):
                     if row is None or row[0] != source:
@@ -217,16 +220,24 @@ def read_members(index: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """The columns of op8: write, normalise with an index, read back."""
-    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    places = cut(write_monoliths(pages, folder))
+    folder = new_folder(pages.sparkSession, "warc")
+    places = cut(write_monoliths(pages, f"{folder}/raw"))
     files = [r.file for r in places.select("file").distinct().collect()]  # one a partition of pages
-    index = cut(normalise(first_of_equals(places), folder, len(files)))
-    for name in files:  # only now: a repeated task reads its source again
-        fs, at = _open(name)
-        fs.delete_file(at)
+    index = cut(normalise(first_of_equals(places), f"{folder}/members", len(files)))
+    delete(pages.sparkSession, f"{folder}/raw")  # only now: a repeated task reads its source again
+    _sweep(f"{folder}/members", index)
     return read_members(index)
 
 
+def _sweep(folder: str, index: DataFrame) -> None:
+    """Delete archives of task attempts that do not count; one name a file reaches the driver."""
+    fs, at = _open(folder)
+    kept = {r.file.rsplit("/", 1)[-1] for r in index.select("file").distinct().toLocalIterator()}
+    for found in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)):
+        if found.base_name.removesuffix(".idx") not in kept:
+            fs.delete_file(found.path)
+
+
 #: SHA-1 in base32 from hex: each five bytes are eight digits of five bits.
 ORACLE = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stratalyn.llm import bpe, jpeg, queries, shards, simhash, warc
+from stratalyn.llm import bpe, common, jpeg, queries, shards, simhash, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 needs_vocabulary = pytest.mark.skipif(not Path(queries.VOCABULARY).exists(), reason="the vocabulary is not here")
@@ -324,9 +324,11 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-@pytest.mark.parametrize("largest", [1 << 18, 3])
-def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, largest):
+@pytest.mark.parametrize("largest, branch", [(1 << 18, 512), (3, 512), (1 << 18, 1e-3)])
+def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, largest, branch):
     monkeypatch.setattr(simhash, "MAX_SHARD", largest)
+    monkeypatch.setattr(simhash, "BRANCH", branch)  # the last one asks for more than five blocks
+    assert (len(simhash.plan_forest(150)[0]) > 7) == (branch < 1)
     r = random.Random(9)
     words, texts = [f"w{i}" for i in range(400)], [None, "", "  ", "One", "one", "É x", "é x"]
     for _ in range(40):
@@ -339,7 +341,7 @@ def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, largest):
     fps = [slow_fingerprint(x[1]) for x in rows]
     want = sorted(zip([x[0] for x in rows], fps, groups(fps, [x[0] for x in rows])), key=str)
     assert sorted(((x.doc_id, x.fp & (1 << 64) - 1, x.component_id) for x in got), key=str) == want
-    if largest == 3:
+    if largest == 3 or branch < 1:
         return
     kept = simhash.one_of_each(docs).collect()
     assert len(kept) == len({(c, f if c is None else 0) for _, f, c in want})
@@ -378,6 +380,26 @@ def test_split_shards_still_meet(spark, monkeypatch):
     assert set(met) == want and max(len(h) + len(g) for h, g in homes.values()) < 20
 
 
+def test_queries_of_a_small_shard_are_split(spark):
+    """Few homes and very many queries: each query meets each home once, and no pair of blocks holds them all."""
+    df = spark.createDataFrame([(0, 0, 0, int(i >= 3), i) for i in range(203)], "tree int, branch long, shell int, guest int, fp long")
+    pairs = {}
+    for r in simhash.split_large(df, 20).collect():
+        pairs.setdefault(r.pair, ([], []))[r.guest].append(r.fp)
+    met = [(a, b) for h, g in pairs.values() for a in h for b in g]
+    assert sorted(met) == [(a, b) for a in range(3) for b in range(3, 203)]
+    assert max(len(h) + len(g) for h, g in pairs.values()) < 60
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 8)
+    left = spark.createDataFrame([(1 if i % 3 == 0 else i, i) for i in range(300)], "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least")).where("k < 200")
+    for how in ("inner", "left"):
+        got = common.join_counted(left, right, ["k"], "n", 300, how)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, left.join(right.drop("n"), "k", how).collect()), key=str)
+
+
 def test_the_forest_covers_every_link():
     r = random.Random(3)
     for n in (10, 1 << 24, 1 << 34):

@@ -17,6 +17,13 @@ class DiscoveryConfig:
     threshold_db: float = 8.0
     max_flatness: float = 0.40
     votes: int = 2
+    flux: bool = True
+    concentration: bool = True
+    flux_percentile: float = 90.0
+    flux_mads: float = 4.0
+    flux_snr: float = 1.5
+    adaptive: bool = False
+    review_short: bool = True
     floor_window: float = 8.0
     min_event: float = 0.25
     max_event: float = 8.0
@@ -112,15 +119,89 @@ def fingerprint(config) -> str:
     return hashlib.sha256(json.dumps(asdict(config), sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
 
 
+INF = float("inf")
+#: Rules of the adaptive parameters as (what is tested, from, below, parameters); words are tested for equality.
+RULES: tuple[tuple[str, float | str, float, dict], ...] = (
+    ("dynamic_range", -INF, 12.0, {"threshold_db": 4.0, "flux_percentile": 82.0, "flux_snr": 0.5, "band_snr": 3.0, "band_flux_z": 1.0}),
+    ("dynamic_range", 12.0, 18.0, {"threshold_db": 3.5}),
+    ("dynamic_range", 18.0, 25.0, {"threshold_db": 5.0}),
+    ("dynamic_range", 25.0, INF, {"threshold_db": 8.0}),
+    ("regime", "sustained_narrowband", INF, {"min_event": 0.5, "max_event": 30.0, "short_review": 0.40, "merge_gap": 0.6, "flux": False, "concentration": True, "votes": 1}),
+    ("regime", "transient_dense", INF, {"min_event": 0.08, "max_event": 2.0, "short_review": 0.06, "merge_gap": 0.1}),
+    ("regime", "dense_variable", INF, {"min_event": 0.25, "max_event": 8.0, "short_review": 0.20, "merge_gap": 0.4}),
+    ("regime", "low_dynamic_range", INF, {"votes": 1}),
+    ("median_tonality", -INF, 0.10, {"tonality_floor": 0.05}),
+    ("median_tonality", 0.10, 0.20, {"tonality_floor": 0.10}),
+    ("dynamic_range", -INF, 12.0, {"noise_mode": "exploratory", "min_quality": 0.25, "min_eventness": 0.10, "keep_clusterability": 0.30, "review_clusterability": 0.10, "review_short": False}),
+    ("dynamic_range", 12.0, 18.0, {"min_quality": 0.40}),
+    ("hint", "insect_sustained", INF, {"flux": False, "min_event": 0.5, "max_event": 60.0, "votes": 1, "tonality_floor": 0.05}),
+    ("hint", "marine_mammal", INF, {"min_event": 0.05, "max_event": 2.0, "merge_gap": 0.08, "tonality_floor": 0.05, "min_quality": 0.40}),
+    ("hint", "bird_calls", INF, {"threshold_db": 3.0, "min_event": 0.10, "max_event": 3.0, "min_quality": 0.45}),
+    ("hint", "wind_dominant", INF, {"min_quality": 0.65}),
+)
+
+
+def adapted(base: DiscoveryConfig, profile: dict) -> DiscoveryConfig:
+    """``base`` with what the rules set for a recording's ``profile`` (dynamic_range, median_tonality, regime, hint)."""
+    changes: dict = {}
+    for what, low, high, each in RULES:
+        x = profile.get(what)
+        if x is not None and (x == low if isinstance(low, str) else low <= x < high):
+            changes |= each
+    return replace(base, **changes)
+
+
+def described(base: DiscoveryConfig, profile: dict) -> str:
+    """What the rules change for a recording, a line a parameter."""
+    before, after = asdict(base), asdict(adapted(base, profile))
+    lines = [f"  {k}: {before[k]} -> {after[k]}" for k in before if before[k] != after[k]]
+    head = f"regime {profile.get('regime')}, hint {profile.get('hint') or 'none'}:"
+    return "\n".join([head, *(lines or ["  nothing changes"])])
+
+
+#: Settings of a tuning sweep. A pair (max or min, number) is taken against the base setting.
+SWEEP: dict[str, dict] = {
+    "baseline_current": {},
+    "tight_temporal_precision": {"threshold_db": (max, 8.0), "flux_percentile": 94.0, "flux_mads": 5.0, "flux_snr": 2.0, "merge_gap": (min, 0.15), "pad": (min, 0.05), "max_event": (min, 4.0), "noise_mode": "balanced", "min_quality": (max, 0.48), "min_eventness": (max, 0.30), "max_per_parent": (min, 2)},
+    "energy_only_precision": {"flux": False, "threshold_db": (max, 8.0), "merge_gap": (min, 0.15), "pad": (min, 0.05), "max_event": (min, 4.0), "noise_mode": "balanced", "min_quality": (max, 0.48), "min_eventness": (max, 0.32), "max_per_parent": 1},
+    "precision_balanced": {"threshold_db": (max, 9.0), "flux_percentile": 92.0, "flux_mads": 4.5, "flux_snr": 2.0, "noise_mode": "balanced", "min_quality": (max, 0.50), "min_eventness": (max, 0.34), "max_per_parent": (min, 2)},
+    "rare_event_guard": {"threshold_db": (min, 7.0), "flux_percentile": 94.0, "flux_mads": 5.0, "flux_snr": 1.5, "noise_mode": "exploratory", "min_quality": (min, 0.40), "min_eventness": (min, 0.24), "max_per_parent": (max, 3)},
+    "clean_clusters": {"threshold_db": (max, 10.0), "flux_percentile": 94.0, "flux_mads": 5.0, "flux_snr": 2.5, "noise_mode": "conservative", "min_quality": (max, 0.55), "min_eventness": (max, 0.38), "max_per_parent": 1},
+}
+#: Three more of a balanced sweep.
+SWEEP_BALANCED: dict[str, dict] = {
+    "high_recall_structured": {"threshold_db": 6.0, "flux_percentile": 90.0, "flux_mads": 4.0, "flux_snr": 1.0, "noise_mode": "exploratory", "min_quality": 0.38},
+    "strict_flux": {"threshold_db": 8.0, "flux_percentile": 96.0, "flux_mads": 5.5, "flux_snr": 2.0, "noise_mode": "balanced", "min_quality": 0.48},
+    "stable_medium_clusters": {"threshold_db": 9.0, "flux_percentile": 93.0, "flux_mads": 4.5, "flux_snr": 2.0, "noise_mode": "balanced", "min_quality": 0.50},
+}
+
+
 def variants(base: DiscoveryConfig, budget: str = "quick") -> dict[str, DiscoveryConfig]:
     """Named settings of a tuning sweep, equal ones left out."""
-    changes = {"base": {}, "sensitive": {"threshold_db": 5.0, "min_quality": 0.45}, "strict": {"threshold_db": 10.0, "min_quality": 0.65}, "short": {"min_event": 0.10, "short_review": 0.10}, "long": {"merge_gap": 0.8}, "open": {"min_eventness": 0.15, "keep_clusterability": 0.45}}
-    if budget == "balanced":
-        changes |= {"tight": {"merge_gap": 0.2}, "narrow": {"max_flatness": 0.30}, "votes": {"votes": 1}}
+    if budget not in ("quick", "balanced"):
+        raise ValueError("the budget is quick or balanced")
     out, seen = {}, set()
-    for name, change in changes.items():
-        c = replace(base, **change)
+    for name, change in (SWEEP | (SWEEP_BALANCED if budget == "balanced" else {})).items():
+        c = replace(base, **{k: v[0](getattr(base, k), v[1]) if isinstance(v, tuple) else v for k, v in change.items()})
         if (f := fingerprint(c)) not in seen:
             seen.add(f)
             out[name] = c
     return out
+
+
+#: Names that a web form may use for parameters of the interval pipeline.
+FORM = {"threshold_db": float, "merge_gap": float, "pad": float, "min_event": float, "max_event": float, "noise_mode": str, "min_quality": float, "min_eventness": float, "min_cluster": int, "representatives": int, "adaptive": bool, "review_short": bool, "short_review": float, "max_components": int, "multiband": bool, "keep_clusterability": float, "review_clusterability": float}
+
+
+def from_form(form: dict[str, str | None], base: DiscoveryConfig | None = None) -> DiscoveryConfig:
+    """A configuration from the texts of a form: blank fields keep the base, wrong ones raise ValueError with their name."""
+    changes: dict = {}
+    for name, kind in FORM.items():
+        text = (form.get(name) or "").strip()
+        if not text:
+            continue
+        try:
+            changes[name] = text.lower() in ("1", "true", "yes", "on") if kind is bool else kind(text)
+        except ValueError:
+            raise ValueError(f"{name}: {text!r} is not a valid {kind.__name__}") from None
+    return replace(base or DiscoveryConfig(), **changes)

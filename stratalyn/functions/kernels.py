@@ -133,6 +133,70 @@ def intervals(mask: np.ndarray, step: float, duration: float) -> list[tuple[floa
     return [(a * step, min(b * step, duration)) for a, b in edge.reshape(-1, 2)]
 
 
+def _spread_3x3(mask: np.ndarray, grow: bool) -> np.ndarray:
+    """Largest (grow) or smallest value of the 3 x 3 neighbourhood; nothing is active outside."""
+    padded = np.pad(mask, 1)
+    around = [padded[i : i + mask.shape[0], j : j + mask.shape[1]] for i in range(3) for j in range(3)]
+    return np.logical_or.reduce(around) if grow else np.logical_and.reduce(around)
+
+
+def cleaned_mask(mask: np.ndarray) -> np.ndarray:
+    """3 x 3 opening, then closing."""
+    for grow in (False, True, True, False):
+        mask = _spread_3x3(mask, grow)
+    return mask
+
+
+def smoothed(mask: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    """A mask blurred by a Gaussian (mirrored at the edges) and scaled to a peak of one."""
+    reach = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    out = mask.astype(np.float64)
+    for axis in (0, 1):
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (reach, reach)
+        padded = np.pad(out, pad, mode="symmetric")
+        out = sum(v / w.sum() * np.take(padded, range(i, i + out.shape[axis]), axis=axis) for i, v in enumerate(w))
+    return np.clip(out / max(float(out.max(initial=0.0)), 1e-12), 0.0, 1.0)
+
+
+def profile(x: np.ndarray, rate: int, size: int = 2048, hop: int = 512) -> dict:
+    """What a whole recording is like: levels, activity, runs, transients, spectrum, stationarity, tonality."""
+    out = {"duration": len(x) / rate, "p10": -120.0, "p50": -120.0, "p90": -120.0, "dynamic_range": 0.0, "active": 0.0, "active_run": 0.0, "inactive_run": 0.0, "sustained": 0.0, "density": 0.0, "dominant_hz": 0.0, "spread_hz": 0.0, "stationarity": 1.0, "median_tonality": 0.0}
+    if not len(x):
+        return out
+    db = rms_db(x, size, hop)
+    p10, p50, p90 = (float(v) for v in np.percentile(db, [10, 50, 90]))
+    on = db > p10 + 8.0
+    edges = np.flatnonzero(np.diff(on.astype(int))) + 1
+    lengths, first = np.diff([0, *edges.tolist(), len(on)]), on[[0, *edges.tolist()]]
+    median = lambda v: float(np.median(v)) * hop / rate if len(v) else 0.0
+    active, quiet = median(lengths[first]), median(lengths[~first])
+    mel = log_mel(x, rate, size, hop, 64, None)
+    rise = flux(mel)[1:] if mel.shape[1] > 1 else np.zeros(0)
+    centre, width = centroid_bandwidth(np.abs(stft(x, size, hop)), rate)
+    unit = mel / np.maximum(np.linalg.norm(mel, axis=0), 1e-12)
+    share = 10 ** (mel / 10)
+    share = np.maximum(share, 1e-20) / np.maximum(share.sum(axis=0), 1e-20)
+    peaky = 1 + (share * np.log(share + 1e-20)).sum(axis=0) / np.log(max(2, len(mel)))
+    return out | {
+        "p10": p10, "p50": p50, "p90": p90, "dynamic_range": p90 - p10, "active": float(on.mean()), "active_run": active, "inactive_run": quiet, "sustained": active / quiet if quiet > 0 else active,
+        "density": float((rise > np.percentile(rise, 95)).sum() / (len(x) / rate)) if len(rise) else 0.0, "dominant_hz": float(np.nanmedian(centre)), "spread_hz": float(np.nanmedian(width)),
+        "stationarity": float(np.nanmean((unit[:, :-1] * unit[:, 1:]).sum(axis=0))) if mel.shape[1] > 1 else 1.0, "median_tonality": float(np.nanmedian(np.nan_to_num(peaky))),
+    }
+
+
+def regime_of(p: dict) -> str:
+    """The regime of a profile; ``scores.regime`` says the same of columns."""
+    tests = {
+        "sustained_narrowband": p["sustained"] >= 1.5 and p["stationarity"] >= 0.85,
+        "transient_dense": p["density"] >= 6 and p["active"] < 0.40,
+        "low_dynamic_range": p["dynamic_range"] < 18,
+        "dense_variable": p["active"] >= 0.20 and p["stationarity"] < 0.70,
+    }
+    return next((name for name, holds in tests.items() if holds), "default_sparse")
+
+
 def label_2d(mask: np.ndarray) -> tuple[np.ndarray, int]:
     """Four-neighbour components: runs of each column joined by union-find."""
     parent: list[int] = []
@@ -208,47 +272,159 @@ def pca(x: np.ndarray, dims: int) -> np.ndarray:
     return u[:, :k] * s[:k] * sign
 
 
+def _distances(x: np.ndarray, i: int) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, ((x - x[i]) ** 2).sum(axis=1)))
+
+
+def _core(x: np.ndarray, samples: int) -> np.ndarray:
+    """Distance of every point to its ``samples``-th neighbour, itself the 0th."""
+    k = min(samples, len(x) - 1)
+    return np.array([np.partition(_distances(x, i), k)[k] for i in range(len(x))])
+
+
+def _find(parent: list[int], i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
+
+
 def density_clusters(x: np.ndarray, least: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """Labels (-1: noise) and membership strength: the mutual-reachability tree cut at its most stable level."""
+    """Labels (-1: noise) and membership strength by a density hierarchy.
+
+    The spanning tree of mutual reachability is taken apart from its longest edge down. Sides of at least ``least``
+    points are clusters, smaller ones fall out; the clusters of the largest total excess of mass are chosen, the whole
+    set never. Distances are taken a row at a time, so memory follows the points. Up to ``least`` points (or four) are
+    one cluster.
+    """
     n = len(x)
     if n <= max(4, least):
         return np.zeros(n, int), np.ones(n)
-    d = np.sqrt(np.maximum(0, ((x[:, None] - x[None]) ** 2).sum(-1)))
-    core = np.sort(d, axis=1)[:, min(samples, n - 1)]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
-    best, at, edges, left = reach[0].copy(), np.zeros(n, int), [], np.ones(n, bool)
-    left[0] = False
+    core, best, at, out = _core(x, samples), np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
+    edges, j = [], 0
     for _ in range(n - 1):  # Prim's tree
-        j = int(np.where(left, best, np.inf).argmin())
-        edges.append((best[j], at[j], j))
-        left[j] = False
-        closer = reach[j] < best
-        best[closer], at[closer] = reach[j][closer], j
-    top, labels = -1.0, np.zeros(n, int)
-    for cut in np.unique(np.percentile([e[0] for e in edges], [50, 60, 70, 75, 80, 85, 90, 93, 96, 98, 100])):
-        parent = np.arange(n)
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for w, a, b in edges:
-            if w <= cut:
-                parent[find(a)] = find(b)
-        roots = np.array([find(i) for i in range(n)])
-        names, dense, sizes = np.unique(roots, return_inverse=True, return_counts=True)
-        good = sizes >= least
-        lab = np.where(good[dense], np.cumsum(good)[dense] - 1, -1)
-        inside = (lab[:, None] == lab[None]) & (lab >= 0)[:, None]
-        if good.sum() >= 1 and (lab >= 0).any():
-            within, apart = d[inside].mean(), d[~inside].mean() if (~inside).any() else d.mean()
-            score = (lab >= 0).mean() * (apart - within) / max(apart, 1e-9) * (1 if good.sum() > 1 else 0.5)
-            if score > top:
-                top, labels = score, lab
-    strength = np.where(labels >= 0, 1 / (1 + core / max(np.median(core), 1e-9)) * 2, 0.0)
-    return labels, np.clip(strength, 0, 1)
+        out[j] = True
+        reach = np.maximum(np.maximum(_distances(x, j), core), core[j])
+        closer = (reach < best) & ~out
+        best[closer], at[closer] = reach[closer], j
+        j = int(np.where(out, np.inf, best).argmin())
+        edges.append((float(best[j]), int(at[j]), j))
+    parent, sides, size, height = list(range(2 * n - 1)), {}, [1] * n, {}
+    for d, a, b in sorted(edges):
+        a, b, node = _find(parent, a), _find(parent, b), len(size)
+        parent[a] = parent[b] = node
+        sides[node], height[node] = (a, b), d
+        size.append(size[a] + size[b])
+
+    def points(node: int) -> list[int]:
+        found, todo = [], [node]
+        while todo:
+            k = todo.pop()
+            if k < n:
+                found.append(k)
+            else:
+                todo += sides[k]
+        return found
+
+    birth, mass, children, owner, leaves, todo = [0.0], [0.0], [[]], np.zeros(n, int), np.zeros(n), [(2 * n - 2, 0)]
+    while todo:
+        node, c = todo.pop()
+        density = 1 / max(height[node], 1e-12)
+        large = [k for k in sides[node] if size[k] >= least]
+        for k in sides[node]:
+            mass[c] += size[k] * (density - birth[c]) if k not in large or len(large) == 2 else 0.0
+            if k not in large:
+                fallen = points(k)
+                owner[fallen], leaves[fallen] = c, density
+        for k in large:
+            if len(large) == 2:
+                children[c].append(len(birth))
+                birth.append(density)
+                mass.append(0.0)
+                children.append([])
+            todo.append((k, children[c][-1] if len(large) == 2 else c))
+    chosen, total = [False] * len(birth), list(mass)
+    for c in range(len(birth) - 1, 0, -1):
+        below = sum(total[k] for k in children[c])
+        chosen[c] = mass[c] >= below
+        total[c] = max(mass[c], below)
+    label, names, todo = [-1] * len(birth), 0, [(k, -1) for k in children[0]]
+    while todo:  # a chosen cluster takes all below it
+        c, above = todo.pop()
+        if above < 0 and chosen[c]:
+            above, names = names, names + 1
+        label[c] = above
+        todo += [(k, above) for k in children[c]]
+    labels = np.array([label[c] for c in owner.tolist()])
+    order = {v: i for i, v in enumerate(dict.fromkeys(v for v in labels.tolist() if v >= 0))}
+    labels = np.array([order.get(v, -1) for v in labels.tolist()])
+    top = np.array([leaves[labels == k].max() for k in range(len(order))] or [1.0])
+    return labels, np.where(labels >= 0, np.minimum(1.0, leaves / top[np.maximum(labels, 0)]), 0.0)
+
+
+def near_clusters(x: np.ndarray, radius: float, samples: int) -> np.ndarray:
+    """Labels (-1: noise): points with at least ``samples`` points within ``radius``, themselves included, and what they reach."""
+    near = [np.flatnonzero(_distances(x, i) <= radius) for i in range(len(x))]
+    dense, labels, names = np.array([len(v) >= samples for v in near]), np.full(len(x), -1), 0
+    for i in range(len(x)):
+        if labels[i] >= 0 or not dense[i]:
+            continue
+        labels[i], todo = names, [i]
+        while todo:
+            k = todo.pop()
+            if dense[k]:
+                new = near[k][labels[near[k]] < 0]
+                labels[new] = names
+                todo += new.tolist()
+        names += 1
+    return labels
+
+
+def ward_clusters(x: np.ndarray, k: int) -> np.ndarray:
+    """``k`` groups by least growth of the squared error, from chains of nearest neighbours."""
+    n = len(x)
+    centre, size, alive, merges, chain = x.astype(float).copy(), np.ones(n), np.ones(n, bool), [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        while True:
+            i = chain[-1]
+            cost = size * size[i] / (size + size[i]) * ((centre - centre[i]) ** 2).sum(axis=1)
+            cost[~alive] = np.inf
+            cost[i] = np.inf
+            j = int(cost.argmin())
+            if len(chain) > 1 and cost[chain[-2]] <= cost[j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        chain = chain[:-2]
+        merges.append((float(cost[j]), i, j))
+        centre[j] = (centre[i] * size[i] + centre[j] * size[j]) / (size[i] + size[j])
+        size[j] += size[i]
+        alive[i] = False
+    parent = list(range(n))
+    for _, a, b in sorted(merges)[: n - k]:
+        parent[_find(parent, a)] = _find(parent, b)
+    return np.unique([_find(parent, i) for i in range(n)], return_inverse=True)[1]
+
+
+def fallback_clusters(x: np.ndarray, least: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the hierarchy finds noise only: neighbourhoods of radius 2, or else one to four groups."""
+    labels = near_clusters(x, 2.0, max(2, samples))
+    if len(set(labels.tolist())) <= 1 and len(x) >= least:
+        labels = ward_clusters(x, max(1, min(4, len(x) // least)))
+    return labels, (labels >= 0).astype(float)
+
+
+def cluster_block(x: np.ndarray, dims: int, least: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and strengths of a block of embeddings: standardised, reduced, clustered by density or else by fallback."""
+    x = np.nan_to_num(x.astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
+    if len(x) <= max(4, least):
+        return np.zeros(len(x), int), np.ones(len(x))
+    spread = x.std(axis=0)
+    reduced = pca((x - x.mean(axis=0)) / np.where(spread > 0, spread, 1.0), dims)
+    labels, strength = density_clusters(reduced, least, samples)
+    return (labels, strength) if (labels >= 0).any() else fallback_clusters(reduced, least, samples)
 
 
 def modularity_groups(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, resolution: float = 1.0, seed: int = 42, least: int = 1) -> np.ndarray:

@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,8 +26,12 @@ def unit(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
 
 
-def smoothstep(low: float, high: float, x: Column) -> Column:
+def smoothstep(low: float | Column, high: float | Column, x: Column) -> Column:
     """Cubic ramp from 0 at ``low`` to 1 at ``high``; a step where the edges meet."""
+    if isinstance(low, Column) or isinstance(high, Column):
+        low, high = (v if isinstance(v, Column) else F.lit(v) for v in (low, high))
+        t = unit(F.try_divide(x - low, high - low))
+        return F.when(high <= low, F.when(x >= high, 1.0).otherwise(0.0)).otherwise(t * t * (3.0 - 2.0 * t))
     if high <= low:
         return F.when(x >= high, 1.0).otherwise(0.0)
     t = unit((x - low) / (high - low))
@@ -51,8 +58,13 @@ def quality(snr: Column, flatness: Column, tonality: Column, bandwidth_ratio: Co
 MODES = {"exploratory": -0.12, "balanced": 0.0, "conservative": 0.15}
 
 
-def low_confidence(q: Column, snr: Column, flatness: Column, tonality: Column, mode: str = "balanced", threshold: float = 0.55, min_snr: float = 3.0, max_flatness: float = 0.72, min_tonality: float = 0.08, floor: float = 0.20) -> Column:
-    limit = min(1.0, max(0.0, threshold + MODES[mode]))
+def low_confidence(q: Column, snr: Column, flatness: Column, tonality: Column, mode: str | Column = "balanced", threshold: float | Column = 0.55, min_snr: float = 3.0, max_flatness: float = 0.72, min_tonality: float = 0.08, floor: float | Column = 0.20) -> Column:
+    """``mode`` and the limits may be columns, where recordings differ."""
+    if isinstance(mode, Column) or isinstance(threshold, Column):
+        added = F.element_at(F.create_map(*[F.lit(v) for pair in MODES.items() for v in pair]), mode) if isinstance(mode, Column) else F.lit(MODES[mode])
+        limit = unit(added + threshold)
+    else:
+        limit = min(1.0, max(0.0, threshold + MODES[mode]))
     return (q < limit) | ((snr < min_snr) & (flatness > max_flatness) & (tonality < min_tonality)) | (tonality < floor)
 
 
@@ -123,19 +135,24 @@ def polyphony(n: Column, dominant: Column, overlap: Column) -> Column:
     return F.when(n <= 1, 0.0).otherwise(unit(0.45 * F.least(F.lit(1.0), (n - 1) / 3) + 0.35 * (1 - dominant) + 0.20 * overlap))
 
 
+#: The families, and the one of what fits none.
+FAMILIES = ("tonal_whistle", "harmonic_call", "pulse_train", "broadband_click", "noisy_burst", "insect_trill", "low_frequency_call", "unknown")
+
+
 def prefamily(duration: Column, flatness: Column, bandwidth: Column, centroid: Column, tonality: Column, modulation: Column, zcr: Column) -> Column:
-    """Morphology family, first rule that holds."""
+    """Morphology family: the first family of this order whose tests all hold, else ``unknown``."""
     flatness, bandwidth, centroid, tonality = safe(flatness, 0.5), safe(bandwidth, 0.0), safe(centroid, 0.0), safe(tonality, 0.3)
-    return (
-        F.when((duration < 0.12) & (flatness > 0.45) & (bandwidth > 1500), "click")
-        .when((centroid < 900) & (duration >= 0.18) & (tonality >= 0.12), "low_frequency")
-        .when((duration >= 0.45) & (centroid >= 3000) & (tonality >= 0.18) & (modulation >= 8), "trill")
-        .when((flatness >= 0.62) & (tonality < 0.18), "burst")
-        .when((tonality >= 0.48) & (bandwidth < F.greatest(F.lit(900.0), 0.55 * centroid)), "whistle")
-        .when((tonality >= 0.22) & (bandwidth < F.greatest(F.lit(1800.0), 1.25 * centroid)), "harmonic")
-        .when((modulation >= 5) & (zcr > 0.08), "pulse_train")
-        .otherwise("unknown")
-    )
+    narrow = lambda least, share: bandwidth < F.greatest(F.lit(least), share * centroid)
+    tests = {
+        "broadband_click": (duration < 0.12, flatness > 0.45, bandwidth > 1500),
+        "low_frequency_call": (centroid < 900, duration >= 0.18, tonality >= 0.12),
+        "insect_trill": (duration >= 0.45, centroid >= 3000, tonality >= 0.18, modulation >= 8),
+        "noisy_burst": (flatness >= 0.62, tonality < 0.18),
+        "tonal_whistle": (tonality >= 0.48, narrow(900.0, 0.55)),
+        "harmonic_call": (tonality >= 0.22, narrow(1800.0, 1.25)),
+        "pulse_train": (modulation >= 5, zcr > 0.08),
+    }
+    return F.coalesce(*[F.when(reduce(and_, each), name) for name, each in tests.items()], F.lit("unknown"))
 
 
 def regime(sustained: Column, stationarity: Column, density: Column, active: Column, dynamic: Column) -> Column:

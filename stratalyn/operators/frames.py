@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalyn.operators.vectors import dot, norm
+
 
 def decibel(x: Column, floor: float = 1e-10) -> Column:
     return 20 * F.log10(F.greatest(F.abs(x), F.lit(floor)))
@@ -33,6 +35,20 @@ def robust_z(df: DataFrame, keys: list[str], order: list[str], value: str, out:
     return d.join(mad, keys).withColumn(out, (F.col("_d") - F.col("_m")) / (1.4826 * F.col("_a") + 1e-9)).drop("_d", "_m", "_a")
 
 
+def noise_floor(df: DataFrame, keys: list[str], value: str, share: float = 0.2) -> DataFrame:
+    """The level below which a ``share`` of a recording's frames lies, interpolated."""
+    return df.groupBy(*keys).agg(F.percentile(value, F.lit(share)).alias("noise_floor"))
+
+
+def stationarity(df: DataFrame, keys: list[str], order: list[str], vector: str) -> DataFrame:
+    """Mean cosine of consecutive frames of a recording: 1 where nothing changes or there is one frame only."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    before = df.withColumn("_v", F.lag(vector).over(w))
+    length = F.greatest(norm(F.col(vector)), F.lit(1e-12)) * F.greatest(norm(F.col("_v")), F.lit(1e-12))
+    each = before.withColumn("_c", F.when(F.col("_v").isNotNull(), dot(F.col(vector), F.col("_v")) / length))
+    return each.groupBy(*keys).agg(F.coalesce(F.avg("_c"), F.lit(1.0)).alias("stationarity"))
+
+
 def vote(needed: int, *tests: Column) -> Column:
     """True where at least ``needed`` tests hold; a null test does not."""
     total = F.lit(0)
@@ -53,9 +69,10 @@ def interpolate(df: DataFrame, points: DataFrame, keys: list[str], t: str, value
     mine = df.withColumns({"_v": F.lit(None).cast("double"), "_p": F.lit(None).cast("double"), "_own": F.lit(1)})
     theirs = points.select(*keys, F.col(t), F.col(value).cast("double").alias("_v"), F.col(t).cast("double").alias("_p"), F.lit(0).alias("_own"))
     both = mine.unionByName(theirs, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(t, "_own")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    d = both.withColumns({"_v0": F.last("_v", True).over(back), "_p0": F.last("_p", True).over(back), "_v1": F.first("_v", True).over(ahead), "_p1": F.first("_p", True).over(ahead)})
+    # both directions as running values: a frame that reaches to the end of the recording would be read anew for each row
+    back = Window.partitionBy(*keys).orderBy(t, "_own").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(F.col(t).desc(), F.col("_own").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    d = both.withColumns({"_v0": F.last("_v", True).over(back), "_p0": F.last("_p", True).over(back), "_v1": F.last("_v", True).over(ahead), "_p1": F.last("_p", True).over(ahead)})
     mix = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.coalesce(F.try_divide(F.col(t) - F.col("_p0"), F.col("_p1") - F.col("_p0")), F.lit(0.0))
     filled = F.when(F.col("_v0").isNull(), F.col("_v1")).when(F.col("_v1").isNull(), F.col("_v0")).otherwise(mix)
     return d.where("_own = 1").withColumn(out, filled).drop("_v", "_p", "_own", "_v0", "_p0", "_v1", "_p1")

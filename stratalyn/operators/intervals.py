@@ -1,7 +1,9 @@
 """Interval and sequence operators. Keys name the recording; nothing crosses it.
 
 Order-dependent folds run within *islands*: maximal runs of intervals that overlap or touch. Intervals of different
-islands cannot suppress or match one another, so a fold never gathers a whole recording.
+islands cannot suppress or match one another. An island is gathered into one row of numbers; where overlaps chain, as
+half-overlapping chunks do, that may be a whole recording. Islands of up to ``SMALL`` intervals are folded in the JVM;
+larger ones go to a kernel that looks only at neighbours in time, so work does not grow with the square of an island.
 """
 
 from __future__ import annotations
@@ -9,8 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalyn.functions import greedy
 from stratalyn.functions.scores import iou
 
+SMALL = 64
+
 
 def with_islands(df: DataFrame, keys: list[str], start: str, end: str, gap: float = 0.0, order: list[str] = (), out: str = "island") -> DataFrame:
     """Number the groups of intervals whose gap to all earlier ones is at most ``gap``."""
@@ -32,25 +37,38 @@ def split_long(df: DataFrame, start: str, end: str, longest: float, shortest: fl
     return out.where(F.col(end) - F.col(start) >= shortest)
 
 
-def suppress(df: DataFrame, keys: list[str], start: str, end: str, ident: str, order: list[Column], threshold: float, parent: str | None = None) -> DataFrame:
-    """Greedy suppression in the order of ``order`` (ascending, then ``ident``): rows of df that stay.
+def flag_kept(df: DataFrame, keys: list[str], start: str, end: str, ident: str, order: list[Column], threshold: float, parent: str | None = None, out: str = "kept") -> DataFrame:
+    """``df`` with ``out``: whether greedy suppression in the order of ``order`` (ascending, then ``ident``) keeps a row.
 
-    A row goes if it overlaps a kept one by ``threshold`` or more, unless both have the same parent. With a threshold
-    of 1 or more nothing goes.
+    A row is not kept if it overlaps a kept one by ``threshold`` or more, unless both have the same parent. With a
+    threshold of 1 or more all are kept. Rows travel through the fold, so the input is read once.
     """
     if threshold >= 1:
-        return df
-    fields = [*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col(ident).alias("i"), F.col(start).alias("s"), F.col(end).alias("e"), (F.col(parent) if parent else F.lit(None).cast("string")).alias("p")]
+        return df.withColumn(out, F.lit(True))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    fields = [*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col(ident).alias("i"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), (F.col(parent).cast("string") if parent else F.lit(None).cast("string")).alias("p"), row]
     grouped = with_islands(df, keys, start, end).groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_all"))
-    none = F.filter("_all", lambda x: F.lit(False))
+    spans = F.transform("_all", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["p"].alias("p")))
 
     def hit(k: Column, x: Column) -> Column:
         near = iou(k["s"], k["e"], x["s"], x["e"]) >= threshold
-        return near & ~F.coalesce(k["p"] == x["p"], F.lit(False)) if parent else near
+        return near & ~F.coalesce(k["p"] == x["p"], F.lit(False))
 
-    kept = F.aggregate("_all", none, lambda acc, x: F.when(F.exists(acc, lambda k: hit(k, x)), acc).otherwise(F.array_append(acc, x)))
-    stay = grouped.select(*keys, F.explode(kept).alias("_k")).select(*keys, F.col("_k.i").alias(ident))
-    return df.join(stay, [*keys, ident], "left_semi")
+    def step(acc: Column, x: Column) -> Column:
+        gone = F.exists(acc["kept"], lambda k: hit(k, x))
+        return F.struct(F.when(gone, acc["kept"]).otherwise(F.array_append(acc["kept"], x)).alias("kept"), F.array_append(acc["flags"], ~gone).alias("flags"))
+
+    none = F.struct(F.filter(spans, lambda x: F.lit(False)).alias("kept"), F.array().cast("array<boolean>").alias("flags"))
+    # alone in its island a row is kept; no fold is needed
+    folded = F.when(F.size("_all") == 1, F.array(F.lit(True))).otherwise(F.aggregate(spans, none, step, lambda acc: acc["flags"]))
+    flags = F.when(F.size("_all") <= SMALL, folded).otherwise(greedy.kept_flags(F.when(F.size("_all") > SMALL, spans), threshold))
+    each = grouped.select(F.explode(F.arrays_zip(F.col("_all.row").alias("row"), flags.alias("flag"))).alias("x"))
+    return each.select("x.row.*", F.col("x.flag").alias(out))
+
+
+def suppress(df: DataFrame, keys: list[str], start: str, end: str, ident: str, order: list[Column], threshold: float, parent: str | None = None) -> DataFrame:
+    """The rows of ``df`` that ``flag_kept`` keeps."""
+    return df if threshold >= 1 else flag_kept(df, keys, start, end, ident, order, threshold, parent, "_kept").where("_kept").drop("_kept")
 
 
 def runs(df: DataFrame, keys: list[str], start: str, label: str, ident: str, window: float, gap: float, longest: float, shortest: float, measures: list[str] = ()) -> DataFrame:
@@ -70,13 +88,24 @@ def runs(df: DataFrame, keys: list[str], start: str, label: str, ident: str, win
         part = F.when(fits, acc["part"]).otherwise(acc["part"] + 1)
         return F.struct(first.alias("first"), part.alias("part"), F.array_append(acc["parts"], part).alias("parts"))
 
+    # a run that is short enough as a whole is one part
+    whole = F.element_at("_w", -1)["s"] + window - F.get("_w", F.lit(0))["s"] <= longest
     init = F.struct(F.get("_w", F.lit(0))["s"].alias("first"), F.lit(0).alias("part"), F.array().cast("array<int>").alias("parts"))
-    parts = F.aggregate("_w", init, step, lambda acc: acc["parts"])
+    folded = F.aggregate("_w", init, step, lambda acc: acc["parts"])
+    far = F.when(~whole & (F.size("_w") > SMALL), F.transform("_w", lambda x: F.struct(x["s"].alias("s"))))
+    parts = F.when(whole, F.array_repeat(F.lit(0), F.size("_w"))).when(F.size("_w") <= SMALL, folded).otherwise(greedy.part_numbers(far, window, longest))
     each = grouped.select(*keys, "_run", label, F.explode(F.arrays_zip(F.col("_w").alias("w"), parts.alias("p"))).alias("x"))
     agg = [F.min("x.w.s").alias(start), (F.max("x.w.s") + window).alias("end_sec"), F.count("*").alias("n_windows"), *[F.avg(f"x.w.{m}").alias(f"mean_{m}") for m in measures], F.array_sort(F.collect_list("x.w.i")).alias("windows")]
     return each.groupBy(*keys, "_run", label, F.col("x.p").alias("part")).agg(*agg).where(F.col("end_sec") - F.col(start) >= shortest).drop("_run", "part")
 
 
+def refine(df: DataFrame, keys: list[str], start: str, end: str, ident: str, order: list[Column], threshold: float, shortest: float, parent: str | None = None) -> DataFrame:
+    """Refined events: too short ones go, then suppression; the rest get ids ``event_000000`` on in the order of starts."""
+    left = suppress(df.where(F.col(end) - F.col(start) >= shortest), keys, start, end, ident, order, threshold, parent)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(start, end, ident)) - 1
+    return left.withColumn(ident, F.format_string("event_%06d", number))
+
+
 def activity_runs(df: DataFrame, keys: list[str], order: list[str], active: str) -> DataFrame:
     """Lengths of runs of equal activity."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -5,20 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalyn.config import RULES
 from stratalyn.operators.vectors import dot, norm
 
-#: Classes counted as biological and as noise, and the order in which a hint is looked for.
-BIOLOGICAL = ("Bird", "Insect", "Frog", "Whale", "Animal")
-NOISE = ("Wind", "Rain", "Engine", "Vehicle", "Noise")
-HINTS = (("insect", ("Insect", "Cricket"), 3), ("whale", ("Whale",), 5), ("bird", ("Bird",), 3), ("frog", ("Frog",), 3), ("wind", ("Wind",), 3))
-
-
-def _names_any(names: tuple[str, ...]):
-    return lambda x: F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(x["name"], n))
+#: Classes counted as biological.
+BIOLOGICAL = (
+    "Animal", "Domestic animals, pets", "Wild animals", "Bird", "Bird vocalization, bird call, bird song", "Chirp, tweet", "Squawk", "Pigeon, dove", "Crow", "Owl", "Hoot", "Cluck", "Coo", "Caw",
+    "Insect", "Cricket", "Mosquito", "Fly, housefly", "Bee, wasp, etc.", "Frog", "Croak", "Whale vocalization", "Roar", "Growling", "Bark", "Howl", "Yip", "Whimper (dog)", "Bow-wow", "Bay", "Meow", "Hiss", "Purr",
+    "Bleat", "Neigh, whinny", "Moo", "Cowbell", "Pig", "Oink", "Squeak", "Chicken, rooster", "Crowing, cock-a-doodle-doo", "Turkey", "Gobble", "Duck", "Quack", "Goose", "Honk", "Rodents, rats, mice", "Mouse", "Bat",
+)
+#: Classes counted as noise.
+NOISE = (
+    "Vehicle", "Car", "Truck", "Motorcycle", "Engine", "Aircraft", "Wind", "Wind noise (microphone)", "Wind chime", "Rain", "Thunder", "Thunderstorm", "Speech", "Conversation", "Male speech, man speaking",
+    "Female speech, woman speaking", "Music", "Singing", "Musical instrument", "Mechanisms", "Machinery", "Industrial", "Silence", "White noise", "Pink noise", "Static",
+)
+#: Hints in the order in which they are looked for, words in a class name, and how many leading classes count.
+HINTS = (
+    ("insect_sustained", ("Insect", "Mosquito", "Cricket", "Bee"), 3),
+    ("marine_mammal", ("Whale",), 5),
+    ("bird_calls", ("Bird", "Chirp", "Tweet"), 3),
+    ("amphibian", ("Frog", "Croak"), 3),
+    ("wind_dominant", ("Wind",), 3),
+)
 
 
 def _best(scores: Column, names: tuple[str, ...]) -> Column:
-    inside = F.filter(scores, _names_any(names))
+    inside = F.filter(scores, lambda x: x["name"].isin(*names))
     return F.coalesce(F.array_max(F.transform(inside, lambda x: x["score"])), F.lit(0.0))
 
 
@@ -27,6 +39,11 @@ def window_tags(df: DataFrame, scores: str) -> DataFrame:
     return df.withColumn("bio_score", _best(F.col(scores), BIOLOGICAL)).withColumn("noise_score", _best(F.col(scores), NOISE))
 
 
+def recording_tags(windows: DataFrame, keys: list[str], active: float = 0.30) -> DataFrame:
+    """Mean scores of the windows of a recording and the share of windows with biological activity."""
+    return windows.groupBy(*keys).agg(F.avg("bio_score").alias("mean_bio"), F.avg("noise_score").alias("mean_noise"), F.avg((F.col("bio_score") > active).cast("int")).alias("bio_fraction"), F.count("*").alias("n_windows"))
+
+
 def top_classes(df: DataFrame, keys: list[str], scores: str, k: int) -> DataFrame:
     """The ``k`` classes of the largest mean score, as an ordered array of (name, score)."""
     each = df.select(*keys, F.explode(scores).alias("x")).groupBy(*keys, F.col("x.name").alias("name")).agg(F.avg("x.score").alias("score"))
@@ -35,12 +52,12 @@ def top_classes(df: DataFrame, keys: list[str], scores: str, k: int) -> DataFram
 
 
 def hint(top: Column, bio: Column, noise: Column) -> Column:
-    """The first class family among the leading classes, else which mean score is larger."""
-    found = F.lit(None).cast("string")
-    for name, words, depth in reversed(HINTS):
-        match = F.exists(F.slice(top, 1, depth), _names_any(words))
-        found = F.when(match, name).otherwise(found)
-    return F.coalesce(found, F.when(bio > noise, "biological").otherwise("noise"))
+    """The first hint with one of its words in a leading class, else which mean score is larger; no class: unknown."""
+    def named(words: tuple[str, ...], depth: int) -> Column:
+        return F.exists(F.slice(top, 1, depth), lambda x: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(x["name"], w)))
+
+    found = F.coalesce(*[F.when(named(words, depth), name) for name, words, depth in HINTS], F.when(bio > noise, "general_animal").otherwise("background_dominant"))
+    return F.when(F.coalesce(F.size(top), F.lit(0)) < 1, "unknown").otherwise(found)
 
 
 def caption(clips: DataFrame, prompts: DataFrame, keys: list[str], vector: str, order: str, most: int = 4) -> DataFrame:
@@ -59,18 +76,18 @@ def caption(clips: DataFrame, prompts: DataFrame, keys: list[str], vector: str,
     return best.select(*keys, F.col("b.prompt").alias("prompt"), F.col("b._s").alias("similarity"))
 
 
-def adaptive(profile: DataFrame, dynamic: str, tonal: str, regime: str) -> DataFrame:
-    """Parameters of each recording as columns, later rules over earlier ones, to be joined by recording."""
-    d, t, r = F.col(dynamic), F.col(tonal), F.col(regime)
-    return profile.withColumns(
-        {
-            "threshold_db": F.when(d < 12, 4.0).when(d < 18, 3.5).when(d < 25, 5.0).otherwise(8.0),
-            "noise_mode": F.when(d < 12, "exploratory").otherwise("balanced"),
-            "min_quality": F.when(d < 12, 0.25).when(d < 18, 0.40).otherwise(0.55),
-            "min_eventness": F.when(d < 12, 0.10).otherwise(0.28),
-            "keep_clusterability": F.when(d < 12, 0.30).otherwise(0.55),
-            "review_clusterability": F.when(d < 12, 0.10).otherwise(0.30),
-            "tonality_floor": F.when(t < 0.10, 0.05).when(t < 0.20, 0.10).otherwise(0.20),
-            "max_event": F.when(r == "sustained_narrowband", 20.0).when(r == "transient_dense", 3.0).otherwise(8.0),
-        }
-    )
+def adaptive(profile: DataFrame, dynamic: str, tonal: str, regime: str, semantic: str | None = None) -> DataFrame:
+    """Parameters of each recording as columns: the rules of ``config.RULES`` in order, later ones over earlier ones.
+
+    A parameter that no rule sets is null: the setting of the run holds.
+    """
+    given = {"dynamic_range": dynamic, "median_tonality": tonal, "regime": regime, "hint": semantic}
+    out: dict[str, Column] = {}
+    for what, low, high, changes in RULES:
+        if given[what] is None:
+            continue
+        c = F.col(given[what])
+        test = (c == low) if isinstance(low, str) else (c >= low) & (c < high)
+        for name, value in changes.items():
+            out[name] = F.when(test, F.lit(value)).otherwise(out.get(name, F.lit(None)))
+    return profile.withColumns(out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,23 +29,40 @@ def ranked(df: DataFrame, keys: list[str], score: str, ident: str, k: int) -> Da
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, base: DataFrame, ident: str, vector: str, k: int, size_bound: int = 200_000) -> DataFrame:
-    """Exact ``k`` nearest by cosine. The base side is broadcast only if its counted size allows; else it is salted
-    into blocks, each block answers with its own best ``k``, and the blocks' answers are merged.
+def nearest(queries: DataFrame, base: DataFrame, ident: str, vector: str, k: int, size_bound: int = 64 << 20) -> DataFrame:
+    """Exact ``k`` nearest by cosine: (src, dst, rank, similarity), similarities rounded to nine places, ties by dst.
+
+    Both sides are dealt into blocks of at most ``size_bound`` bytes of numbers, counted first. Every block of queries
+    meets every block of the base in one task, as matrices; a task passes on its best ``k`` and ties a query, never all
+    pairs, and the answers are merged.
     """
-    n = base.count()
-    q = queries.select(F.col(ident).alias("src"), F.col(vector).alias("_q"))
-    b = base.select(F.col(ident).alias("dst"), F.col(vector).alias("_b"))
-    sim = dot(F.col("_q"), F.col("_b")) / (norm(F.col("_q")) * norm(F.col("_b")))
-    if n <= size_bound:
-        pairs = q.join(F.broadcast(b), F.col("src") != F.col("dst")).select("src", "dst", sim.alias("similarity"))
-    else:
-        blocks = -(-n // size_bound)
-        block = b.withColumn("_k", F.pmod(F.xxhash64("dst"), F.lit(blocks)))
-        every = q.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        pairs = every.join(block, "_k").where("src <> dst").select("src", "dst", "_k", sim.alias("similarity"))
-        pairs = ranked(pairs, ["src", "_k"], "similarity", "dst", k).drop("rank", "_k")
-    return ranked(pairs.withColumn("similarity", F.round("similarity", 9)), ["src"], "similarity", "dst", k)
+    n, width = base.agg(F.count("*"), F.max(F.size(vector))).first()
+    per = max(1, size_bound // (8 * max(1, width or 1)))
+    blocks = max(1, -(-n // per))
+    kind = base.schema[ident].dataType.simpleString()
+    dealt = lambda d: d.select(ident, vector, F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int").alias("block"))
+    spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = dealt(queries).withColumn("other", spread).select("block", "other", F.lit(0).alias("side"), ident, vector)
+    right = dealt(base).withColumnRenamed("block", "own").withColumn("block", spread).select("block", F.col("own").alias("other"), F.lit(1).alias("side"), ident, vector)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        unit = lambda rows: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(np.stack(rows.to_numpy()).astype(np.float64))
+        q, b = pdf[pdf.side == 0].sort_values(ident), pdf[pdf.side == 1].sort_values(ident)
+        if len(q) and len(b):
+            target, names = unit(b[vector]), b[ident].to_numpy()
+            for at in range(0, len(q), 512):
+                rows = q.iloc[at : at + 512]
+                sim = np.round(unit(rows[vector]) @ target.T, 9)
+                sim[rows[ident].to_numpy()[:, None] == names[None]] = -np.inf
+                order = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(sim, order, axis=1)
+                parts.append(pd.DataFrame({"src": np.repeat(rows[ident].to_numpy(), order.shape[1]), "dst": names[order].ravel(), "similarity": best.ravel()}))
+        out = pd.concat(parts) if parts else pd.DataFrame({"src": [], "dst": [], "similarity": []})
+        return out[np.isfinite(out.similarity.astype(float))]
+
+    found = left.unionByName(right).groupBy("block", "other").applyInPandas(run, f"src {kind}, dst {kind}, similarity double")
+    return ranked(found, ["src"], "similarity", "dst", k)
 
 
 def coassignment(df: DataFrame, first: str, second: str) -> DataFrame:
@@ -61,10 +80,27 @@ def persistence(df: DataFrame, base: str, runs: list[str]) -> DataFrame:
     return d.withColumn("stability", sum((share(r) for r in runs[1:]), share(runs[0])) / len(runs)).drop("_a")
 
 
-def summarise_clusters(df: DataFrame, keys: list[str], order: str, family: str, **means: str) -> DataFrame:
-    """Size, means of non-null columns, and the most frequent family (first seen on ties)."""
+def family_blocks(df: DataFrame, keys: list[str], family: str, least: int, out: str = "block") -> DataFrame:
+    """``out``: families of at least ``least`` rows are blocks; the rest is ``pooled`` if it is as large or there is no block, else it joins the last block by name."""
+    own = F.count("*").over(Window.partitionBy(*keys, family))
+    whole = Window.partitionBy(*keys)
+    d = df.withColumn("_n", own)
+    small, last = F.count_if(F.col("_n") < least).over(whole), F.max(F.when(F.col("_n") >= least, F.col(family))).over(whole)
+    return d.withColumn(out, F.when(F.col("_n") >= least, F.col(family)).when((small >= least) | last.isNull(), "pooled").otherwise(last)).drop("_n")
+
+
+def ensemble_variants(runs: int, neighbours: int, distance: float, least: int, samples: int) -> list[dict]:
+    """Settings of an ensemble of clusterings: each list is cycled at its own length, equal settings are left out."""
+    cycles = {"neighbours": (10, 15, 25, neighbours), "distance": (0.0, 0.05, distance), "least": (5, 8, 12, least), "samples": (1, 3, 5, samples)}
+    made = [{k: v[i % len(v)] for k, v in cycles.items()} for i in range(max(1, runs))]
+    return [m for i, m in enumerate(made) if m not in made[:i]]
+
+
+def summarise_clusters(df: DataFrame, keys: list[str], order: str, family: str, component: str | None = None, **means: str) -> DataFrame:
+    """Size, means of non-null columns, the most frequent family (first seen on ties), and how many rows are components."""
     modal = df.groupBy(*keys, family).agg(F.count("*").alias("n"), F.min(order).alias("at")).groupBy(*keys).agg(F.max_by(family, F.struct("n", (-F.col("at")).alias("a"))).alias("family"))
-    return df.groupBy(*keys).agg(F.count("*").alias("size"), *[F.avg(c).alias(n) for n, c in means.items()]).join(modal, keys)
+    parts = [F.count_if(F.col(component)).alias("n_component_events"), F.count_if(~F.coalesce(F.col(component), F.lit(False))).alias("n_original_events")] if component else []
+    return df.groupBy(*keys).agg(F.count("*").alias("size"), *parts, *[F.avg(c).alias(n) for n, c in means.items()]).join(modal, keys)
 
 
 def propagate(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

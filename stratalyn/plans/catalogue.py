@@ -19,6 +19,8 @@ from stratalyn.operators import intervals as iv
 from stratalyn.operators import routing as rt
 from stratalyn.operators import tagging as tg
 from stratalyn.operators import vectors as vx
+from stratalyn.sources import service
+from stratalyn.sources.recordings import with_split
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -246,12 +248,34 @@ def recording_profile(spark, d):
     return profile(spark, d).select("rec", rnd("p10", 5).alias("p10"), rnd("p50", 5).alias("p50"), rnd("p90", 5).alias("p90"), rnd("active").alias("active"), r.alias("regime"))
 
 
-@query(f"""WITH {DET}, {PROFILE}
-SELECT rec, CASE WHEN dyn < 12 THEN 4.0 WHEN dyn < 18 THEN 3.5 WHEN dyn < 25 THEN 5.0 ELSE 8.0 END::DOUBLE AS threshold_db, CASE WHEN dyn < 12 THEN 0.25 WHEN dyn < 18 THEN 0.40 ELSE 0.55 END::DOUBLE AS min_quality,
-       CASE WHEN ton < 0.10 THEN 0.05 WHEN ton < 0.20 THEN 0.10 ELSE 0.20 END::DOUBLE AS tonality_floor, CASE WHEN dyn < 12 THEN 'exploratory' ELSE 'balanced' END AS mode FROM p""")
+REGIME = "CASE WHEN density >= 1.5 AND stat >= 0.85 THEN 'sustained_narrowband' WHEN density >= 6 AND active < 0.40 THEN 'transient_dense' WHEN dyn < 18 THEN 'low_dynamic_range' WHEN active >= 0.20 AND stat < 0.70 THEN 'dense_variable' ELSE 'default_sparse' END"
+
+
+@query(f"""WITH {DET}, {PROFILE}, x AS (SELECT *, {REGIME} AS regime, CASE rec % 5 WHEN 0 THEN 'insect_sustained' WHEN 1 THEN 'marine_mammal' WHEN 2 THEN 'bird_calls' WHEN 3 THEN 'wind_dominant' ELSE 'amphibian' END AS hint FROM p)
+SELECT rec, regime, hint, CASE WHEN hint = 'bird_calls' THEN 3.0 WHEN dyn < 12 THEN 4.0 WHEN dyn < 18 THEN 3.5 WHEN dyn < 25 THEN 5.0 ELSE 8.0 END::DOUBLE AS threshold_db,
+       CASE hint WHEN 'marine_mammal' THEN 0.40 WHEN 'bird_calls' THEN 0.45 WHEN 'wind_dominant' THEN 0.65 ELSE CASE WHEN dyn < 12 THEN 0.25 WHEN dyn < 18 THEN 0.40 END END::DOUBLE AS min_quality,
+       CASE WHEN hint IN ('insect_sustained', 'marine_mammal') THEN 0.05 WHEN ton < 0.10 THEN 0.05 WHEN ton < 0.20 THEN 0.10 END::DOUBLE AS tonality_floor,
+       CASE hint WHEN 'insect_sustained' THEN 60.0 WHEN 'marine_mammal' THEN 2.0 WHEN 'bird_calls' THEN 3.0 ELSE CASE regime WHEN 'sustained_narrowband' THEN 30.0 WHEN 'transient_dense' THEN 2.0 WHEN 'dense_variable' THEN 8.0 END END::DOUBLE AS max_event,
+       CASE hint WHEN 'insect_sustained' THEN 0.5 WHEN 'marine_mammal' THEN 0.05 WHEN 'bird_calls' THEN 0.10 ELSE CASE regime WHEN 'sustained_narrowband' THEN 0.5 WHEN 'transient_dense' THEN 0.08 WHEN 'dense_variable' THEN 0.25 END END::DOUBLE AS min_event,
+       CASE WHEN hint = 'marine_mammal' THEN 0.08 ELSE CASE regime WHEN 'sustained_narrowband' THEN 0.6 WHEN 'transient_dense' THEN 0.1 WHEN 'dense_variable' THEN 0.4 END END::DOUBLE AS merge_gap,
+       CASE WHEN hint = 'insect_sustained' OR regime IN ('sustained_narrowband', 'low_dynamic_range') THEN 1 END AS votes, CASE WHEN hint = 'insect_sustained' OR regime = 'sustained_narrowband' THEN false END AS flux,
+       CASE WHEN dyn < 12 THEN 'exploratory' END AS noise_mode, CASE WHEN dyn < 12 THEN 0.10 END::DOUBLE AS min_eventness, CASE WHEN dyn < 12 THEN 82.0 END::DOUBLE AS flux_percentile, CASE WHEN dyn < 12 THEN 3.0 END::DOUBLE AS band_snr FROM x""")
 def adaptive_params(spark, d):
-    p = profile(spark, d).withColumn("regime", sc.regime(F.col("density"), F.col("stat"), F.col("density"), F.col("active"), F.col("dyn")))
-    return tg.adaptive(p, "dyn", "ton", "regime").select("rec", "threshold_db", "min_quality", "tonality_floor", F.col("noise_mode").alias("mode"))
+    hints = F.create_map(*[F.lit(v) for pair in enumerate(("insect_sustained", "marine_mammal", "bird_calls", "wind_dominant", "amphibian")) for v in pair])
+    p = profile(spark, d).withColumn("regime", sc.regime(F.col("density"), F.col("stat"), F.col("density"), F.col("active"), F.col("dyn"))).withColumn("hint", F.element_at(hints, (F.col("rec") % 5).cast("int")))
+    return tg.adaptive(p, "dyn", "ton", "regime", "hint").select("rec", "regime", "hint", "threshold_db", "min_quality", "tonality_floor", "max_event", "min_event", "merge_gap", "votes", "flux", "noise_mode", "min_eventness", "flux_percentile", "band_snr")
+
+
+@query(f"WITH {DET} SELECT rec, round(quantile_cont({DB}, 0.2), 6) AS noise_floor FROM det GROUP BY rec")
+def noise_floor(spark, d):
+    f = detections(spark, d).withColumn("db", fr.decibel(F.col("value")))
+    return fr.noise_floor(f, ["rec"], "db").select("rec", rnd("noise_floor").alias("noise_floor"))
+
+
+@query("""WITH v AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e, lag(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)
+SELECT label, round(coalesce(avg(list_dot_product(e, b) / (greatest(sqrt(list_dot_product(e, e)), 1e-12) * greatest(sqrt(list_dot_product(b, b)), 1e-12))), 1), 6) AS stationarity FROM v GROUP BY label""")
+def stationarity(spark, d):
+    return fr.stationarity(table(spark, d, "embeddings"), ["label"], ["vec_id"], "embedding").select("label", rnd("stationarity").alias("stationarity"))
 
 
 # ---- scores and routing -------------------------------------------------------------------------------------------
@@ -383,11 +407,10 @@ def route_partition(spark, d):
 
 @query(f"WITH RECURSIVE {ROUTED} SELECT rec, event_id, final AS route, final = 'original' AS clusterable FROM routed")
 def union_buckets(spark, d):
-    x = routed(spark, d).select("rec", "event_id", "route", "clusterable")
-    return x.where("clusterable").unionByName(x.where("not clusterable"))
+    return routed(spark, d).select("rec", "event_id", "route", "clusterable")  # buckets are a column: their union is the table
 
 
-FAMILY = "CASE WHEN dur < 0.12 AND flat > 0.45 AND bw * 9000 > 1500 THEN 'click' WHEN value * 10 < 900 AND dur >= 0.18 AND ton >= 0.12 THEN 'low_frequency' WHEN dur >= 0.45 AND value * 10 >= 3000 AND ton >= 0.18 AND active * 10 >= 8 THEN 'trill' WHEN flat >= 0.62 AND ton < 0.18 THEN 'burst' WHEN ton >= 0.48 AND bw * 9000 < greatest(900.0, 0.55 * value * 10) THEN 'whistle' WHEN ton >= 0.22 AND bw * 9000 < greatest(1800.0, 1.25 * value * 10) THEN 'harmonic' WHEN active * 10 >= 5 AND flat > 0.08 THEN 'pulse_train' ELSE 'unknown' END"
+FAMILY = "CASE WHEN dur < 0.12 AND flat > 0.45 AND bw * 9000 > 1500 THEN 'broadband_click' WHEN value * 10 < 900 AND dur >= 0.18 AND ton >= 0.12 THEN 'low_frequency_call' WHEN dur >= 0.45 AND value * 10 >= 3000 AND ton >= 0.18 AND active * 10 >= 8 THEN 'insect_trill' WHEN flat >= 0.62 AND ton < 0.18 THEN 'noisy_burst' WHEN ton >= 0.48 AND bw * 9000 < greatest(900.0, 0.55 * value * 10) THEN 'tonal_whistle' WHEN ton >= 0.22 AND bw * 9000 < greatest(1800.0, 1.25 * value * 10) THEN 'harmonic_call' WHEN active * 10 >= 5 AND flat > 0.08 THEN 'pulse_train' ELSE 'unknown' END"
 
 
 def families(spark, d):
@@ -400,23 +423,24 @@ def prefamily(spark, d):
     return families(spark, d).select("rec", "event_id", "family")
 
 
-@query(f"WITH {DET}, f AS (SELECT rec, event_id, {FAMILY} AS family FROM det), n AS (SELECT *, count(*) OVER (PARTITION BY rec, family) AS k FROM f) SELECT rec, CASE WHEN k >= 15 THEN family ELSE 'pooled' END AS block, count(*) AS n FROM n GROUP BY 1, 2")
+@query(f"""WITH {DET}, f AS (SELECT rec, event_id, {FAMILY} AS family FROM det), n AS (SELECT *, count(*) OVER (PARTITION BY rec, family) AS k FROM f),
+b AS (SELECT rec, count(*) FILTER (WHERE k < 15) AS small, max(family) FILTER (WHERE k >= 15) AS last FROM n GROUP BY rec)
+SELECT n.rec, CASE WHEN k >= 15 THEN family WHEN small >= 15 OR last IS NULL THEN 'pooled' ELSE last END AS block, count(*) AS n FROM n JOIN b ON b.rec = n.rec GROUP BY 1, 2""")
 def prefamily_blocks(spark, d):
-    n = families(spark, d).withColumn("k", F.count("*").over(Window.partitionBy("rec", "family")))
-    return n.groupBy("rec", F.when(F.col("k") >= 15, F.col("family")).otherwise("pooled").alias("block")).agg(F.count("*").alias("n"))
+    return vx.family_blocks(families(spark, d), ["rec"], "family", 15).groupBy("rec", "block").agg(F.count("*").alias("n"))
 
 
 # ---- evaluation ---------------------------------------------------------------------------------------------------
 
 GT = "gt AS (SELECT rec, event_id AS gt_id, s, e FROM det WHERE event_type = 'purchase'), pr AS (SELECT rec, event_id AS pred_id, s, e FROM det WHERE event_type IN ('click', 'view'))"
 COVER = "(CASE WHEN gt.e > gt.s THEN greatest(0.0::DOUBLE, least(pr.e, gt.e) - greatest(pr.s, gt.s)) / (gt.e - gt.s) ELSE 0 END)"
-CAND = f"""cand AS (SELECT * FROM (SELECT gt.rec, gt_id, pred_id, gt.s AS gs, gt.e AS ge, pr.s AS ps, pr.e AS pe, {_iou('gt', 'pr')} AS iou, {COVER} AS cover FROM gt JOIN pr ON gt.rec = pr.rec AND gt.s <= pr.e AND pr.s <= gt.e) WHERE iou >= 0.3 OR cover >= 0.5)"""
-MATCH = f"""{DET}, {GT}, {CAND}, mo AS (SELECT rec, gt_id AS g, pred_id AS p, greatest(iou, cover) AS score, row_number() OVER (PARTITION BY rec ORDER BY greatest(iou, cover) DESC, gt_id, pred_id) AS rn FROM cand),
-mr AS (SELECT rec, rn, [{{'g': g, 'p': p, 'score': score}}] AS kept FROM mo WHERE rn = 1
+CAND = f"""cand AS (SELECT * FROM (SELECT gt.rec, gt_id, pred_id, gt.s AS gs, gt.e AS ge, pr.s AS ps, pr.e AS pe, {_iou('gt', 'pr')} AS iou, {COVER} AS cover FROM gt JOIN pr ON gt.rec = pr.rec AND gt.s <= pr.e AND pr.s <= gt.e) WHERE iou >= 0.3 OR cover >= 0.3)"""
+MATCH = f"""{DET}, {GT}, {CAND}, mo AS (SELECT rec, gt_id AS g, pred_id AS p, greatest(iou, cover) AS score, iou, abs((gs + ge) / 2 - (ps + pe) / 2) AS err, row_number() OVER (PARTITION BY rec ORDER BY greatest(iou, cover) DESC, gt_id, pred_id) AS rn FROM cand),
+mr AS (SELECT rec, rn, [{{'g': g, 'p': p, 'score': score, 'iou': iou, 'err': err}}] AS kept FROM mo WHERE rn = 1
   UNION ALL
-  SELECT mo.rec, mo.rn, CASE WHEN len(list_filter(mr.kept, lambda k: k.g = mo.g OR k.p = mo.p)) > 0 THEN mr.kept ELSE list_append(mr.kept, {{'g': mo.g, 'p': mo.p, 'score': mo.score}}) END
+  SELECT mo.rec, mo.rn, CASE WHEN len(list_filter(mr.kept, lambda k: k.g = mo.g OR k.p = mo.p)) > 0 THEN mr.kept ELSE list_append(mr.kept, {{'g': mo.g, 'p': mo.p, 'score': mo.score, 'iou': mo.iou, 'err': mo.err}}) END
   FROM mr JOIN mo ON mo.rec = mr.rec AND mo.rn = mr.rn + 1),
-mat AS (SELECT rec, u.g AS gt_id, u.p AS pred_id, u.score AS score FROM (SELECT rec, unnest(k) AS u FROM (SELECT rec, max_by(kept, rn) AS k FROM mr GROUP BY rec)))"""
+mat AS (SELECT rec, u.g AS gt_id, u.p AS pred_id, u.score AS score, u.iou AS iou, u.err AS err FROM (SELECT rec, unnest(k) AS u FROM (SELECT rec, max_by(kept, rn) AS k FROM mr GROUP BY rec)))"""
 CNT = """cnt AS (SELECT rec, coalesce(n_gt, 0) AS n_gt, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM (SELECT rec, count(*) AS n_gt FROM gt GROUP BY rec) FULL JOIN (SELECT rec, count(*) AS n_pred FROM pr GROUP BY rec) USING (rec) LEFT JOIN (SELECT rec, count(*) AS tp FROM mat GROUP BY rec) USING (rec)),
 met AS (SELECT rec, n_gt, n_pred, tp, n_pred - tp AS fp, n_gt - tp AS fn, coalesce(tp / nullif(n_pred, 0), 0) AS p, coalesce(tp / nullif(n_gt, 0), 0) AS r FROM cnt)"""
 
@@ -430,18 +454,18 @@ def truth(spark, d):
 
 def matched(spark, d):
     gt, pred = truth(spark, d)
-    return gt, pred, ev.assign(ev.candidates(gt, pred, "rec", 0.3, 0.5), "rec")
+    return gt, pred, ev.assign(ev.candidates(gt, pred, "rec", 0.3, 0.3), "rec")
 
 
 @query(f"WITH {DET}, {GT}, {CAND} SELECT rec, gt_id, pred_id, round(iou, 6) AS iou, round(cover, 6) AS cover FROM cand")
 def gt_candidates(spark, d):
     gt, pred = truth(spark, d)
-    return ev.candidates(gt, pred, "rec", 0.3, 0.5).select("rec", "gt_id", "pred_id", rnd("iou").alias("iou"), rnd("cover").alias("cover"))
+    return ev.candidates(gt, pred, "rec", 0.3, 0.3).select("rec", "gt_id", "pred_id", rnd("iou").alias("iou"), rnd("cover").alias("cover"))
 
 
 @query(f"WITH RECURSIVE {MATCH} SELECT rec, gt_id, pred_id, round(score, 6) AS score FROM mat")
 def greedy_match(spark, d):
-    return matched(spark, d)[2].withColumn("score", rnd("score"))
+    return matched(spark, d)[2].select("rec", "gt_id", "pred_id", rnd("score").alias("score"))
 
 
 @query(f"""WITH {DET}, {GT}, x AS (SELECT pr.rec, pred_id, gt_id, greatest({_iou('gt', 'pr')}, {COVER}) AS score FROM pr JOIN gt ON gt.rec = pr.rec AND gt.s <= pr.e AND pr.s <= gt.e),
@@ -452,28 +476,43 @@ def best_gt(spark, d):
     return ev.best_truth(gt, pred, "rec").withColumn("score", rnd("score"))
 
 
-@query(f"WITH RECURSIVE {MATCH}, {CNT} SELECT rec, n_gt, n_pred, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM met")
+FILES = "q AS (SELECT rec, avg(iou) AS mean_iou, median(err) AS median_error FROM mat GROUP BY rec), files AS (SELECT met.*, coalesce(mean_iou, 0) AS mean_iou, median_error FROM met LEFT JOIN q ON q.rec = met.rec)"
+
+
+@query(f"WITH RECURSIVE {MATCH}, {CNT}, {FILES} SELECT rec, n_gt, n_pred, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, round(mean_iou, 6) AS mean_iou, round(median_error, 3) AS median_error FROM files")
 def detection_metrics(spark, d):
-    gt, pred, m = matched(spark, d)
-    out = ev.with_rates(ev.detection_counts(gt, pred, m, "rec"))
-    return out.select("rec", "n_gt", "n_pred", "tp", "fp", "fn", *[rnd(c).alias(c) for c in ("precision", "recall", "f1")])
+    gt, pred = truth(spark, d)
+    out = ev.detection(gt, pred, "rec")[0]
+    return out.select("rec", "n_gt", "n_pred", "tp", "fp", "fn", *[rnd(c).alias(c) for c in ("precision", "recall", "f1", "mean_iou")], rnd("median_error", 3).alias("median_error"))
 
 
-@query(f"""WITH RECURSIVE {MATCH}, {CNT}, t AS (SELECT sum(n_gt) AS n_gt, sum(n_pred) AS n_pred, sum(tp) AS tp FROM met), i AS (SELECT avg(score) AS mean_score, median(score) AS median_score FROM mat)
-SELECT CAST(n_gt AS BIGINT) AS n_gt, CAST(n_pred AS BIGINT) AS n_pred, CAST(tp AS BIGINT) AS tp, round(tp / n_pred, 6) AS precision, round(tp / n_gt, 6) AS recall, round(2 * tp / (n_pred + n_gt), 6) AS f1, round(mean_score, 6) AS mean_score, round(median_score, 6) AS median_score FROM t, i""")
+@query(f"""WITH RECURSIVE {MATCH}, {CNT}, {FILES}, t AS (SELECT sum(n_gt) AS n_gt, sum(n_pred) AS n_pred, sum(tp) AS tp, sum(mean_iou * tp) / nullif(sum(tp), 0) AS mean_iou, median(median_error) AS median_error FROM files)
+SELECT CAST(n_gt AS BIGINT) AS n_gt, CAST(n_pred AS BIGINT) AS n_pred, CAST(tp AS BIGINT) AS tp, round(tp / n_pred, 6) AS precision, round(tp / n_gt, 6) AS recall, round(2 * tp / (n_pred + n_gt), 6) AS f1, round(coalesce(mean_iou, 0), 6) AS mean_iou, round(median_error, 3) AS median_error FROM t""")
 def rollup_metrics(spark, d):
-    gt, pred, m = matched(spark, d)
-    t = ev.with_rates(ev.detection_counts(gt, pred, m, "rec").agg(*[F.sum(c).alias(c) for c in ("n_gt", "n_pred", "tp", "fp", "fn")]))
-    i = m.agg(rnd(F.avg("score")).alias("mean_score"), rnd(F.median("score")).alias("median_score"))
-    return t.crossJoin(F.broadcast(i)).select("n_gt", "n_pred", "tp", *[rnd(c).alias(c) for c in ("precision", "recall", "f1")], "mean_score", "median_score")
+    gt, pred = truth(spark, d)
+    t = ev.roll_up(ev.detection(gt, pred, "rec")[0])
+    return t.select("n_gt", "n_pred", "tp", *[rnd(c).alias(c) for c in ("precision", "recall", "f1", "mean_iou")], rnd("median_error", 3).alias("median_error"))
 
 
-@query(f"""WITH {DET}, p AS (SELECT rec, CASE WHEN comp THEN CAST(parent AS VARCHAR) ELSE CAST(event_id AS VARCHAR) END AS prediction_id, s, e, snr, CASE WHEN comp THEN 'component' ELSE 'original' END AS source_type FROM det)
-SELECT rec, prediction_id, round(min(s), 3) AS start_sec, round(max(e), 3) AS end_sec, round(max(snr), 6) AS detection_score, count(*) AS n_members, CASE WHEN count(*) > 1 THEN 'parent_aggregated' ELSE min(source_type) END AS source_type FROM p GROUP BY rec, prediction_id""")
+@query(f"""WITH {DET}, p AS (SELECT rec, event_id, CASE WHEN comp THEN CAST(parent AS VARCHAR) END AS parent_id, s, e, snr, event_type, CASE WHEN comp THEN 'component' ELSE 'original' END AS source_type FROM det),
+c AS (SELECT rec, parent_id, min(s) AS s, max(e) AS e, max(snr) AS snr, count(*) AS n, min(event_id) AS first FROM p WHERE parent_id IS NOT NULL GROUP BY rec, parent_id)
+SELECT rec, CAST(event_id AS VARCHAR) AS prediction_id, event_id, event_type, round(s, 3) AS start_sec, round(e, 3) AS end_sec, round(snr, 6) AS detection_score, 1 AS n_members, source_type FROM p WHERE parent_id IS NULL
+UNION ALL SELECT c.rec, c.parent_id, c.first, p.event_type, round(c.s, 3), round(c.e, 3), round(c.snr, 6), n, CASE WHEN n > 1 THEN 'parent_aggregated' ELSE p.source_type END FROM c JOIN p ON p.rec = c.rec AND p.event_id = c.first""")
 def parent_collapse(spark, d):
-    x = detections(spark, d).select("rec", "event_id", F.when(F.col("comp"), F.col("parent").cast("string")).alias("parent_event_id"), F.col("s").alias("start_sec"), F.col("e").alias("end_sec"), F.col("snr").alias("detection_score"), F.when(F.col("comp"), "component").otherwise("original").alias("source_type"))
+    x = detections(spark, d).select("rec", "event_id", "event_type", F.when(F.col("comp"), F.col("parent").cast("string")).alias("parent_event_id"), F.col("s").alias("start_sec"), F.col("e").alias("end_sec"), F.col("snr").alias("detection_score"), F.when(F.col("comp"), "component").otherwise("original").alias("source_type"))
     out = ev.collapse_parents(x, "rec")
-    return out.select("rec", "prediction_id", rnd("start_sec", 3).alias("start_sec"), rnd("end_sec", 3).alias("end_sec"), rnd("detection_score").alias("detection_score"), "n_members", "source_type")
+    return out.select("rec", "prediction_id", "event_id", "event_type", rnd("start_sec", 3).alias("start_sec"), rnd("end_sec", 3).alias("end_sec"), rnd("detection_score").alias("detection_score"), "n_members", "source_type")
+
+
+@query(f"""WITH {DET}, m AS (SELECT rec, CASE WHEN comp THEN 'component' WHEN bw > 0.9 THEN 'mixed' ELSE 'original' END AS source, comp, CASE WHEN event_type <> 'signup' THEN flat END AS purity FROM det)
+SELECT rec, count(*) AS n_events, count(*) FILTER (WHERE source = 'mixed') AS n_mixed, count(*) FILTER (WHERE comp) AS n_components, count(*) FILTER (WHERE source = 'original') AS n_original, round(avg(purity), 6) AS mean_purity, true AS enabled,
+       round(count(*) FILTER (WHERE source = 'mixed') / count(*), 6) AS mixed_rate, round(count(*) FILTER (WHERE comp) / count(*), 6) AS component_rate FROM m GROUP BY rec""")
+def polyphony_metrics(spark, d):
+    x = detections(spark, d)
+    source = F.when(F.col("comp"), "component").when(F.col("bw") > 0.9, "mixed").otherwise("original")
+    e = x.select("rec", source.alias("source_type"), (F.col("bw") > 0.9).alias("is_mixed"), F.col("comp").alias("is_component"), F.col("parent").alias("parent_event_id"), F.when(F.col("event_type") != "signup", F.col("flat")).alias("purity_score"), F.col("bw").alias("polyphony_score"))
+    out = ev.polyphony(e, ["rec"])
+    return out.select("rec", "n_events", "n_mixed", "n_components", "n_original", "enabled", *[rnd(c).alias(c) for c in ("mean_purity", "mixed_rate", "component_rate")])
 
 
 @query(f"WITH RECURSIVE {MATCH} SELECT rec, gt_id AS id, 'missed' AS kind FROM gt WHERE gt_id NOT IN (SELECT gt_id FROM mat) UNION ALL SELECT rec, pred_id, 'spurious' FROM pr WHERE pred_id NOT IN (SELECT pred_id FROM mat)")
@@ -492,10 +531,10 @@ def cluster_summary(spark, d):
 
 
 @query("""WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang), c AS (SELECT source, sum(n) AS size, max(n) AS top FROM n GROUP BY source)
-SELECT count(*) AS n_clusters, CAST(sum(size) AS BIGINT) AS n_events, round(avg(top / size), 6) AS mean_purity, round(sum(top) / sum(size), 6) AS weighted_purity, round(sum(size) / count(*), 6) AS compression FROM c""")
+SELECT count(*) AS n_clusters, CAST(sum(size) AS BIGINT) AS n_events, round(avg(top / size), 6) AS mean_purity, round(sum(top) / sum(size), 6) AS weighted_purity, round(sum(size) / count(*), 6) AS compression, round(avg(size), 6) AS mean_size, median(size) AS median_size FROM c""")
 def purity_compression(spark, d):
     out = ev.purity(table(spark, d, "documents"), [], "lang", "source")
-    return out.select("n_clusters", "n_events", *[rnd(c).alias(c) for c in ("mean_purity", "weighted_purity", "compression")])
+    return out.select("n_clusters", "n_events", "median_size", *[rnd(c).alias(c) for c in ("mean_purity", "weighted_purity", "compression", "mean_size")])
 
 
 @query("""WITH n AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source), a AS (SELECT lang, sum(n) AS a FROM n GROUP BY lang), b AS (SELECT source, sum(n) AS b FROM n GROUP BY source), t AS (SELECT sum(n) AS t FROM n),
@@ -539,17 +578,27 @@ def fp_audit(spark, d):
     return out.select("feature", "n_matched", "n_unmatched", r("mean_matched", 4), r("mean_unmatched", 4), r("median_matched", 5), r("median_unmatched", 5), r("separation", 5), r("threshold", 4), "direction")
 
 
-GRID = {"n_chars": [500.0, 1000.0, 2000.0], "n_words": [50.0, 100.0, 400.0], "share": [0.1, 0.15, 0.2]}
+GRID = (("least_chars", "n_chars", (500.0, 1000.0, 2000.0), "min"), ("most_chars", "n_chars", (500.0, 2000.0, 8000.0), "max"), ("least_words", "n_words", (50.0, 100.0, 400.0), "min"), ("least_share", "share", (0.1, 0.15, 0.2), "min"), ("most_share", "share", (0.14, 0.16, 0.2), "max"))
+SWEPT = f"""{DOCS}, u AS ({' UNION ALL '.join(f"SELECT good, '{name}' AS name, '{way}' AS direction, {t}::DOUBLE AS threshold, {f} IS NULL OR {f} {'>=' if way == 'min' else '<='} {t} AS kept FROM docs" for name, f, ts, way in GRID for t in ts)}),
+a AS (SELECT name, direction, threshold, count(*) AS n, count(*) FILTER (WHERE good) AS m, count(*) FILTER (WHERE kept) AS k, count(*) FILTER (WHERE kept AND good) AS km FROM u GROUP BY name, direction, threshold),
+b AS (SELECT *, coalesce(km / nullif(k, 0), 0) AS p, km / m AS rk, coalesce(km / nullif(k, 0), 0) - m / n AS g FROM a)"""
 
 
-@query(f"""WITH {DOCS}, u AS ({' UNION ALL '.join(f"SELECT good, '{f}' AS name, {t}::DOUBLE AS threshold, {f} IS NULL OR {f} >= {t} AS kept FROM docs" for f, ts in GRID.items() for t in ts)}),
-a AS (SELECT name, threshold, count(*) AS n, count(*) FILTER (WHERE good) AS m, count(*) FILTER (WHERE kept) AS k, count(*) FILTER (WHERE kept AND good) AS km FROM u GROUP BY name, threshold),
-b AS (SELECT *, coalesce(km / nullif(k, 0), 0) AS p, km / m AS rk FROM a)
-SELECT name, threshold, k AS n_kept, round(p, 6) AS precision, round(p - m / n, 6) AS gain, round(rk, 6) AS recall_kept, row_number() OVER (PARTITION BY name ORDER BY round(p, 9) DESC, threshold) = 1 AS best FROM b""")
+@query(f"WITH {SWEPT} SELECT name, direction, threshold, k AS n_kept, round(p, 6) AS precision, round(g, 6) AS gain, round(rk, 6) AS recall_kept FROM b")
 def calibration_sweep(spark, d):
     s = ev.sweep(labelled(spark, d), "good", GRID)
-    best = F.row_number().over(Window.partitionBy("name").orderBy(F.round("precision", 9).desc(), "threshold")) == 1
-    return s.select("name", "threshold", "n_kept", rnd("precision").alias("precision"), rnd("gain").alias("gain"), rnd("recall_kept").alias("recall_kept"), best.alias("best"))
+    return s.select("name", "direction", "threshold", "n_kept", rnd("precision").alias("precision"), rnd("gain").alias("gain"), rnd("recall_kept").alias("recall_kept"))
+
+
+@query(f"WITH {SWEPT}, r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY round(g, 12) DESC, round(p, 12) DESC, threshold) AS i FROM b WHERE rk >= 0.85) SELECT name, threshold AS value, round(g, 6) AS gain, round(p, 6) AS precision FROM r WHERE i = 1")
+def recommended_thresholds(spark, d):
+    return ev.recommended(ev.sweep(labelled(spark, d), "good", GRID)).select("name", "value", rnd("gain").alias("gain"), rnd("precision").alias("precision"))
+
+
+@query("""WITH t AS (SELECT o_orderpriority AS trial, round(avg(o_totalprice), 0) AS score, count(*) AS f1, count(DISTINCT o_custkey) AS weighted_purity FROM orders GROUP BY 1) SELECT trial FROM t ORDER BY score DESC, f1 DESC, weighted_purity DESC, trial LIMIT 1""")
+def best_trial(spark, d):
+    t = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("trial")).agg(F.round(F.avg("o_totalprice"), 0).alias("score"), F.count("*").alias("f1"), F.count_distinct("o_custkey").alias("weighted_purity"))
+    return ev.best_trial(t).select("trial")
 
 
 @query(f"""WITH {SCORED}, c AS (SELECT * FROM (VALUES ('off', 0.0::DOUBLE), ('exploratory', 0.43::DOUBLE), ('balanced', 0.55::DOUBLE), ('conservative', 0.70::DOUBLE)) AS v(mode, t)),
@@ -638,22 +687,22 @@ def graph_components(spark, d):
 
 
 @query(f"""WITH {CEN}, f AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings), c AS (SELECT f.label, i, avg(x) AS c FROM u JOIN f ON f.vec_id = u.vec_id AND f.r <= 4 GROUP BY f.label, i), n AS (SELECT label, sqrt(sum(c * c)) + 1e-9 AS n FROM c GROUP BY label),
-p AS (SELECT vec_id, i, x, sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS pn FROM u WHERE vec_id % 50 = 1), s AS (SELECT c.label, 'p' || p.vec_id AS prompt, round(sum(c.c / n.n * p.x) / max(p.pn), 7) AS sim FROM c JOIN n USING (label) JOIN p USING (i) GROUP BY c.label, p.vec_id),
+p AS (SELECT vec_id, i, x, sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS pn FROM u), s AS (SELECT c.label, 'p' || p.vec_id AS prompt, round(sum(c.c / n.n * p.x) / max(p.pn), 7) AS sim FROM c JOIN n USING (label) JOIN p USING (i) GROUP BY c.label, p.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, prompt DESC) AS r FROM s) SELECT label, prompt, round(sim, 5) AS similarity FROM k WHERE r = 1""".replace("n AS (SELECT label, sqrt(sum(c * c)) + 1e-9 AS n FROM m GROUP BY label), cen AS (SELECT label, i, c / n AS c FROM m JOIN n USING (label)), f", "f"))
 def zero_shot_captions(spark, d):
     e = vectors(spark, d)
-    prompts = e.where("vec_id % 50 = 1").select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("prompt"), "embedding")
+    prompts = e.select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("prompt"), "embedding")
     return tg.caption(e, prompts, ["label"], "embedding", "vec_id").select("label", "prompt", rnd("similarity", 5).alias("similarity"))
 
 
-CLASSES = {"signup": "Bird song", "error": "Wind", "click": "Insect", "view": "Frog call", "purchase": "Engine"}
+CLASSES = {"signup": "Chirp, tweet", "error": "Wind", "click": "Bee, wasp, etc.", "view": "Croak", "purchase": "Engine"}
 
 
 @query(f"""WITH {DET}, n AS (SELECT rec, CASE event_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in CLASSES.items())} END AS name, avg(flat) AS score FROM det GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY score DESC, name) AS k FROM n),
-t AS (SELECT rec, max(CASE WHEN k <= 3 AND contains(name, 'Insect') THEN 1 ELSE 0 END) AS i, max(CASE WHEN k <= 3 AND contains(name, 'Bird') THEN 1 ELSE 0 END) AS b, max(CASE WHEN k <= 3 AND contains(name, 'Frog') THEN 1 ELSE 0 END) AS f, max(CASE WHEN k <= 3 AND contains(name, 'Wind') THEN 1 ELSE 0 END) AS w, string_agg(name, ',' ORDER BY k) FILTER (WHERE k <= 3) AS top,
-  coalesce(max(score) FILTER (WHERE name IN ('Bird song', 'Insect', 'Frog call')), 0) AS bio, coalesce(max(score) FILTER (WHERE name IN ('Wind', 'Engine')), 0) AS noise FROM r GROUP BY rec)
-SELECT rec, top, round(bio, 6) AS bio_score, round(noise, 6) AS noise_score, CASE WHEN i = 1 THEN 'insect' WHEN b = 1 THEN 'bird' WHEN f = 1 THEN 'frog' WHEN w = 1 THEN 'wind' WHEN bio > noise THEN 'biological' ELSE 'noise' END AS hint FROM t""")
+t AS (SELECT rec, count(*) FILTER (WHERE k <= 3 AND regexp_matches(name, 'Insect|Mosquito|Cricket|Bee')) AS i, count(*) FILTER (WHERE k <= 3 AND regexp_matches(name, 'Bird|Chirp|Tweet')) AS b, count(*) FILTER (WHERE k <= 3 AND regexp_matches(name, 'Frog|Croak')) AS f, count(*) FILTER (WHERE k <= 3 AND contains(name, 'Wind')) AS w, string_agg(name, ',' ORDER BY k) FILTER (WHERE k <= 3) AS top,
+  coalesce(max(score) FILTER (WHERE name IN ('Chirp, tweet', 'Bee, wasp, etc.', 'Croak')), 0) AS bio, coalesce(max(score) FILTER (WHERE name IN ('Wind', 'Engine')), 0) AS noise FROM r GROUP BY rec)
+SELECT rec, top, round(bio, 6) AS bio_score, round(noise, 6) AS noise_score, CASE WHEN i > 0 THEN 'insect_sustained' WHEN b > 0 THEN 'bird_calls' WHEN f > 0 THEN 'amphibian' WHEN w > 0 THEN 'wind_dominant' WHEN bio > noise THEN 'general_animal' ELSE 'background_dominant' END AS hint FROM t""")
 def semantic_tags(spark, d):
     name = F.coalesce(*[F.when(F.col("event_type") == a, b) for a, b in CLASSES.items()])
     one = detections(spark, d).select("rec", F.array(F.struct(name.alias("name"), F.col("flat").alias("score"))).alias("scores"))
@@ -689,10 +738,10 @@ def asof_gate(spark, d):
     return g.select("rec", "event_id", rnd("score").alias("score"), F.coalesce(F.col("score") >= 0.5, F.lit(False)).alias("pass"))
 
 
-@query("""SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, list_extract(string_split(url, '/'), -1) AS base, printf('page_%06d', page_id) AS ident, CASE WHEN contains(lower(url), 'val') THEN 'validation' ELSE 'train' END AS split, printf('cluster_%03d', page_id % 40) AS folder FROM pages""")
+@query("""SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, list_extract(string_split(url, '/'), -1) AS base, printf('page_%06d', page_id) AS ident, CASE WHEN contains(lower(url), 'val') THEN 'validation' WHEN contains(lower(url), 'train') THEN 'train' ELSE 'all' END AS split, printf('cluster_%03d', page_id % 40) AS folder FROM pages""")
 def strings_paths(spark, d):
-    p = table(spark, d, "pages")
-    return p.select("page_id", F.regexp_replace(F.regexp_replace("url", "[^A-Za-z0-9]+", "_"), "^_+|_+$", "").alias("slug"), F.substring_index("url", "/", -1).alias("base"), F.format_string("page_%06d", "page_id").alias("ident"), F.when(F.lower("url").contains("val"), "validation").otherwise("train").alias("split"), F.format_string("cluster_%03d", F.col("page_id") % 40).alias("folder"))
+    p = with_split(table(spark, d, "pages"), "url")
+    return p.select("page_id", F.regexp_replace(F.regexp_replace("url", "[^A-Za-z0-9]+", "_"), "^_+|_+$", "").alias("slug"), F.substring_index("url", "/", -1).alias("base"), F.format_string("page_%06d", "page_id").alias("ident"), "split", F.format_string("cluster_%03d", F.col("page_id") % 40).alias("folder"))
 
 
 @query("""SELECT event_id, strftime(make_timestamp(epoch_us(ts) + CAST(round(value * 1000) AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S') AS ends_at, strftime(ts, '%Y-%m-%d') AS day, try_cast('x' || event_id AS DOUBLE) IS NULL AS bad FROM events""")
@@ -741,6 +790,46 @@ def rollup_counts(spark, d):
     return detections(spark, d).rollup("rec", "event_type").agg(F.count("*").alias("n"), rnd(F.sum("value"), 4).alias("total"))
 
 
+CLUSTERED = """ev AS (SELECT o_orderkey AS event_id, o_custkey AS cluster_id, o_totalprice AS score, CASE o_orderpriority WHEN '1-URGENT' THEN 'low_confidence_noise' WHEN '2-HIGH' THEN 'short_review' ELSE 'original' END AS route FROM orders),
+meta AS (SELECT l_orderkey AS event_id, max(l_returnflag) AS mode FROM lineitem WHERE l_linenumber > 1 GROUP BY 1)"""
+
+
+def clustered(spark, d):
+    route = F.when(F.col("o_orderpriority") == "1-URGENT", "low_confidence_noise").when(F.col("o_orderpriority") == "2-HIGH", "short_review").otherwise("original")
+    e = table(spark, d, "orders").select(F.lit("r").alias("recording_id"), F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("cluster_id"), F.col("o_totalprice").alias("score"), route.alias("route"))
+    meta = table(spark, d, "lineitem").where("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("event_id")).agg(F.max("l_returnflag").alias("mode"))
+    return e, meta.withColumn("recording_id", F.lit("r"))
+
+
+@query(f"WITH {CLUSTERED} SELECT ev.event_id, route, mode, mode IS NOT NULL AS described FROM ev LEFT JOIN meta ON meta.event_id = ev.event_id")
+def event_metadata(spark, d):
+    e, meta = clustered(spark, d)
+    out = service.described(e, meta, ["recording_id", "event_id"])
+    return out.select("event_id", "route", F.col("metadata.mode").alias("mode"), F.col("metadata").isNotNull().alias("described"))
+
+
+@query(f"""WITH {CLUSTERED}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, event_id) AS k FROM ev)
+SELECT cluster_id, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS events, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (WHERE k <= 2) AS representatives FROM r GROUP BY cluster_id""")
+def cluster_events(spark, d):
+    e, _ = clustered(spark, d)
+    top = vx.ranked(e, ["recording_id", "cluster_id"], "score", "event_id", 2).groupBy("recording_id", "cluster_id").agg(F.array_join(F.collect_list(F.col("event_id").cast("string")), ",").alias("representative_event_ids"))
+    out = service.with_events(top, e)
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["event_id"].cast("string")), ",")
+    return out.select("cluster_id", F.size("events").cast("long").alias("n"), ids(F.col("events")).alias("events"), ids(F.col("representatives")).alias("representatives"))
+
+
+@query(f"WITH {CLUSTERED} SELECT route, count(*) AS n_events, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS event_ids FROM ev WHERE route <> 'original' GROUP BY route")
+def review_folders(spark, d):
+    e, _ = clustered(spark, d)
+    return rt.by_bucket(e, ["recording_id"]).select("route", "n_events", F.array_join(F.col("event_ids").cast("array<string>"), ",").alias("event_ids"))
+
+
+@query(f"WITH {DET} SELECT event_id, CASE WHEN comp THEN printf('%d_component_%d__%.3f-%.3f', parent, event_id % 3, s, e) ELSE printf('%d__%.3f-%.3f', event_id, s, e) END AS stem FROM det")
+def file_stems(spark, d):
+    x = detections(spark, d).select(F.col("event_id"), F.when(F.col("comp"), F.col("parent")).alias("parent_event_id"), F.when(F.col("comp"), F.col("event_id") % 3).alias("component_id"), F.col("comp").alias("is_component"), F.col("s").alias("start_sec"), F.col("e").alias("end_sec"))
+    return x.select("event_id", service.file_stem().alias("stem"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Routed detections of every recording: how many each bucket holds, beside the detection figures."""
     return route_partition(spark, d).join(detection_metrics(spark, d), "rec", "left")

@@ -13,12 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalyn.config import DiscoveryConfig, fingerprint
+from stratalyn.config import DiscoveryConfig, adapted, fingerprint
 from stratalyn.functions import kernels as k
 from stratalyn.functions import plugins
 from stratalyn.functions import scores as sc
 from stratalyn.operators import intervals as iv
 from stratalyn.operators import routing as rt
+from stratalyn.operators import tagging as tg
 from stratalyn.operators import vectors as vx
 from stratalyn.plans.session import shared_dir
 
@@ -57,9 +58,10 @@ def detect(x: np.ndarray, rate: int, c: DiscoveryConfig) -> list[dict]:
     n = min(len(db), mel.shape[1], mag.shape[1])
     db, floor, fl, flat = db[:n], floor[:n], k.flux(mel)[:n], k.flatness(mag)[:n]
     mad = np.median(np.abs(fl - np.median(fl)))
-    limit = max(np.percentile(fl, 90), np.median(fl) + 4 * mad)
-    energy = db > floor + c.threshold_db
-    mask = energy.astype(int) + ((fl > limit) & (db > floor + 1.5)) + ((flat < c.max_flatness) & (db > floor + 1.5)) >= c.votes
+    limit, strong = max(np.percentile(fl, c.flux_percentile), np.median(fl) + c.flux_mads * mad), max(float(np.percentile(fl, 95)), 1e-9)
+    above = db > floor + c.flux_snr
+    votes = [db > floor + c.threshold_db] + [(fl > limit) & above] * c.flux + [(flat < c.max_flatness) & above] * c.concentration
+    mask = np.sum(votes, axis=0) >= min(c.votes, len(votes))
     if c.multiband:
         mask |= band_activity(x, rate, c, n)
     step, length = c.hop / rate, len(x) / rate
@@ -77,7 +79,7 @@ def detect(x: np.ndarray, rate: int, c: DiscoveryConfig) -> list[dict]:
             end = min(b, at + c.max_event)
             if end - at >= c.min_event or at == a:
                 s = slice(int(at / step), max(int(at / step) + 1, int(end / step)))
-                snr, change = float((db[s] - floor[s]).mean()), float(np.clip(fl[s] / max(limit, 1e-9), 0, 1).mean())
+                snr, change = float((db[s] - floor[s]).mean()), float(np.clip(fl[s] / strong, 0, 1).mean())
                 out.append({"start": at, "end": end, "snr": snr, "score": float(np.clip(0.45 * np.clip(snr / 20, 0, 1) + 0.35 * change + 0.20 * mask[s].mean(), 0, 1))})
             if end >= b:
                 break
@@ -91,8 +93,7 @@ def separate(x: np.ndarray, rate: int, c: DiscoveryConfig) -> tuple[list[dict],
     hop = max(64, n // 4)
     z = k.stft(x, n, hop)
     db = k.to_db(np.abs(z))
-    mask = db > np.percentile(db, 20, axis=1, keepdims=True) + c.component_snr
-    mask &= db > db.max() - 30
+    mask = k.cleaned_mask(db > np.percentile(db, 20, axis=1, keepdims=True) + c.component_snr)
     lab, count = k.label_2d(mask)
     power, out = np.abs(z) ** 2, []
     total = power[mask].sum() + 1e-12
@@ -110,7 +111,10 @@ def separate(x: np.ndarray, rate: int, c: DiscoveryConfig) -> tuple[list[dict],
     cover = np.zeros(z.shape[1], int)
     for p in strong:
         cover[p["t0"] : p["t1"] + 1] += 1
-        p["audio"] = k.istft(z * p.pop("mask"), n, hop, len(x)).astype(np.float32)
+        y = np.nan_to_num(k.istft(z * k.smoothed(p.pop("mask")), n, hop, len(x)))
+        p["audio"] = (y / max(1.0, float(np.abs(y).max(initial=0.0)))).astype(np.float32)
+        parts = (p["purity"], p["snr"] / 16, p["ratio"] / 0.24, p["compact"] / 0.45, p["duration"] / 0.24)
+        p["quality"] = float(np.clip(sum(w * np.clip(v, 0, 1) for w, v in zip((0.30, 0.25, 0.20, 0.15, 0.10), parts)), 0, 1))
     return strong, float((cover > 1).sum() / max(1, (cover > 0).sum()))
 
 
@@ -134,7 +138,26 @@ def measure(x: np.ndarray, rate: int, band_floor: np.ndarray, c: DiscoveryConfig
     }
 
 
-def events_of(recording: str, x: np.ndarray, rate: int, c: DiscoveryConfig) -> list[dict]:
+#: Settings that the routers need of each recording; with ``adaptive`` they differ between recordings.
+SETTINGS = ("min_event", "max_event", "short_review", "review_short", "noise_mode", "min_quality", "min_eventness", "tonality_floor", "keep_clusterability", "review_clusterability")
+SETTINGS_TYPE = "settings struct<min_event:double,max_event:double,short_review:double,review_short:boolean,noise_mode:string,min_quality:double,min_eventness:double,tonality_floor:double,keep_clusterability:double,review_clusterability:double>"
+
+
+def settled(x: np.ndarray, rate: int, c: DiscoveryConfig, hint: str | None = None) -> DiscoveryConfig:
+    """The settings of one recording: those of the run, adapted to its profile if the run is adaptive."""
+    if not c.adaptive:
+        return c
+    p = k.profile(x, rate, c.frame, c.hop)
+    return adapted(c, p | {"regime": k.regime_of(p), "hint": hint})
+
+
+def events_of(recording: str, x: np.ndarray, rate: int, c: DiscoveryConfig, hint: str | None = None) -> list[dict]:
+    c = settled(x, rate, c, hint)
+    settings = {name: getattr(c, name) for name in SETTINGS}
+    return [e | {"settings": settings} for e in _events_of(recording, x, rate, c)]
+
+
+def _events_of(recording: str, x: np.ndarray, rate: int, c: DiscoveryConfig) -> list[dict]:
     band_floor = np.percentile(k.log_mel(x, rate, c.frame, c.hop, 32, None), 20, axis=1)
     out: list[dict] = []
     for d in detect(x, rate, c):
@@ -153,14 +176,17 @@ def events_of(recording: str, x: np.ndarray, rate: int, c: DiscoveryConfig) -> l
         if len(parts) <= 1 or top >= 1 - c.component_ratio:
             out.append(base | measure(clip, rate, band_floor, c))
             continue
-        reason = "components_too_overlapping" if overlap > 0.45 else None if poly >= 0.25 and len(pure) >= 2 else "not_separable"
+        mean_purity = float(np.mean([p["purity"] for p in parts]))
+        apart = poly >= 0.25 and (overlap <= 0.65 or mean_purity >= 0.55) and len(pure) >= 2
+        reasons = {"too_many_significant_components": len(parts) > c.max_components, "components_too_overlapping": overlap > 0.45, "component_masks_not_compact": any(p["compact"] < 0.15 for p in pure), "not_separable": not apart}
+        reason = next((name for name, holds in reasons.items() if holds), None)
         if reason:
-            out.append(base | measure(clip, rate, band_floor, c) | {"is_mixed": True, "mix_reason": reason, "purity_score": float(np.mean([p["purity"] for p in parts]))})
+            out.append(base | measure(clip, rate, band_floor, c) | {"is_mixed": True, "mix_reason": reason, "purity_score": mean_purity})
             continue
         pure = [p for p in pure if p["to"] - p["from"] >= max(1, round(c.component_duration * rate))]
         if not pure:
-            out.append(base | measure(clip, rate, band_floor, c) | {"is_mixed": True, "mix_reason": "not_separable", "purity_score": float(np.mean([p["purity"] for p in parts]))})
-        for i, p in enumerate(sorted(pure, key=lambda p: -p["purity"])):
+            out.append(base | measure(clip, rate, band_floor, c) | {"is_mixed": True, "mix_reason": "not_separable", "purity_score": mean_purity})
+        for i, p in enumerate(sorted(pure, key=lambda p: -p["quality"])):
             own = {"start_sec": d["start"] + p["from"] / rate, "end_sec": d["start"] + p["to"] / rate, "duration_sec": (p["to"] - p["from"]) / rate}
             gate = {"component_energy_ratio": p["ratio"], "component_snr_db": p["snr"], "component_compactness": p["compact"]}
             out.append(base | measure(p["audio"][p["from"] : p["to"]], rate, band_floor, c) | own | gate | {"event_id": f"{ident}_c{i}", "parent_event_id": ident, "is_component": True, "purity_score": p["purity"]})
@@ -168,15 +194,32 @@ def events_of(recording: str, x: np.ndarray, rate: int, c: DiscoveryConfig) -> l
 
 
 def detections(recordings: DataFrame, c: DiscoveryConfig) -> DataFrame:
-    names = [f.split()[0] for f in EVENTS.replace("array<float>", "a").split(", ")]
+    """Events of all recordings. A column ``hint`` of ``recordings``, the tagger's regime, counts in adaptive runs."""
+    names = [*(f.split()[0] for f in EVENTS.replace("array<float>", "a").split(", ")), "settings"]
+    tagged = recordings if "hint" in recordings.columns else recordings.withColumn("hint", F.lit(None).cast("string"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples():
-                found = events_of(row.recording_id, np.frombuffer(row.samples, np.float32), int(row.sample_rate), c)
+                found = events_of(row.recording_id, np.frombuffer(row.samples, np.float32), int(row.sample_rate), c, row.hint)
                 yield pd.DataFrame(found, columns=names)
 
-    return recordings.where("samples is not null").select("recording_id", "sample_rate", "samples").mapInPandas(run, EVENTS)
+    return tagged.where("samples is not null").select("recording_id", "sample_rate", "samples", "hint").mapInPandas(run, f"{EVENTS}, {SETTINGS_TYPE}")
+
+
+def profiles(recordings: DataFrame, c: DiscoveryConfig) -> DataFrame:
+    """The profile of every recording, its regime, and the parameters that the adaptive rules set (null: none)."""
+    names = [*k.profile(np.zeros(0), 1), "regime"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.itertuples():
+                p = k.profile(np.frombuffer(row.samples, np.float32), int(row.sample_rate), c.frame, c.hop)
+                yield pd.DataFrame([{"recording_id": row.recording_id} | p | {"regime": k.regime_of(p)}])
+
+    schema = "recording_id string, " + ", ".join(f"{n} {'string' if n == 'regime' else 'double'}" for n in names)
+    found = recordings.where("samples is not null").select("recording_id", "sample_rate", "samples").mapInPandas(run, schema)
+    return tg.adaptive(found, "dynamic_range", "median_tonality", "regime")
 
 
 def gated(events: DataFrame) -> DataFrame:
@@ -194,11 +237,12 @@ def gated(events: DataFrame) -> DataFrame:
 
 def scored(events: DataFrame, c: DiscoveryConfig) -> DataFrame:
     col, events = F.col, gated(events)
-    duration = sc.duration_window(col("duration_sec"), (c.min_event * 0.6, max(c.min_event * 2, 0.12)), (c.max_event * 0.75, c.max_event))
+    low, high = col("settings.min_event"), col("settings.max_event")
+    duration = sc.duration_window(col("duration_sec"), (low * 0.6, F.greatest(low * 2, F.lit(0.12))), (high * 0.75, high))
     q = sc.quality(col("snr_db"), col("spectral_flatness"), col("tonality_score"), col("bandwidth_ratio"), col("peak_band_snr_db"), c.min_snr, c.noise_flatness, c.min_tonality)
     x = events.withColumn("quality_score", q).withColumn("eventness_score", sc.eventness(col("temporal_contrast_db"), col("active_ratio"), duration, col("is_component"), col("purity_score")))
     x = x.withColumn("duration_confidence", duration).withColumn("local_snr_score", sc.smoothstep(c.min_snr, c.min_snr + 18, F.greatest(sc.safe(col("snr_db"), 0), sc.safe(col("peak_band_snr_db"), 0))))
-    x = x.withColumn("overlap_penalty", sc.overlap_penalty(col("is_mixed"), F.lit(False), col("polyphony_score"), col("purity_score"))).withColumn("edge_penalty", sc.edge_penalty(col("duration_sec"), col("active_ratio"), c.short_review, c.max_event))
+    x = x.withColumn("overlap_penalty", sc.overlap_penalty(col("is_mixed"), F.lit(False), col("polyphony_score"), col("purity_score"))).withColumn("edge_penalty", sc.edge_penalty(col("duration_sec"), col("active_ratio"), col("settings.short_review"), high))
     x = x.withColumn("structure_score", sc.structure(col("tonality_score"), col("spectral_flatness"), col("peak_band_snr_db"))).withColumn("broadband_penalty", sc.broadband(col("spectral_flatness"), col("bandwidth_hz"), col("spectral_centroid"), col("tonality_score")))
     x = x.withColumn("selection_score", sc.selection(col("eventness_score"), col("purity_score"), col("quality_score"), col("duration_sec"), col("peak_db"), col("is_component")))
     clu = sc.clusterability(col("eventness_score"), col("local_snr_score"), col("structure_score"), col("duration_confidence"), col("embedding_stability"), col("broadband_penalty"), col("overlap_penalty"), col("edge_penalty"))
@@ -212,31 +256,28 @@ def routed(events: DataFrame, c: DiscoveryConfig) -> DataFrame:
     x = rt.route(rt.start(x), F.col("is_mixed"), rt.MIXED, F.coalesce("mix_reason", F.lit("mixed")))
     x = rt.route(x, F.col("component_reason") != "clusterable_component", rt.COMPONENT_REVIEW, F.col("component_reason"))
     x = rt.route(x, F.col("detection_score") < c.min_detection, rt.LOW_DETECTION, "low_detection")
-    low = sc.low_confidence(F.col("quality_score"), F.col("snr_db"), F.col("spectral_flatness"), F.col("tonality_score"), c.noise_mode, c.min_quality, c.min_snr, c.noise_flatness, c.min_tonality, c.tonality_floor)
+    low = sc.low_confidence(F.col("quality_score"), F.col("snr_db"), F.col("spectral_flatness"), F.col("tonality_score"), F.col("settings.noise_mode"), F.col("settings.min_quality"), c.min_snr, c.noise_flatness, c.min_tonality, F.col("settings.tonality_floor"))
     x = rt.route(x, low, rt.LOW_NOISE, "noise_quality")
-    limit = F.when(F.col("is_component"), c.min_component_eventness).otherwise(c.min_eventness)
+    limit = F.when(F.col("is_component"), c.min_component_eventness).otherwise(F.col("settings.min_eventness"))
     x = rt.route(x, (F.col("eventness_score") < limit) | ((F.col("active_ratio") > 0.92) & (F.col("temporal_contrast_db") < 7)), rt.LOW_NOISE, "eventness")
     x = rt.route_candidates(x, ["recording_id"], "parent_event_id", "event_id", "start_sec", "end_sec", "selection_score", c.max_per_parent, c.candidate_nms)
-    return rt.finish(rt.route_clusterability(rt.route_short(x, "duration_sec", c.short_review), "clusterability_score", c.keep_clusterability, c.review_clusterability))
+    x = rt.route_short(x, "duration_sec", F.when(F.col("settings.review_short"), F.col("settings.short_review")))
+    return rt.finish(rt.route_clusterability(x, "clusterability_score", F.col("settings.keep_clusterability"), F.col("settings.review_clusterability")))
 
 
 def clustered(events: DataFrame, c: DiscoveryConfig) -> DataFrame:
     """cluster_id and cluster_probability of clusterable events: density clustering in blocks of a family.
 
-    A block is one recording's family of at least ``family_block`` events, small families share one; ids are dense
-    within a recording.
+    A block is one recording's family of at least ``family_block`` events; small families share one, or join the last
+    block if they are few. Ids are dense within a recording.
     """
     from pyspark.sql import Window
 
-    n = F.count("*").over(Window.partitionBy("recording_id", "family"))
-    blocks = events.where("clusterable").withColumn("block", F.when(n >= c.family_block, F.col("family")).otherwise("pooled")).select("recording_id", "block", "event_id", "embedding")
+    blocks = vx.family_blocks(events.where("clusterable"), ["recording_id"], "family", c.family_block).select("recording_id", "block", "event_id", "embedding")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("event_id")
-        x = k.pca(np.stack(pdf.embedding.to_numpy()).astype(np.float64), c.cluster_dims) if len(pdf) > 1 else np.zeros((len(pdf), 1))
-        labels, p = k.density_clusters(x, c.min_cluster, max(2, c.min_cluster // 2))
-        if (labels < 0).all():
-            labels = np.zeros(len(pdf), int)
+        labels, p = k.cluster_block(np.stack(pdf.embedding.to_numpy()), c.cluster_dims, c.min_cluster, max(2, c.min_cluster // 2))
         return pd.DataFrame({"recording_id": pdf.recording_id, "block": pdf.block, "event_id": pdf.event_id, "local": labels, "cluster_probability": p})
 
     local = blocks.groupBy("recording_id", "block").applyInPandas(run, "recording_id string, block string, event_id string, local int, cluster_probability double")
@@ -260,7 +301,7 @@ def represented(events: DataFrame, c: DiscoveryConfig) -> DataFrame:
 
 def clusters(events: DataFrame, c: DiscoveryConfig) -> DataFrame:
     own = events.where("cluster_id >= 0").withColumn("_at", F.col("start_sec"))
-    summary = vx.summarise_clusters(own, ["recording_id", "cluster_id"], "_at", "family", mean_probability="cluster_probability", mean_purity="purity_score", mean_clusterability="clusterability_score", mean_stability="embedding_stability")
+    summary = vx.summarise_clusters(own, ["recording_id", "cluster_id"], "_at", "family", "is_component", mean_probability="cluster_probability", mean_purity="purity_score", mean_clusterability="clusterability_score", mean_stability="embedding_stability")
     top = vx.ranked(own, ["recording_id", "cluster_id"], "representative_score", "event_id", c.representatives)
     reps = top.groupBy("recording_id", "cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "event_id"))), lambda x: x["event_id"]).alias("representative_event_ids"))
     return summary.join(reps, ["recording_id", "cluster_id"])
@@ -276,5 +317,5 @@ def run(recordings: DataFrame, c: DiscoveryConfig | None = None) -> tuple[DataFr
     shared_dir(recordings.sparkSession)
     found = detections(recordings, c).checkpoint()
     sorted_out = routed(scored(found, c), c).checkpoint()
-    events = clustered(sorted_out, c).withColumn("config_hash", F.lit(fingerprint(c))).checkpoint()
+    events = clustered(sorted_out, c).withColumn("config_hash", F.lit(fingerprint(c))).drop("settings").checkpoint()
     return events, clusters(events, c)

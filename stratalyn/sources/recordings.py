@@ -16,10 +16,12 @@ from stratalyn.functions import kernels as k
 SUFFIXES = ("wav", "flac", "mp3")
 #: Names that a column of annotations may have.
 SYNONYMS = {
-    "start": ("starttime", "start_time", "start", "start_sec", "onset", "begin", "begin_time"),
-    "end": ("endtime", "end_time", "end", "end_sec", "offset", "stop"),
-    "label": ("q", "label", "class", "species", "event_label"),
+    "start": ("starttime", "start_time", "start", "onset", "begin"),
+    "end": ("endtime", "end_time", "end", "offset"),
+    "label": ("label", "class", "species", "event_label", "annotation", "q", "type"),
 }
+#: Subsets that a folder or a file name may state.
+SUBSETS = ("PB24", "WMW", "BV", "JD", "MT", "ME", "PB", "PW", "HB", "RD", "HT")
 
 
 def parse_wav(content: bytes, target: int | None = None) -> tuple[np.ndarray, int]:
@@ -60,18 +62,36 @@ def write_wav(x: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
-def discover(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
-    """Paths of recordings below a folder with stem, split and subset, in path order."""
+def discover(spark: SparkSession, folder: str, limit: int | None = None, split: str | None = None, subset: str | None = None) -> DataFrame:
+    """Paths of recordings below a folder with stem, split and subset, in path order; ``all`` takes every split."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
     found = files.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*SUFFIXES))
     named = with_split(found.withColumn("stem", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)))
+    if split and split != "all":
+        named = named.where(F.col("split").isin(split, "all"))
+    if subset:
+        named = named.where(F.upper("subset") == subset.upper())
     return named.orderBy("path").limit(limit) if limit else named
 
 
 def with_split(df: DataFrame, path: str = "path") -> DataFrame:
+    """``split`` (validation, train or all) and ``subset``: a known folder, a known name in the file's, or its first token."""
     low, parts = F.lower(path), F.split(F.lower(path), "/")
-    split = F.when(low.contains("val"), "validation").when(low.contains("train"), "training").when(low.contains("eval") | low.contains("test"), "evaluation")
-    return df.withColumn("split", split).withColumn("subset", F.upper(F.element_at(F.filter(parts, lambda p: p.rlike("^[a-z]{2}$")), 1)))
+    split = F.when(low.contains("val"), "validation").when(low.contains("train"), "train").otherwise("all")
+    known = F.array(*[F.lit(x) for x in SUBSETS])
+    folder = F.get(F.filter(F.transform(parts, lambda p: F.upper(p)), lambda p: F.array_contains(known, p)), F.lit(0))
+    name = F.upper(F.element_at(parts, -1))
+    inside = F.get(F.filter(known, lambda x: F.contains(name, x)), F.lit(0))
+    token = F.nullif(F.regexp_extract(name, r"^([A-Z]{2,5})(?:[_.-]|$)", 1), F.lit(""))
+    return df.withColumn("split", split).withColumn("subset", F.coalesce(folder, inside, token))
+
+
+def annotation_index(spark: SparkSession, folder: str) -> DataFrame:
+    """(note_path, note_stem) of all CSV files below a folder, by stem and by stem without an annotation ending."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{csv,CSV}").load(folder).select(F.col("path").alias("note_path"))
+    stem = F.lower(F.regexp_extract("note_path", r"([^/]+)\.[^./]+$", 1))
+    bare = F.regexp_replace(stem, "[_-]annotations?$", "")
+    return files.select("note_path", F.explode(F.array_distinct(F.array(stem, bare))).alias("note_stem")).where("note_stem <> ''")
 
 
 def load(spark: SparkSession, folder: str, rate: int | None = None) -> DataFrame:
@@ -99,15 +119,26 @@ def _resolve(columns: list[str], names: tuple[str, ...]) -> str | None:
 
 
 def annotations(spark: SparkSession, path: str, positive: str = "POS") -> DataFrame:
-    """(file_id, start_sec, end_sec, label, raw_label): negative, unknown and empty intervals left out."""
+    """(file_id, start_sec, end_sec, label, raw_label): negative, unknown and empty intervals left out, a null label is ``event``."""
     df = spark.read.option("header", "true").option("recursiveFileLookup", "true").csv(path).withColumn("_file", F.input_file_name())
     start, end, label = (_resolve(df.columns, SYNONYMS[n]) for n in ("start", "end", "label"))
     if not start or not end:
         raise ValueError(f"no start and end among {df.columns}")
-    raw = F.upper(F.trim(F.col(f"`{label}`"))) if label else F.lit(positive)
+    raw = F.coalesce(F.col(f"`{label}`").cast("string"), F.lit("event")) if label else F.lit("event")
     out = df.select(F.regexp_extract("_file", r"([^/]+)\.[^./]+$", 1).alias("file_id"), F.col(f"`{start}`").try_cast("double").alias("start_sec"), F.col(f"`{end}`").try_cast("double").alias("end_sec"), raw.alias("raw_label"))
-    kept = out.where(~F.coalesce(F.col("raw_label"), F.lit("UNK")).isin("NEG", "UNK") & (F.col("end_sec") > F.col("start_sec")))
-    return kept.select("file_id", "start_sec", "end_sec", F.when(F.col("raw_label") == positive, "event").otherwise(F.lower("raw_label")).alias("label"), "raw_label")
+    name = F.trim("raw_label")
+    kept = out.where(~F.upper(name).isin("NEG", "UNK") & (F.col("end_sec") > F.col("start_sec")))
+    label_of = F.when(F.upper(name) == positive, positive).otherwise(F.coalesce(F.nullif(name, F.lit("")), F.lit("event")))
+    return kept.select("file_id", "start_sec", "end_sec", label_of.alias("label"), "raw_label")
+
+
+def read_if_present(spark: SparkSession, path: str, schema: str, kind: str = "csv") -> DataFrame:
+    """A stored result of the given schema, or an empty table where there is none."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema)
+    return reader.option("header", "true").csv(path) if kind == "csv" else reader.json(path)
 
 
 def pair(files: DataFrame, notes: DataFrame) -> DataFrame:

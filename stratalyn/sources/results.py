@@ -11,17 +11,20 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalyn.functions import kernels as k
 
+#: So many events (a few hundred bytes each) may be broadcast to the samples.
+SMALL_EVENTS = 100_000
 BUCKETS = ("original", "mixed", "low_confidence_noise", "low_detection_confidence", "ambiguous_review", "short_review", "component_review")
 
 
 def flat(df: DataFrame) -> DataFrame:
     """Arrays joined by commas and payloads left out, for CSV."""
-    keep = [f for f in df.schema.fields if f.dataType.typeName() not in ("binary", "map")]
+    keep = [f for f in df.schema.fields if f.dataType.typeName() not in ("binary", "map", "struct")]
     return df.select(*[F.array_join(F.col(f.name).cast("array<string>"), ",").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in keep])
 
 
@@ -31,6 +34,50 @@ def write_events(events: DataFrame, folder: str) -> None:
     flat(events).write.mode("overwrite").option("header", "true").csv(f"{folder}/events_csv")
 
 
+def representatives(events: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The representative events of every cluster, with the sub-folder of the cluster that they are copied to."""
+    named = clusters.select("recording_id", "cluster_id", F.explode("representative_event_ids").alias("event_id"))
+    sizes = clusters.select("recording_id", "cluster_id", F.format_string("cluster_%03d_size_%03d/_representatives", F.col("cluster_id"), F.col("size")).alias("folder"))
+    return events.join(named, ["recording_id", "cluster_id", "event_id"], "left_semi").join(sizes, ["recording_id", "cluster_id"])
+
+
+def write_clips(recordings: DataFrame, events: DataFrame, folder: str) -> DataFrame:
+    """A WAV clip, a picture and a JSON text for every event, written where the samples are; events with their paths.
+
+    Numbers of events travel to the samples, never the reverse: events are gathered a recording, and each task writes
+    the files of its recordings under names that depend on the event alone, so a repeated task writes the same again.
+    """
+    import pyarrow.fs as pafs
+
+    from stratalyn.sources.recordings import write_wav
+    from stratalyn.sources.service import file_stem
+
+    base = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+    parts = events.withColumn("component_id", F.regexp_extract("event_id", r"_c([0-9]+)$", 1).try_cast("int")).withColumn("stem", file_stem()).drop("component_id")
+    facts = parts.select("recording_id", F.struct("event_id", "stem", "start_sec", "end_sec", F.to_json(F.struct("recording_id", "event_id", "start_sec", "end_sec", "route", "route_reason", "cluster_id", "config_hash")).alias("text")).alias("e"))
+    todo = facts.groupBy("recording_id").agg(F.collect_list("e").alias("events"))
+    given = recordings.where("samples is not null").select("recording_id", "sample_rate", "samples").join(F.broadcast(todo) if events.count() <= SMALL_EVENTS else todo, "recording_id")
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for row in frame.itertuples():
+                x, rate = np.frombuffer(row.samples, np.float32), int(row.sample_rate)
+                for e in row.events:
+                    clip = x[int(e["start_sec"] * rate) : int(e["end_sec"] * rate)]
+                    at = f"clips/{safe_name(row.recording_id)[:-4]}/{e['stem']}"
+                    for end, body in ((".wav", write_wav(clip, rate)), (".png", png(clip if len(clip) else np.zeros(1024), rate)), (".json", e["text"].encode())):
+                        fs, path = pafs.FileSystem.from_uri(f"{base}/{at}{end}")
+                        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                        with fs.open_output_stream(path, compression=None) as f:
+                            f.write(body)
+                    rows.append((row.recording_id, e["event_id"], f"{at}.wav", f"{at}.png"))
+            yield pd.DataFrame(rows, columns=["recording_id", "event_id", "clip_path", "spectrogram_path"])
+
+    paths = given.mapInPandas(run, "recording_id string, event_id string, clip_path string, spectrogram_path string").checkpoint()
+    return events.join(paths, ["recording_id", "event_id"], "left")
+
+
 def manifests(events: DataFrame) -> DataFrame:
     """Every event with the folder it belongs to; clusters carry their size."""
     size = F.count("*").over(Window.partitionBy("recording_id", "route", "cluster_id"))

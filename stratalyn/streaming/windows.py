@@ -29,8 +29,22 @@ def sliding(df: DataFrame, ts: str, width: str, hop: str, keys: list[str], water
     return out.select(F.col("w.start").alias("begins"), F.col("w.end").alias("ends"), *keys, "n", "total")
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a streaming frame over what its source has, into a table in memory; restartable from ``checkpoint``."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def run_available(df: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a streaming frame over what its source has, into a table of files; restartable from ``checkpoint``.
+
+    Appended rows go to the table as they are final; in the other modes each batch is written to a folder of its own,
+    named by its number, so a repeated batch replaces itself, and the last batch is the result.
+    """
+    spark = df.sparkSession
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", folder).start().awaitTermination()
+        return spark.read.schema(df.schema).parquet(folder)
+    seen: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{number:010d}")
+        seen.append(number)
+
+    writer.foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/{max(seen):010d}") if seen else spark.createDataFrame([], df.schema)

@@ -6,12 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratalyn.config import DiscoveryConfig, WindowConfig, fingerprint, variants
+from stratalyn.config import DiscoveryConfig, WindowConfig, adapted, described, fingerprint, from_form, variants
 from stratalyn.functions import kernels as k
 from stratalyn.functions import plugins
 from stratalyn.plans import discovery, window_graph
 from stratalyn.sources import recordings as src
 from stratalyn.sources import results as res
+from stratalyn.sources import service
 
 RATE = 16000
 
@@ -176,9 +177,9 @@ def test_window_events_are_refined_named_and_captioned(spark, monkeypatch):
 
 def test_annotations_and_labels(spark, tmp_path):
     (tmp_path / "n").mkdir()
-    (tmp_path / "n/a.csv").write_text("Starttime,Endtime,Q\n0.5,1.0,POS\n2,3,NEG\n4,3,POS\nx,5,POS\n6,7,UNK\n")
+    (tmp_path / "n/a.csv").write_text("Starttime,Endtime,Q\n0.5,1.0,POS\n2,3,NEG\n4,3,POS\nx,5,POS\n6,7,UNK\n8,9,\n9,9.5, Great Tit \n")
     got = src.annotations(spark, str(tmp_path / "n")).collect()
-    assert [(r.file_id, r.start_sec, r.label) for r in got] == [("a", 0.5, "event")]
+    assert [(r.file_id, r.start_sec, r.label) for r in got] == [("a", 0.5, "POS"), ("a", 8.0, "event"), ("a", 9.0, "Great Tit")]
     (tmp_path / "l.json").write_text(json.dumps({"e0": "bird", "e1": "frog"}))
     assert {r.event_id: r.label for r in src.labels(spark, str(tmp_path / "l.json")).collect()} == {"e0": "bird", "e1": "frog"}
     files = spark.createDataFrame([("x/a.wav", "a"), ("x/rec_b.wav", "rec_b"), ("x/c.wav", "c")], "path string, stem string")
@@ -198,4 +199,115 @@ def test_service_helpers(spark, tmp_path):
     jobs.put("j", "done", n=3)
     assert [(r.status, json.loads(r.result)) for r in jobs.latest().collect()] == [("done", {"n": 3})]
     assert src.with_split(spark.createDataFrame([("x/Validation_Set/ME/a.wav",)], "path string")).select("split", "subset").first()[:] == ("validation", "ME")
+    named = src.with_split(spark.createDataFrame([("x/Training_Set/b/HB_1.wav",), ("x/y/abc_1.wav",), ("x/y/1.wav",)], "path string")).select("split", "subset").collect()
+    assert [r[:] for r in named] == [("train", "HB"), ("all", "ABC"), ("all", None)]
     assert jobs.latest().select(F.max("updated_ns")).first()[0] > 0
+
+
+def test_density_hierarchy_finds_groups_and_noise():
+    r = np.random.default_rng(7)
+    centres = np.array([[0, 0], [6, 0], [0, 7]])
+    x = np.concatenate([r.normal(c, 0.25, (25, 2)) for c in centres] + [r.uniform(-30, -20, (4, 2)) * [1, 3]])
+    labels, p = k.density_clusters(x, 8, 4)
+    for i in range(3):
+        assert len(set(labels[25 * i : 25 * i + 25].tolist()) - {-1}) == 1 and (labels[25 * i : 25 * i + 25] >= 0).mean() > 0.8
+    assert len(set(labels.tolist()) - {-1}) == 3 and (labels[75:] == -1).all() and ((p >= 0) & (p <= 1)).all()
+    assert k.density_clusters(x[:4], 8, 4)[0].tolist() == [0] * 4
+
+
+def test_fallback_groups():
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal(0, 0.3, (12, 2)), r.normal(40, 0.3, (12, 2)), [[100.0, -100.0]]])
+    assert k.near_clusters(x, 2.0, 3).tolist() == [0] * 12 + [1] * 12 + [-1]
+    spread = np.array([[100.0 * i, 0.0] for i in range(20)])
+    labels, p = k.fallback_clusters(spread, 5, 2)
+    assert len(set(labels.tolist())) == 4 and (p == 1).all() and (np.diff(labels) != 0).sum() == 3
+    assert sorted(np.bincount(k.ward_clusters(x[:24], 2)).tolist()) == [12, 12]
+
+
+def test_masks_are_cleaned_and_smoothed():
+    mask = np.zeros((20, 20), bool)
+    mask[5:12, 5:12], mask[2, 2], mask[8, 8] = True, True, False
+    clean = k.cleaned_mask(mask)
+    assert not clean[2, 2] and clean.sum() > 0
+    soft = k.smoothed(mask)
+    assert abs(soft.max() - 1) < 1e-12 and soft.min() >= 0 and 0 < soft[4, 8] < soft[6, 6]
+
+
+def test_profiles_regimes_and_adapted_settings(spark, folder):
+    empty = k.profile(np.zeros(0), RATE)
+    assert empty["p10"] == -120.0 and empty["stationarity"] == 1.0
+    hum = scene(6, [(0.5, tone(3000, 5.0))], noise=0.001)
+    p = k.profile(hum, RATE, 1024, 256)
+    assert p["dynamic_range"] >= 0 and 0 <= p["active"] <= 1 and abs(p["dominant_hz"] - 3000) < 800
+    assert set(p) == set(empty)
+    base = DiscoveryConfig(rate=RATE)
+    quiet = {"dynamic_range": 10.0, "median_tonality": 0.05, "regime": "transient_dense", "hint": None}
+    c = adapted(base, quiet)
+    assert (c.threshold_db, c.max_event, c.min_event, c.noise_mode, c.min_quality, c.tonality_floor, c.review_short) == (4.0, 2.0, 0.08, "exploratory", 0.25, 0.05, False)
+    assert adapted(base, quiet | {"hint": "insect_sustained"}).max_event == 60.0
+    assert "threshold_db: 8.0 -> 4.0" in described(base, quiet) and "nothing changes" in described(base, {"dynamic_range": 30.0, "median_tonality": 0.5, "regime": "default_sparse"})
+    rows = discovery.profiles(src.load(spark, str(folder), RATE), base).collect()
+    assert {r.recording_id for r in rows} == {"a", "b"} and all(r.regime in ("sustained_narrowband", "transient_dense", "low_dynamic_range", "dense_variable", "default_sparse") for r in rows)
+    events, _ = discovery.run(src.load(spark, str(folder), RATE), DiscoveryConfig(rate=RATE, frame=1024, hop=256, min_cluster=2, adaptive=True))
+    assert events.count() > 0 and "settings" not in events.columns
+
+
+def test_sweep_settings_and_forms():
+    v = variants(DiscoveryConfig())
+    assert list(v) == ["baseline_current", "tight_temporal_precision", "energy_only_precision", "precision_balanced", "rare_event_guard", "clean_clusters"]
+    assert (v["tight_temporal_precision"].merge_gap, v["tight_temporal_precision"].threshold_db, v["energy_only_precision"].flux, v["rare_event_guard"].threshold_db) == (0.15, 8.0, False, 7.0)
+    c = from_form({"threshold_db": " 6.5 ", "adaptive": "yes", "min_cluster": "", "unknown": "x"})
+    assert (c.threshold_db, c.adaptive, c.min_cluster) == (6.5, True, 10)
+    with pytest.raises(ValueError, match="min_cluster"):
+        from_form({"min_cluster": "many"})
+
+
+def test_command_line_evaluates_tunes_and_calibrates(spark, folder, tmp_path):
+    from stratalyn.__main__ import main
+
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    (notes / "a.csv").write_text("Starttime,Endtime,Q\n" + "".join(f"{t},{t + 0.4},POS\n" for t in (1, 2.5, 4, 5.5, 7, 8.5, 10)))
+    own = [f"--{n}={v}" for n, v in (("rate", RATE), ("frame", 1024), ("hop", 256), ("min-cluster", 2))]
+    assert main(["evaluate", str(folder), str(tmp_path / "eval"), "--annotations", str(notes), *own]) == 0
+    summary = json.loads("\n".join(r.value for r in spark.read.text(str(tmp_path / "eval/summary.json")).collect()))
+    assert set(summary["views"]) == {"raw", "parent_aware", "clusterable"} and summary["views"]["raw"]["n_gt"] == 7 and 0 < summary["final_score_100"] <= 100
+    assert summary["views"]["raw"]["recall"] > 0.5 and summary["views"]["raw"]["mean_iou"] > 0.2
+    matched = spark.read.parquet(str(tmp_path / "eval/matched_predictions"))
+    assert matched.where("hit").count() >= 4 and {"match_iou", "match_overlap_ratio", "matched_gt_label"} <= set(matched.columns)
+    assert "| clusterable |" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "eval/report.md")).collect())
+    assert main(["calibrate", str(tmp_path / "eval"), str(tmp_path / "cal")]) == 0
+    assert {"min_duration", "min_clusterable_detection_score"} <= {r.name for r in spark.read.json(str(tmp_path / "cal/recommended_thresholds")).collect()}
+    assert main(["tune", str(folder), str(tmp_path / "tune"), "--annotations", str(notes), "--most", "2", *own]) == 0
+    best = json.loads(spark.read.text(str(tmp_path / "tune/best")).first().value)
+    assert best["best_trial"].startswith("trial_00") and best["best_config"]["rate"] == RATE
+    assert spark.read.parquet(str(tmp_path / "tune/trials")).count() == 2
+
+
+def test_command_line_writes_tables_clips_and_documents(spark, folder, tmp_path):
+    from stratalyn.__main__ import main
+
+    out = tmp_path / "out"
+    assert main(["discover", str(folder), str(out), "--clips", *[f"--{n}={v}" for n, v in (("rate", RATE), ("frame", 1024), ("hop", 256), ("min-cluster", 2))]]) == 0
+    table = spark.read.option("header", "true").csv(str(out / "events_table"))
+    assert table.columns == ["recording_id", *service.EVENT_COLUMNS] and len(service.EVENT_COLUMNS) == 64 and table.count() > 3
+    clips = [r.clip_path for r in table.collect()]
+    assert all((out / c).exists() and (out / c).with_suffix(".png").exists() and json.loads((out / c).with_suffix(".json").read_text())["event_id"] for c in clips)
+    assert spark.read.option("header", "true").csv(str(out / "clusters_table")).columns == ["recording_id", *service.CLUSTER_COLUMNS]
+    assert spark.read.parquet(str(out / "representatives")).where("folder like '%/_representatives'").count() >= 1
+    doc = json.loads(spark.read.json(str(out / "job")).where("recording_id = 'a'").first().document)
+    assert doc["clusters"] and all(c["events"] and c["representatives"] for c in doc["clusters"])
+    schema = "recording_id string, event_id string"
+    assert src.read_if_present(spark, str(out / "nothing"), schema).count() == 0 and src.read_if_present(spark, str(out / "events_table"), schema).count() == table.count()
+    notes = src.annotation_index(spark, str(out))
+    assert notes.columns == ["note_path", "note_stem"]
+
+
+def test_functions_for_sql(spark):
+    from stratalyn.functions import registry
+
+    assert "interval_iou" in registry.register(spark)
+    row = spark.sql("select interval_iou(0, 2, 1, 3) a, interval_cover(0, 2, 1, 3) b, smooth_ramp(0, 1, 0.5) c, name_slug(' Great  Tit ', 'x') d, name_slug('--', 'x') e").first()
+    assert abs(row.a - 1 / 3) < 1e-12 and (row.b, row.c, row.d, row.e) == (0.5, 0.5, "Great_Tit", "x")
+    assert [r[:] for r in spark.sql("select * from interval_chunks(0D, 10D, 4D, 1D)").collect()] == [(0, 0.0, 4.0), (1, 2.0, 6.0), (2, 4.0, 8.0), (3, 6.0, 10.0)]

@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from stratalyn.plans import catalogue
@@ -22,7 +23,7 @@ def duck():
 
 def rows(df):
     def shown(v):
-        if v is None or v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return "null"
         return f"{v:.9g}" if isinstance(v, float) and not math.isnan(v) else str(v)
 

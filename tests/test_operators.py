@@ -169,7 +169,7 @@ def test_stream_and_batch_windows_agree(spark, tmp_path):
     df = spark.createDataFrame(rows, "user_id int, t string, value double").select("user_id", F.to_timestamp("t").alias("ts"), "value")
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    out = sw.run_available(sw.tumbling(stream, "ts", "10 minutes", ["user_id"], "1 minute"), "tumbled", str(tmp_path / "cp"), "complete")
+    out = sw.run_available(sw.tumbling(stream, "ts", "10 minutes", ["user_id"], "1 minute"), str(tmp_path / "tumbled"), str(tmp_path / "cp"), "complete")
     key = lambda d: sorted(map(tuple, d.collect()))
     assert key(out) == key(sw.tumbling(df, "ts", "10 minutes", ["user_id"]))
     assert sw.sessions(df, "user_id", "ts", "10 minutes").count() == 4
@@ -196,3 +196,75 @@ def test_captions_compare_all_prompts_in_blocks(spark):
         mean = x[label::7][:4].mean(axis=0)
         like = np.round(x @ (mean / (np.linalg.norm(mean) + 1e-9)) / np.linalg.norm(x, axis=1), 7)
         assert best[label] == max((v, f"p{i}") for i, v in enumerate(like))[1]
+
+
+def slow_kept(rows, threshold):
+    kept = []
+    for s, e, p, i in rows:
+        if not any((min(e, f) - max(s, a)) / (max(e, f) - min(s, a)) >= threshold and (p is None or p != q) for a, f, q, _ in kept if min(e, f) > max(s, a)):
+            kept.append((s, e, p, i))
+    return {i for *_, i in kept}
+
+
+def test_suppression_of_large_islands_is_that_of_small_ones(spark, monkeypatch):
+    import random
+    import time
+
+    from stratalyn.operators import intervals
+
+    r = random.Random(6)
+    rows = [("r", i, float(i % 700) + r.random(), r.random(), str(r.randrange(40)) if i % 3 else None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "rec string, id long, s double, score double, p string").withColumn("e", F.col("s") + 2 + F.col("id") % 5)
+    ordered = sorted(((s, s + 2 + i % 5, p, i, sc) for _, i, s, sc, p in rows), key=lambda x: (-x[4], x[3]))
+    want = slow_kept([x[:4] for x in ordered], 0.4)
+    for small in (10**9, 64, 2):
+        monkeypatch.setattr(intervals, "SMALL", small)
+        got = {x.id for x in intervals.suppress(df, ["rec"], "s", "e", "id", [-F.col("score")], 0.4, "p").collect()}
+        assert got == want
+    monkeypatch.setattr(intervals, "SMALL", 64)
+    chain = spark.range(20_000).select(F.lit("r").alias("rec"), "id", (F.col("id") * 0.5).alias("s"), (F.col("id") * 0.5 + 1).alias("e"), F.rand(3).alias("score"))
+    began = time.time()
+    assert 6_000 < intervals.suppress(chain, ["rec"], "s", "e", "id", [-F.col("score")], 0.3).count() < 20_000
+    assert time.time() - began < 60
+    assert intervals.suppress(df.limit(0), ["rec"], "s", "e", "id", [-F.col("score")], 0.4).count() == 0
+
+
+def test_runs_and_matches_of_large_groups(spark, monkeypatch):
+    from stratalyn.operators import evaluation, intervals
+
+    df = spark.range(500).select(F.lit("r").alias("rec"), "id", (F.col("id") * 1.0).alias("s"), (F.col("id") % 50 < 45).cast("int").alias("label"))
+    pairs = spark.range(400).select(F.lit("r").alias("rec"), (F.col("id") % 20).alias("gt_id"), (F.col("id") % 23).alias("pred_id"), F.rand(5).alias("score"), F.rand(6).alias("iou"), (F.col("id") % 20 * 1.0).alias("gs"), (F.col("id") % 20 + 30.0).alias("ge"), (F.col("id") % 23 * 1.0).alias("ps"), (F.col("id") % 23 + 31.0).alias("pe")).dropDuplicates(["gt_id", "pred_id"]).checkpoint()
+    found = []
+    for small in (10**9, 3):
+        monkeypatch.setattr(intervals, "SMALL", small)
+        monkeypatch.setattr(evaluation, "SMALL", small)
+        found.append((sorted(map(str, intervals.runs(df, ["rec"], "s", "label", "id", 2.0, 1.0, 12.0, 1.0).collect())), sorted(map(str, evaluation.assign(pairs, "rec").collect()))))
+    assert found[0] == found[1] and len(found[0][1]) == 20
+
+
+def test_originals_and_parents_of_one_id_stay_apart(spark):
+    rows = [("f", "p1", None, 0.0, 1.0, 0.5, "original", "x"), ("f", "c1", "p1", 2.0, 3.0, 0.2, "component", "y"), ("f", "c2", "p1", 2.5, 4.0, 0.9, "component", "z"), ("f", "c3", "", 5.0, 6.0, 0.1, "original", "w")]
+    df = spark.createDataFrame(rows, "file_id string, event_id string, parent_event_id string, start_sec double, end_sec double, detection_score double, source_type string, note string")
+    got = sorted((r.prediction_id, r.start_sec, r.end_sec, r.detection_score, r.source_type, r.note, r.n_members) for r in ev.collapse_parents(df).collect())
+    assert got == [("c3", 5.0, 6.0, 0.1, "original", "w", 1), ("p1", 0.0, 1.0, 0.5, "original", "x", 1), ("p1", 2.0, 4.0, 0.9, "parent_aggregated", "y", 2)]
+
+
+def test_polyphony_needs_its_columns(spark):
+    df = spark.createDataFrame([("f", "original")], "file_id string, source_type string")
+    assert ev.polyphony(df).first().enabled is False and ev.polyphony(df).first().n_original == 0
+
+
+def test_neighbours_in_blocks_are_exact(spark):
+    import numpy as np
+
+    from stratalyn.operators import vectors
+
+    x = np.random.default_rng(1).normal(size=(90, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 9)
+    np.fill_diagonal(sim, -9)
+    want = {(i, int(j)) for i in range(90) for j in sorted(range(90), key=lambda j: (-sim[i, j], j))[:4]}
+    for bound in (1 << 30, 8 * 8 * 13):
+        assert {(r.src, r.dst) for r in vectors.nearest(df, df, "id", "v", 4, bound).collect()} == want
+    assert vectors.ensemble_variants(9, 15, 0.1, 10, 5)[0] == {"neighbours": 10, "distance": 0.0, "least": 5, "samples": 1}

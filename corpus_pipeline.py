@@ -7,12 +7,10 @@ after it. The last stage returns the digest columns of the encoder.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalyn.llm import bpe, mixing, pii, quality_knn, simhash
-from stratalyn.llm.common import read_table, shared_dir
+from stratalyn.llm.common import delete, new_folder, read_table
 from stratalyn.llm.queries import VOCABULARY
 
 
@@ -48,9 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between two stages a Parquet table in the shared folder cuts the lineage."""
-    docs, folder = read_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; between two stages a Parquet table in the shared folder cuts the lineage.
+
+    A stage's table is deleted once the next one is written; the last one stays, as the result reads it.
+    """
+    docs, folder = read_table(spark, sf_dir, "documents"), new_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            delete(spark, f"{folder}/{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

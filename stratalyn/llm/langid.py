@@ -2,15 +2,17 @@
 
 For every language a variable-order tree of byte contexts (up to ``ORDER`` bytes) is learned from a bounded sample and
 frozen. The code length of a byte is that of escape method C: coded in the longest known context that has seen it,
-after an escape from each longer one, down to a uniform order. All code lengths of a language are expanded into one row
-per context node, so that scoring a text is two table look-ups per byte, exact, in numpy. The language with the
-shortest code for the whole text wins.
+after an escape from each longer one, down to a uniform order. The trees of all languages share one table of the pairs
+of context and byte that occur in any sample, with the pair's code length in each language, and one of the escapes;
+scoring a text looks its bytes up in numpy, longest context first, exactly. The language with the shortest code for the
+whole text wins.
 
 The alphabet is all 256 bytes and the start of a text. Bytes that no sample holds are in no context and cost the same
-everywhere, so they share one row of the tables; that changes no code length. Contexts seen fewer than ``LEAST`` times are not grown, which bounds the tables (a few tens of MB).
+everywhere, so they share one symbol; that changes no code length. No context and no pair is left out, and the tables
+follow the bounded sample in size.
 
 The sample is bounded: ``PER_LANG`` documents of each of the ``LANGUAGES`` languages with most documents, the smallest
-hashes of doc_id outside the held-out fifth, of at most ``MOST_BYTES`` each (so 10 MB a language at most), and of a doc_id
+hashes of doc_id outside the held-out fifth, of at most ``MOST_BYTES`` each (so 2.5 MB a language at most), and of a doc_id
 that is repeated one text. Texts are scored whole, streaming through mapInArrow; only ids are shuffled.
 
 Defined results: null texts and texts without a letter (Unicode category L) are ``und`` with score 0; very long texts are
@@ -36,9 +38,8 @@ from stratalyn.llm.common import held_out
 ORDER = 3
 PER_LANG = 150
 SYMBOLS = 257
-LEAST = 12
 PIECE = 1 << 18
-MOST_BYTES = 1 << 16
+MOST_BYTES = 1 << 14
 LANGUAGES = 64
 _LETTER = regex.compile(r"\p{L}")
 
@@ -48,20 +49,46 @@ class Model:
     languages: list[str]
     symbol: np.ndarray  # byte to symbol
     node: np.ndarray  # the last ORDER symbols, packed, to the longest known context
-    bits: np.ndarray  # context x symbol x language: code length
-    width: int  # rows of a context
+    shorter: np.ndarray  # context to the context without its first symbol
+    escape: np.ndarray  # context x language: bits of an escape to the shorter context
+    keys: np.ndarray  # known pairs of context and symbol, sorted by place in ``buckets``
+    buckets: np.ndarray  # first place of each hash bucket of ``keys``
+    bits: np.ndarray  # known pair x language: code length
+    width: int  # number of symbols
+
+    def _row(self, at: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """The known pair of each context and symbol, -1 where it is not known."""
+        key = at * self.width + s
+        bucket = _bucket(key, len(self.buckets) - 1)
+        place, end = self.buckets[bucket], self.buckets[bucket + 1]
+        out, left = np.full(len(key), -1), np.flatnonzero(place < end)
+        while len(left):
+            hit = self.keys[place[left]] == key[left]
+            out[left[hit]] = place[left[hit]]
+            left = left[~hit]
+            place[left] += 1
+            left = left[place[left] < end[left]]
+        return out
 
     def code_lengths(self, raw: bytes) -> np.ndarray:
         """Bits of the whole text in each language."""
         total, n = np.zeros(len(self.languages)), self.width
         tail = np.zeros(ORDER, np.int64)  # the start symbol is 0
-        for at in range(0, len(raw), PIECE):
-            s = np.concatenate((tail, self.symbol[np.frombuffer(raw, np.uint8, min(PIECE, len(raw) - at), at)]))
+        for begin in range(0, len(raw), PIECE):
+            s = np.concatenate((tail, self.symbol[np.frombuffer(raw, np.uint8, min(PIECE, len(raw) - begin), begin)]))
             packed = s[:-ORDER].copy()
             for i in range(1, ORDER):
                 packed = packed * n + s[i : i - ORDER]
-            total += self.bits[self.node[packed].astype(np.int64) * n + s[ORDER:]].sum(axis=0, dtype=np.float64)
-            tail = s[-ORDER:]
+            at, s = self.node[packed].astype(np.int64), s[ORDER:]
+            tail = np.concatenate((tail, s))[-ORDER:]
+            while len(at):
+                row = self._row(at, s)
+                miss = row < 0
+                total += self.bits[row[~miss]].sum(axis=0, dtype=np.float64)
+                at, s = at[miss], s[miss]
+                total += self.escape[at].sum(axis=0, dtype=np.float64)
+                total += np.log2(SYMBOLS) * int((at == 0).sum())
+                at, s = self.shorter[at[at > 0]], s[at > 0]
         return total
 
     def predict(self, raw: bytes | None) -> tuple[str, float]:
@@ -73,8 +100,12 @@ class Model:
         return self.languages[best], float(1 / np.exp2(-(bits - bits[best]) * min(1.0, 16 / len(raw))).sum())
 
 
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64)
+
+
 def train(samples: dict[str, list[bytes]]) -> Model:
-    """Frozen statistics of each language's sample."""
+    """Frozen statistics of each language's sample; tables hold what occurs, so their size follows the sample."""
     names = sorted(samples)
     seen = np.bincount(np.frombuffer(b"".join(b"".join(v) for v in samples.values()), np.uint8), minlength=256)
     own = np.flatnonzero(seen)
@@ -88,41 +119,36 @@ def train(samples: dict[str, list[bytes]]) -> Model:
         packed = [sum(s[ORDER - order + i : len(s) - order + i] * n ** (order - i) for i in range(order + 1)) for s in streams[lang]]
         return np.unique(np.concatenate(packed or [np.zeros(0, np.int64)]), return_counts=True)
 
-    tables = {k: [grams(k, o) for o in range(ORDER + 1)] for k in names}
-    # contexts of each order that any language has seen often enough; order 0 has the empty one
-    known = [np.zeros(1, np.int64)]
-    for order in range(1, ORDER + 1):
-        total: dict[int, int] = {}
-        for k in names:
-            keys, counts = tables[k][order]
-            c, at = np.unique(keys // n, return_inverse=True)
-            for x, y in zip(c.tolist(), np.bincount(at, counts).tolist()):
-                total[x] = max(total.get(x, 0), y)
-        known.append(np.array(sorted(x for x, y in total.items() if y >= LEAST), np.int64))
-    first = np.cumsum([0, *map(len, known)])
-    bits = np.empty((first[-1], n, len(names)), np.float32)
-    for j, k in enumerate(names):
-        lower = np.full((1, n), np.log2(SYMBOLS))  # uniform
-        for order in range(ORDER + 1):
-            contexts = known[order]
-            suffix = contexts % n ** max(order - 1, 0)
-            below = lower[np.searchsorted(known[order - 1], suffix)] if order else np.repeat(lower, 1, axis=0)
-            keys, counts = tables[k][order]
-            at = np.searchsorted(contexts, keys // n)
-            ok = (at < len(contexts)) & (contexts[np.minimum(at, len(contexts) - 1)] == keys // n) if len(contexts) else np.zeros(len(keys), bool)
-            c = np.zeros((len(contexts), n))
-            c[at[ok], keys[ok] % n] = counts[ok]
-            total, kinds = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
+    node, first = np.zeros(n**ORDER, np.int32), 0
+    keys, bits, escape, shorter, below, known = [], [], [], [], None, None
+    for order in range(ORDER + 1):
+        counted = {k: grams(k, order) for k in names}
+        pairs = np.unique(np.concatenate([v[0] for v in counted.values()] or [np.zeros(0, np.int64)]))
+        contexts, at = np.unique(pairs // n, return_inverse=True) if order else (np.zeros(1, np.int64), np.zeros(len(pairs), np.int64))
+        suffix = contexts % n ** max(order - 1, 0)
+        lower = np.full((len(pairs), len(names)), np.log2(SYMBOLS))
+        if order:  # a pair's suffix occurs wherever the pair does
+            lower = below[1][np.searchsorted(below[0], suffix[at] * n + pairs % n)]
+            # every context of full length points to its longest known suffix: longer ones are written over shorter ones
+            node.reshape(-1, n**order)[:, contexts] = first + np.arange(len(contexts))
+        length, away = np.empty((len(pairs), len(names))), np.empty((len(contexts), len(names)))
+        for j, k in enumerate(names):
+            c = np.zeros(len(pairs))
+            c[np.searchsorted(pairs, counted[k][0])] = counted[k][1]
+            total, kinds = np.bincount(at, c, len(contexts)), np.bincount(at, c > 0, len(contexts))
             with np.errstate(divide="ignore", invalid="ignore"):
-                hit = -np.log2(c / (total + kinds))
-                miss = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0) + below
-            lower = np.where(c > 0, hit, miss)
-            bits[first[order] : first[order + 1], :, j] = lower
-    # every context of full length points to its longest known suffix: longer ones are written over shorter ones
-    node = np.zeros(n**ORDER, np.int32)
-    for order in range(1, ORDER + 1):
-        node.reshape(-1, n**order)[:, known[order]] = first[order] + np.arange(len(known[order]))
-    return Model(names, symbol, node, bits.reshape(-1, len(names)), n)
+                away[:, j] = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+                length[:, j] = np.where(c > 0, -np.log2(c / (total + kinds)[at]), away[at, j] + lower[:, j])
+        shorter.append(known[1] + np.searchsorted(known[0], suffix) if order else np.zeros(1, np.int64))
+        keys.append((first + at) * n + pairs % n)
+        bits.append(length)
+        escape.append(away)
+        below, known, first = (pairs, length), (contexts, first), first + len(contexts)
+    key, length = np.concatenate(keys), np.concatenate(bits)
+    size = 1 << max(4, len(key).bit_length())
+    order = np.argsort(_bucket(key, size), kind="stable")
+    buckets = np.searchsorted(_bucket(key, size)[order], np.arange(size + 1))
+    return Model(names, symbol, node, np.concatenate(shorter), np.concatenate(escape), key[order], buckets, length[order].astype(np.float32), n)
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
@@ -143,7 +169,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     samples: dict[str, list[bytes]] = {}
     for r in texts.orderBy("lang", "doc_id").collect():
         samples.setdefault(r.lang, []).append(bytes(r.raw))
-    return train(samples) if samples else Model([], np.zeros(256, np.int64), np.zeros(1, np.int32), np.zeros((0, 0), np.float32), 1)
+    return train(samples) if samples else train({})
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

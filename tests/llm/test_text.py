@@ -182,7 +182,7 @@ def slow_ppm(model_samples, raw, lang):
             for i in range(langid.ORDER, len(s)):
                 for o in range(langid.ORDER + 1):
                     seen.setdefault((k, tuple(s[i - o : i])), Counter())[s[i]] += 1
-    known = {c for (k, c), v in seen.items() if sum(v.values()) >= langid.LEAST or not c}
+    known = {c for (k, c), v in seen.items()} | {()}
 
     def bits(context, symbol):
         while context not in known:
@@ -206,7 +206,6 @@ def slow_ppm(model_samples, raw, lang):
 
 
 def test_code_lengths_are_those_of_the_context_trees(monkeypatch):
-    monkeypatch.setattr(langid, "LEAST", 3)
     samples = {"a": [b"the cat sat on the mat and the hat" * 3], "b": [b"der hut und die katze auf der matte" * 3]}
     m = langid.train(samples)
     raw = "the hut xyz é and".encode()
@@ -218,7 +217,6 @@ def test_code_lengths_are_those_of_the_context_trees(monkeypatch):
 
 
 def test_every_byte_of_the_samples_has_its_own_symbol(monkeypatch):
-    monkeypatch.setattr(langid, "LEAST", 3)
     common = bytes(range(32, 127)) * 40  # more kinds than any cut of the alphabet to its most frequent bytes
     samples = {"a": [common + "яюэ".encode() * 9], "b": [common + "ґєї".encode() * 9], "c": [common + "日本語".encode() * 9]}
     m = langid.train(samples)
@@ -342,7 +340,7 @@ def test_learning_takes_one_row_of_a_doc_id(spark):
     assert len(got.labels) == len(want.labels) <= 80 and np.array_equal(got.labels, want.labels) and np.allclose(got.vectors, want.vectors)
     assert quality_rules.fit(many, labels) == quality_rules.fit(docs, labels)
     few, lots = (langid.fit(d.select("doc_id", "text", "lang"), 30) for d in (docs, many))
-    assert few.languages == lots.languages and np.array_equal(few.bits, lots.bits) and np.array_equal(few.node, lots.node)
+    assert few.languages == lots.languages and np.array_equal(few.bits, lots.bits) and np.array_equal(few.keys, lots.keys)
 
 
 def test_texts_without_letters_have_no_language(spark):

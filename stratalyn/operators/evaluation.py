@@ -132,8 +132,11 @@ def polyphony(events: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 def contingency(df: DataFrame, keys: list[str], label: str, cluster: str) -> DataFrame:
     n = df.groupBy(*keys, label, cluster).agg(F.count("*").alias("n"))
-    every, rows, cols = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)), Window.partitionBy(*keys, label), Window.partitionBy(*keys, cluster)
-    return n.withColumn("a", F.sum("n").over(rows)).withColumn("b", F.sum("n").over(cols)).withColumn("total", F.sum("n").over(every))
+    rows, cols = Window.partitionBy(*keys, label), Window.partitionBy(*keys, cluster)
+    both = n.withColumn("a", F.sum("n").over(rows)).withColumn("b", F.sum("n").over(cols))
+    if keys:
+        return both.withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    return both.crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))  # one row
 
 
 def purity(df: DataFrame, keys: list[str], label: str, cluster: str) -> DataFrame:

@@ -46,12 +46,24 @@ def _graph(x: np.ndarray, c: WindowConfig, seed: int) -> np.ndarray:
     if n < 2:
         return np.full(n, 0 if c.min_cluster <= n else -1)
     unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
-    like = unit @ unit.T
-    np.fill_diagonal(like, -np.inf)
     m = min(c.neighbours, n - 1)
-    near = np.argsort(-like, axis=1, kind="stable")[:, :m]
-    src = np.repeat(np.arange(n), m)
-    return k.modularity_groups(src, near.ravel(), np.clip(like[src, near.ravel()], 0, 2), n, c.resolution, seed, c.min_cluster)
+    near, like = np.empty((n, m), int), np.empty((n, m))
+    for at in range(0, n, 256):  # a block of rows at a time: memory follows the windows, not their square
+        own = np.arange(at, min(n, at + 256))
+        block = unit[own] @ unit.T
+        block[np.arange(len(own)), own] = -np.inf
+        near[own] = np.argsort(-block, axis=1, kind="stable")[:, :m]
+        like[own] = np.take_along_axis(block, near[own], axis=1)
+    return k.modularity_groups(np.repeat(np.arange(n), m), near.ravel(), np.clip(like.ravel(), 0, 2), n, c.resolution, seed, c.min_cluster)
+
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of the other points on whose togetherness two labellings agree, from counts."""
+    def size(*labels: np.ndarray) -> np.ndarray:
+        _, at, n = np.unique(np.stack(labels, axis=1), axis=0, return_inverse=True, return_counts=True)
+        return n[at.ravel()]
+
+    return (len(a) - size(a) - size(b) + 2 * size(a, b) - 1) / max(1, len(a) - 1)
 
 
 def grouped(win: DataFrame, c: WindowConfig) -> DataFrame:
@@ -65,8 +77,7 @@ def grouped(win: DataFrame, c: WindowConfig) -> DataFrame:
         for i in range(c.subsamples if n >= 8 else 0):
             own = np.sort(np.random.default_rng(c.seed + i + 1).choice(n, max(2, int(n * c.fraction)), replace=False))
             sub = _graph(x[own], c, c.seed)
-            same, again = labels[own][:, None] == labels[own][None], sub[:, None] == sub[None]
-            agree[own] += ((same == again).sum(axis=1) - 1) / max(1, len(own) - 1)
+            agree[own] += _agreement(labels[own], sub)
             seen[own] += 1
         stability = np.where(labels < 0, 0.0, np.where(seen > 0, agree / np.maximum(seen, 1), 1.0))
         return pd.DataFrame({"recording_id": pdf.recording_id, "win_idx": pdf.win_idx, "label": labels, "stability": stability})
@@ -135,9 +146,11 @@ def summarised(found: DataFrame, c: WindowConfig) -> DataFrame:
 def few_shot(clusters: DataFrame, found: DataFrame, labels: DataFrame, c: WindowConfig) -> DataFrame:
     """Clusters named after the nearest prototype of labelled events; below the threshold they keep their number."""
     protos = vx.centroids(found.join(labels.withColumnRenamed("label", "name"), "event_id"), ["name"], "embedding").select("name", F.col("centroid").alias("_p"))
-    pairs = clusters.join(F.broadcast(protos)).withColumn("_s", F.round(vx.dot(F.col("centroid"), F.col("_p")), 9))
-    best = pairs.groupBy("recording_id", "label").agg(F.max_by(F.struct("name", "_s"), F.struct("_s", "name")).alias("b"))
-    named = clusters.join(best, ["recording_id", "label"], "left")
+    ident = F.concat_ws("/", F.lit("cluster"), "recording_id", F.col("label").cast("string"))
+    own = clusters.select(ident.alias("id"), F.col("centroid").alias("v"))
+    near = vx.nearest(own, protos.select(F.concat(F.lit("name/"), "name").alias("id"), F.col("_p").alias("v")), "id", "v", 1)
+    best = near.select(F.col("src").alias("_id"), F.struct(F.substring("dst", 6, 1 << 30).alias("name"), F.col("similarity").alias("_s")).alias("b"))
+    named = clusters.withColumn("_id", ident).join(best, "_id", "left").drop("_id")
     return named.withColumn("name", F.when(F.col("b._s") >= c.few_shot, F.col("b.name"))).withColumn("folder", F.concat_ws("_", F.format_string("cluster_%03d", "label"), F.when(F.col("name").isNotNull(), sc.slug(F.col("name"))))).drop("b")
 
 

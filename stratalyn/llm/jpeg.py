@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
 MCU_BLOCKS = 6  # four luma blocks, one of each chroma
 MAX_MCUS = 4095  # in a row or column: 65,535 pixels at most
@@ -459,22 +460,21 @@ def decode(media: DataFrame, column: str = "content") -> DataFrame:
     Columns that already have these names are replaced.
     """
     media = media.drop("height", "width", "rgb", "error")
-    keep = media.columns
+    packed = media.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in media.columns]).alias("row"), F.col(column).alias("value"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # a row at a time: a tensor can be large
-                h, w, rgb, error, raw = None, None, None, None, batch.column(batch.num_columns - 1)[i]
+                h, w, rgb, error, raw = None, None, None, None, batch.column(1)[i]
                 try:
                     t = tensor(read(raw.as_py() or b""))
                     h, w, rgb = t.shape[0], t.shape[1], t.tobytes()
                 except (ValueError, IndexError, KeyError, StopIteration, struct.error) as e:
                     error = f"{type(e).__name__}: {e}"
-                one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*one.columns[:-1], pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([rgb], pa.binary()), pa.array([error], pa.string())], [*keep, "height", "width", "rgb", "error"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([rgb], pa.binary()), pa.array([error], pa.string())], ["row", "height", "width", "rgb", "error"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields) + ", height int, width int, rgb binary, error string"
-    return media.withColumn("_raw", F.col(column)).mapInArrow(run, schema)
+    schema = StructType([StructField("row", packed.schema["row"].dataType), StructField("height", IntegerType()), StructField("width", IntegerType()), StructField("rgb", BinaryType()), StructField("error", StringType())])
+    return packed.mapInArrow(run, schema).select("row.*", "height", "width", "rgb", "error")
 
 
 def digest(docs: DataFrame) -> DataFrame:

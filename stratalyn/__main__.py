@@ -79,7 +79,10 @@ def main(argv: list[str] | None = None) -> int:
         results.representatives(events, clusters).write.mode("overwrite").parquet(f"{args.output}/representatives")
         results.metadata(events).write.mode("overwrite").parquet(f"{args.output}/metadata")
         service.job_document(events, clusters).write.mode("overwrite").json(f"{args.output}/job")
-        results.run_metadata(events, fingerprint(base)).write.mode("overwrite").json(f"{args.output}/run")
+        results.review_pages(events).write.mode("overwrite").json(f"{args.output}/review")
+        totals = [r.asDict() for r in events.groupBy("route").count().orderBy("route").collect()]  # one row a bucket
+        spark.createDataFrame([(results.report(totals),)], "value string").coalesce(1).write.mode("overwrite").text(f"{args.output}/report")
+        results.run_metadata(events, fingerprint(base), dataclasses.asdict(base)).write.mode("overwrite").json(f"{args.output}/run")
         return 0
     gt = ev.truth(recordings.annotations(spark, args.annotations)).checkpoint()
     if args.command == "evaluate":

@@ -163,6 +163,18 @@ def audit(df: DataFrame, matched: str, features: list[str]) -> DataFrame:
     return out.withColumn("separation", F.try_divide(F.abs(gap), (F.col("std_matched") + F.col("std_unmatched")) / 2)).withColumn("threshold", (F.col("mean_matched") + F.col("mean_unmatched")) / 2).withColumn("direction", F.when(gap >= 0, "higher").otherwise("lower"))
 
 
+def audit_top(audited: DataFrame, most: int = 6) -> DataFrame:
+    """The features that lie furthest apart, first name on ties."""
+    return audited.orderBy(F.desc_nulls_last("separation"), "feature").limit(most)
+
+
+def attach(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``other``, of which one row a key counts: the smallest."""
+    fields = [c for c in other.columns if c not in keys and c not in rows.columns]
+    one = other.groupBy(*keys).agg(F.min(F.struct(*fields)).alias("_one"))
+    return rows.join(one, keys, "left").select("*", *[F.col(f"_one.{c}").alias(c) for c in fields]).drop("_one")
+
+
 #: Thresholds tried by calibration as name, feature, values, and whether a value is the least or the most allowed.
 CALIBRATION = (
     ("min_clusterable_detection_score", "detection_score", (0.20, 0.30, 0.35, 0.40, 0.50), "min"),

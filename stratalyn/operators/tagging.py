@@ -34,6 +34,19 @@ def _best(scores: Column, names: tuple[str, ...]) -> Column:
     return F.coalesce(F.array_max(F.transform(inside, lambda x: x["score"])), F.lit(0.0))
 
 
+#: Prompts for captions without training.
+PROMPTS = (
+    "a bird call", "a bird song", "a frog or amphibian call", "an insect call or stridulation", "a mammal vocalization", "a bat echolocation call", "wind or weather noise", "rain", "human speech",
+    "engine or vehicle noise", "water flowing", "silence or background hiss", "anthropogenic noise",
+)
+
+
+def prompt_table(spark, embed, prompts: tuple[str, ...] = PROMPTS) -> DataFrame:
+    """(prompt, embedding) of literal prompts; ``embed`` is a plug-in that maps texts to vectors."""
+    rows = [(p, [float(x) for x in v]) for p, v in zip(prompts, embed(list(prompts)))]
+    return spark.createDataFrame(rows, "prompt string, embedding array<double>")
+
+
 def window_tags(df: DataFrame, scores: str) -> DataFrame:
     """Best biological and best noise score of each window; ``scores`` is an array of (name, score)."""
     return df.withColumn("bio_score", _best(F.col(scores), BIOLOGICAL)).withColumn("noise_score", _best(F.col(scores), NOISE))

@@ -106,15 +106,26 @@ def summarise_clusters(df: DataFrame, keys: list[str], order: str, family: str,
 def propagate(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Connected groups of an undirected graph: (node, label), label the smallest node, by minimum and pointer jumping.
 
-    Every round is checkpointed reliably, so a lost executor costs a read, not a recomputation.
+    Every round is written to the shared folder and the one before deleted, so a lost executor costs a read, not a
+    recomputation. The last round stays, as the result reads it.
     """
-    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).union(edges.select(F.col(dst), F.col(src))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node").checkpoint()
+    from stratalyn.plans.session import delete, new_folder
+
+    spark, folder = edges.sparkSession, new_folder(edges.sparkSession, "groups")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    both = kept(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).union(edges.select(F.col(dst), F.col(src))).distinct(), "edges")
+    step, labels = 0, kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "0")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         low = labels.join(near, "node").select("node", F.least("label", "m").alias("label"))
-        jump = low.join(low.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select("node", F.least("label", "up").alias("label")).checkpoint()
+        jump = kept(low.join(low.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select("node", F.least("label", "up").alias("label")), str(step + 1))
         changed = jump.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        labels = jump
+        delete(spark, f"{folder}/{step}")
+        step, labels = step + 1, jump
         if not changed:
+            delete(spark, f"{folder}/edges")
             return labels

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="stratalyn-")
         spark.sparkContext.setCheckpointDir(base)
     return base
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared place, wherever that lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -97,8 +97,10 @@ def metadata(events: DataFrame, start_iso: str | None = None, sensor: dict | Non
     return events.groupBy("recording_id").agg(doc.alias("document"))
 
 
-def run_metadata(events: DataFrame, config_hash: str) -> DataFrame:
-    return events.groupBy("recording_id").agg(F.count("*").alias("n_events"), F.count_distinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("n_clusters"), *[F.count_if(F.col("route") == b).alias(f"n_{b}") for b in BUCKETS]).withColumn("config_hash", F.lit(config_hash))
+def run_metadata(events: DataFrame, config_hash: str, config: dict | None = None) -> DataFrame:
+    """Counts of every recording with the configuration they were made with, as JSON, and its hash."""
+    text = F.lit(json.dumps(cleaned(config), sort_keys=True) if config else None).cast("string")
+    return events.groupBy("recording_id").agg(F.count("*").alias("n_events"), F.count_distinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("n_clusters"), *[F.count_if(F.col("route") == b).alias(f"n_{b}") for b in BUCKETS]).withColumn("config_hash", F.lit(config_hash)).withColumn("config", text)
 
 
 def report(counts: list[dict]) -> str:
@@ -117,6 +119,18 @@ def review_page(events: DataFrame, per_folder: int = 5) -> str:
     return f"<!doctype html><meta charset=utf-8><title>Review</title><table><tr><th>recording<th>folder<th>event<th>start<th>end<th>reason</tr>{rows}</table>"
 
 
+def review_pages(events: DataFrame, per_folder: int = 5) -> DataFrame:
+    """(recording_id, html): a page a recording with the first events of every folder."""
+    w = Window.partitionBy("recording_id", "folder").orderBy(F.col("representative_score").desc_nulls_last(), "event_id")
+    top = manifests(events).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_folder)
+    safe = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), *map(cell, (safe("folder"), safe("event_id"), F.format_string("%.3f", "start_sec"), F.format_string("%.3f", "end_sec"), safe("route_reason"))), F.lit("</tr>"))
+    rows = top.groupBy("recording_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("folder", F.col("_r").alias("r"), row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    head = F.lit("<!doctype html><meta charset=utf-8><title>Review</title><table><tr><th>folder<th>event<th>start<th>end<th>reason</tr>")
+    return rows.select("recording_id", F.concat(head, "rows", F.lit("</table>")).alias("html"))
+
+
 def png(x: np.ndarray, rate: int, mels: int = 96) -> bytes:
     """Log-mel picture in grey."""
     m = k.log_mel(x, rate, 1024, 256, mels)

@@ -297,6 +297,9 @@ def test_command_line_writes_tables_clips_and_documents(spark, folder, tmp_path)
     assert spark.read.option("header", "true").csv(str(out / "clusters_table")).columns == ["recording_id", *service.CLUSTER_COLUMNS]
     assert spark.read.parquet(str(out / "representatives")).where("folder like '%/_representatives'").count() >= 1
     doc = json.loads(spark.read.json(str(out / "job")).where("recording_id = 'a'").first().document)
+    pages = {r.recording_id: r.html for r in spark.read.json(str(out / "review")).collect()}
+    assert pages["a"].count("<tr>") > 1 and "| original |" in spark.read.text(str(out / "report")).agg(F.array_join(F.collect_list("value"), "\n")).first()[0]
+    assert json.loads(spark.read.json(str(out / "run")).first().config)["rate"] == RATE
     assert doc["clusters"] and all(c["events"] and c["representatives"] for c in doc["clusters"])
     schema = "recording_id string, event_id string"
     assert src.read_if_present(spark, str(out / "nothing"), schema).count() == 0 and src.read_if_present(spark, str(out / "events_table"), schema).count() == table.count()

@@ -249,6 +249,17 @@ def test_originals_and_parents_of_one_id_stay_apart(spark):
     assert got == [("c3", 5.0, 6.0, 0.1, "original", "w", 1), ("p1", 0.0, 1.0, 0.5, "original", "x", 1), ("p1", 2.0, 4.0, 0.9, "parent_aggregated", "y", 2)]
 
 
+def test_audit_prompts_and_attached_columns(spark):
+    from stratalyn.operators import tagging
+
+    df = spark.createDataFrame([(f"f{i}", float(i % 5) if i else None) for i in range(9)], "feature string, separation double")
+    assert [r.feature for r in ev.audit_top(df, 3).collect()] == ["f4", "f3", "f8"]
+    left, right = spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string"), spark.createDataFrame([(1, "p", "q"), (1, "o", "z")], "id int, y string, x string")
+    assert sorted(tuple(r) for r in ev.attach(left, right, ["id"]).collect()) == [(1, "a", "o"), (2, "b", None)]
+    table = tagging.prompt_table(spark, lambda texts: [[len(t), 1.0] for t in texts]).collect()
+    assert len(table) == 13 and table[0][:] == ("a bird call", [11.0, 1.0])
+
+
 def test_polyphony_needs_its_columns(spark):
     df = spark.createDataFrame([("f", "original")], "file_id string, source_type string")
     assert ev.polyphony(df).first().enabled is False and ev.polyphony(df).first().n_original == 0

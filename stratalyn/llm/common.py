@@ -92,10 +92,14 @@ HEAVY = 1024
 def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, which has one row a key and says in ``n`` how many rows of ``left`` have it.
 
-    ``total`` is the number of rows of ``left``. Keys that hold 1 / HEAVY of it, at most HEAVY of them, are broadcast,
-    so that no task gets all rows of a hot key; all others are joined by a shuffle.
+    ``total`` is the number of rows of ``left``. Rows of ``right`` whose keys hold 1 / HEAVY of it, at most HEAVY of
+    them, are looked up first and broadcast, so that no task gets all rows of a hot key; all others are joined by a
+    shuffle. ``right`` should be cheap to compute twice.
     """
-    hot = F.broadcast(right.where(F.col(n) * HEAVY >= total))
+    found = right.where(F.col(n) * HEAVY >= total).collect()
+    if not found:
+        return left.join(right, keys, how).drop(n)
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, right.schema))
     cold = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(n) * HEAVY < total), keys, how)
     return left.join(hot, keys).unionByName(cold).drop(n)
 

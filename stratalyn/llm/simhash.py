@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
     linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp").join(distinct.drop("n"), "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("m"))
     named = join_counted(linked, least, ["root"], "m", size).select("fp", "component")
-    known = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"), "n")
+    known = cut(distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"), "n"))
     return join_counted(each, known, ["fp"], "n", total).select(*key, "fp", "component_id")
 
 

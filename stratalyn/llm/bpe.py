@@ -45,9 +45,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from stratalyn.llm.common import map_rows
 
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
 KEPT_PAIRS = 1 << 20
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 GROUP = 16_384  # words in one run of the dynamic programme
 FEW = 48  # fewer words go one by one
 #: Texts with anything but letters and signs for which NFC changes nothing and Arrow's lower case is the library's.

@@ -26,11 +26,29 @@ RENAMED = {
 }
 
 
+def three_decimals(x: Column) -> Column:
+    """``x`` with three decimals as C and Python print it: its exact value decides, exact halves go to the even digit.
+
+    Spark's ``%.3f`` rounds the shortest decimal text of a number instead, and halves of it up. The fraction is split into
+    a part of 26 bits and a rest, so that a thousand times either is exact. From 2^63 on Spark's own digits are used.
+    """
+    a = F.abs(x)
+    f = a - F.floor(a)
+    high = F.floor(f * 2.0**26) / 2.0**26
+    down = F.floor(high * 1000)
+    over = (high * 1000 - down - 0.5) + (f - high) * 1000  # more or less than half a thousandth; the sign is exact
+    n = down + F.when((over > 0) | ((over == 0) & (down % 2 == 1)), 1).otherwise(0)
+    text = F.concat((F.floor(a) + F.when(n == 1000, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    # null stays null
+    return F.when(F.isnan(x), "nan").when(a == float("inf"), F.concat(sign, F.lit("inf"))).when(a >= 2.0**63, F.format_string("%.3f", x)).otherwise(F.concat(sign, text))
+
+
 def file_stem() -> Column:
     """File name of an event without ending: its id, or parent and component, and its times with three decimals."""
     col = lambda c: F.col(c).cast("string")
     name = F.when(F.col("is_component") & F.col("parent_event_id").isNotNull() & F.col("component_id").isNotNull(), F.concat(col("parent_event_id"), F.lit("_component_"), col("component_id"))).otherwise(col("event_id"))
-    return F.concat(name, F.format_string("__%.3f-%.3f", F.col("start_sec").cast("double"), F.col("end_sec").cast("double")))
+    return F.concat(name, F.lit("__"), three_decimals(F.col("start_sec").cast("double")), F.lit("-"), three_decimals(F.col("end_sec").cast("double")))
 
 
 def event_table(events: DataFrame) -> DataFrame:

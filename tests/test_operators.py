@@ -279,3 +279,14 @@ def test_neighbours_in_blocks_are_exact(spark):
     for bound in (1 << 30, 8 * 8 * 13):
         assert {(r.src, r.dst) for r in vectors.nearest(df, df, "id", "v", 4, bound).collect()} == want
     assert vectors.ensemble_variants(9, 15, 0.1, 10, 5)[0] == {"neighbours": 10, "distance": 0.0, "least": 5, "samples": 1}
+
+
+def test_three_decimals_round_the_exact_value(spark):
+    from stratalyn.sources.service import three_decimals
+
+    r = random.Random(5)
+    x = [0.0625, 0.1875, 1.0005, 0.9995, 0.0005, 1704350726.3925, 1704103775.1185, -0.0625, -0.0001, -0.0, 0.0, 1e-320, 2.0**52 + 1, 1e17, 4e18, float("inf"), float("-inf"), float("nan")]
+    x += [r.randrange(10**13) / 10_000 for _ in range(300)] + [r.randrange(1 << 40) / (1 << r.randrange(45)) for _ in range(300)] + [-r.random() * 10 ** r.randrange(-5, 12) for _ in range(300)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*x, None])], "i int, x double")
+    got = dict(df.select("i", three_decimals(F.col("x"))).collect())
+    assert [got[i] for i in range(len(x) + 1)] == [*(f"{v:.3f}" for v in x), None]

@@ -59,12 +59,15 @@ MODES = {"exploratory": -0.12, "balanced": 0.0, "conservative": 0.15}
 
 
 def low_confidence(q: Column, snr: Column, flatness: Column, tonality: Column, mode: str | Column = "balanced", threshold: float | Column = 0.55, min_snr: float = 3.0, max_flatness: float = 0.72, min_tonality: float = 0.08, floor: float | Column = 0.20) -> Column:
-    """``mode`` and the limits may be columns, where recordings differ."""
+    """``mode`` and the limits may be columns, where recordings differ.
+
+    The limit is the decimal sum of threshold and mode: as doubles, 0.55 + 0.15 is above 0.7 and would reject a score of 0.7.
+    """
     if isinstance(mode, Column) or isinstance(threshold, Column):
         added = F.element_at(F.create_map(*[F.lit(v) for pair in MODES.items() for v in pair]), mode) if isinstance(mode, Column) else F.lit(MODES[mode])
-        limit = unit(added + threshold)
+        limit = unit(F.round(added + threshold, 12))
     else:
-        limit = min(1.0, max(0.0, threshold + MODES[mode]))
+        limit = min(1.0, max(0.0, round(threshold + MODES[mode], 12)))
     return (q < limit) | ((snr < min_snr) & (flatness > max_flatness) & (tonality < min_tonality)) | (tonality < floor)
 
 

@@ -290,3 +290,11 @@ def test_three_decimals_round_the_exact_value(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([*x, None])], "i int, x double")
     got = dict(df.select("i", three_decimals(F.col("x"))).collect())
     assert [got[i] for i in range(len(x) + 1)] == [*(f"{v:.3f}" for v in x), None]
+
+
+def test_noise_modes_keep_a_score_at_their_limit(spark):
+    df = spark.createDataFrame([("conservative", 0.7), ("exploratory", 0.43), ("balanced", 0.55)], "mode string, q double")
+    one = lambda q, *a: sc.low_confidence(q, F.lit(9.0), F.lit(0.1), F.lit(0.5), *a)
+    for r in df.select("mode", "q", one(F.col("q"), F.col("mode")).alias("low"), one(F.col("q") - 1e-9, F.col("mode")).alias("below")).collect():
+        assert (r.low, r.below) == (False, True)
+        assert spark.range(1).select(one(F.lit(r.q), r.mode).alias("low")).first().low is False

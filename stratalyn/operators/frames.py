@@ -12,6 +12,16 @@ def decibel(x: Column, floor: float = 1e-10) -> Column:
     return 20 * F.log10(F.greatest(F.abs(x), F.lit(floor)))
 
 
+def mean_in_order(value: Column, *order: Column) -> Column:
+    """Mean of the non-null values of a group, summed one by one in a given order.
+
+    ``avg`` adds partial sums as they arrive, so its last bits change with the partitions, and with them what a comparison
+    with the mean says where both are equal. Holds the values of a group at once, as a percentile does.
+    """
+    values = F.transform(F.sort_array(F.collect_list(F.when(value.isNotNull(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], value.cast("double").alias("v"))))), lambda x: x["v"])
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.count(value))
+
+
 def rolling_rank(df: DataFrame, keys: list[str], order: list[str], value: str, width: int, percent: float, out: str) -> DataFrame:
     """Order statistic of an odd sliding frame; edges repeat the first and last value."""
     half = width // 2

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalyn.config import RULES
+from stratalyn.operators.frames import mean_in_order
 from stratalyn.operators.vectors import dot, norm
 
 #: Classes counted as biological.
@@ -57,9 +58,15 @@ def recording_tags(windows: DataFrame, keys: list[str], active: float = 0.30) ->
     return windows.groupBy(*keys).agg(F.avg("bio_score").alias("mean_bio"), F.avg("noise_score").alias("mean_noise"), F.avg((F.col("bio_score") > active).cast("int")).alias("bio_fraction"), F.count("*").alias("n_windows"))
 
 
-def top_classes(df: DataFrame, keys: list[str], scores: str, k: int) -> DataFrame:
-    """The ``k`` classes of the largest mean score, as an ordered array of (name, score)."""
-    each = df.select(*keys, F.explode(scores).alias("x")).groupBy(*keys, F.col("x.name").alias("name")).agg(F.avg("x.score").alias("score"))
+def top_classes(df: DataFrame, keys: list[str], scores: str, k: int, order: str | None = None) -> DataFrame:
+    """The ``k`` classes of the largest mean score, as an ordered array of (name, score).
+
+    ``order`` is a column by which scores are summed: means then have the same last bits, and equal ones the same order,
+    however the rows are dealt.
+    """
+    each = df.select(*keys, F.explode(scores).alias("x"), *([F.col(order).alias("_o")] if order else []))
+    mean = mean_in_order(F.col("x.score"), F.col("_o")) if order else F.avg("x.score")
+    each = each.groupBy(*keys, F.col("x.name").alias("name")).agg(mean.alias("score"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "name", "score")))
     return each.groupBy(*keys).agg(F.transform(F.slice(ordered, 1, k), lambda x: F.struct(x["name"].alias("name"), x["score"].alias("score"))).alias("top"))
 

@@ -705,8 +705,8 @@ t AS (SELECT rec, count(*) FILTER (WHERE k <= 3 AND regexp_matches(name, 'Insect
 SELECT rec, top, round(bio, 6) AS bio_score, round(noise, 6) AS noise_score, CASE WHEN i > 0 THEN 'insect_sustained' WHEN b > 0 THEN 'bird_calls' WHEN f > 0 THEN 'amphibian' WHEN w > 0 THEN 'wind_dominant' WHEN bio > noise THEN 'general_animal' ELSE 'background_dominant' END AS hint FROM t""")
 def semantic_tags(spark, d):
     name = F.coalesce(*[F.when(F.col("event_type") == a, b) for a, b in CLASSES.items()])
-    one = detections(spark, d).select("rec", F.array(F.struct(name.alias("name"), F.col("flat").alias("score"))).alias("scores"))
-    top = tg.window_tags(tg.top_classes(one, ["rec"], "scores", 5), "top")
+    one = detections(spark, d).select("rec", "event_id", F.array(F.struct(name.alias("name"), F.col("flat").alias("score"))).alias("scores"))
+    top = tg.window_tags(tg.top_classes(one, ["rec"], "scores", 5, "event_id"), "top")
     return top.select("rec", F.array_join(F.transform(F.slice("top", 1, 3), lambda x: x["name"]), ",").alias("top"), rnd("bio_score").alias("bio_score"), rnd("noise_score").alias("noise_score"), tg.hint(F.col("top"), F.col("bio_score"), F.col("noise_score")).alias("hint"))
 
 

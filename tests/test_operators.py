@@ -298,3 +298,22 @@ def test_noise_modes_keep_a_score_at_their_limit(spark):
     for r in df.select("mode", "q", one(F.col("q"), F.col("mode")).alias("low"), one(F.col("q") - 1e-9, F.col("mode")).alias("below")).collect():
         assert (r.low, r.below) == (False, True)
         assert spark.range(1).select(one(F.lit(r.q), r.mode).alias("low")).first().low is False
+
+
+def test_means_in_order_do_not_depend_on_the_dealing(spark):
+    from stratalyn.operators import tagging
+
+    r = random.Random(7)
+    rows = [(k, i, r.randrange(97) / 97) for k in range(40) for i in range(50)]
+    want = {}
+    for k, _, v in rows:
+        want[k] = want.get(k, 0.0) + v
+    df = spark.createDataFrame([*rows, (0, 99, None)], "k int, i int, v double")
+    for parts in (1, 7):
+        got = df.repartition(parts, "i").groupBy("k").agg(fr.mean_in_order(F.col("v"), F.col("i")).alias("m")).collect()
+        assert {x.k: x.m for x in got} == {k: v / 50 for k, v in want.items()}
+    assert df.where("v is null").agg(fr.mean_in_order(F.col("v"), F.col("i")).alias("m")).first().m is None
+    # 0.1 + 0.2 + 0.3 is above 0.3 + 0.2 + 0.1: the order of the rows decides between the classes
+    one = spark.createDataFrame([("r", i, [(n, v)]) for n, vs in (("a", (0.3, 0.2, 0.1)), ("b", (0.1, 0.2, 0.3))) for i, v in enumerate(vs)], "rec string, i int, s array<struct<name: string, score: double>>")
+    for parts in (1, 5):
+        assert [x.name for x in tagging.top_classes(one.repartition(parts, "i"), ["rec"], "s", 2, "i").first().top] == ["b", "a"]

@@ -196,7 +196,7 @@ def flux_zscore(spark, d):
 SELECT rec, event_id, (CAST(db > fl + 8 AS INT) + CAST(value > m AS INT) + CAST(flat < 0.40 AS INT)) >= 2 AS active FROM n""")
 def vote_mask(spark, d):
     f = detections(spark, d).withColumn("db", fr.decibel(F.col("value")))
-    level = f.groupBy("rec").agg(F.percentile("db", F.lit(0.2)).alias("fl"), F.avg("value").alias("m"))
+    level = f.groupBy("rec").agg(F.percentile("db", F.lit(0.2)).alias("fl"), fr.mean_in_order(F.col("value"), F.col("s"), F.col("event_id")).alias("m"))
     return f.join(level, "rec").select("rec", "event_id", fr.vote(2, F.col("db") > F.col("fl") + 8, F.col("value") > F.col("m"), F.col("flat") < 0.40).alias("active"))
 
 

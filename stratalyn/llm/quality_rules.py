@@ -17,6 +17,8 @@ one.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -30,22 +32,31 @@ STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 FEATURES = ["n_words", "word_len", "symbols", "dup_lines", "repeats", "upper", "bangs", "digits", "word_share"]
 
 
-def _repeat_words(words: Column) -> Column:
+def _repeat_words(words: Column, index_bits: int = 31) -> Column:
     """Words that lie in a window of three that occurs at least twice.
 
-    Windows are sorted by hash and, where hashes are equal, by their words; equal neighbours are kept and their places
-    sorted; three words each, less what overlaps.
+    A window becomes one whole number, the upper bits of its hash and its place in the lower ``index_bits``. These are
+    sorted, and places whose neighbours have the same bits are kept; each is held against the words of the next. Only
+    where two of them differ, a collision, are the windows sorted by their words. Places are sorted; three words each,
+    less what overlaps.
     """
-    each = lambda i: [F.get(words, i + k) for k in range(3)]
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.struct(F.xxhash64(*each(i)).alias("h"), *(w.alias(f"w{k}") for k, w in enumerate(each(i)))).alias("w"), i.alias("i")))
+    window = lambda i: [F.get(words, i + k) for k in range(3)]
+    places = F.sequence(F.lit(0), F.size(words) - 3)
+    bits = lambda x: F.shiftright(x, index_bits)
+    place = lambda x: x.bitwiseAND(F.lit((1 << index_bits) - 1)).cast("int")
+    total = lambda p: F.aggregate(F.sort_array(p), F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
+    either = lambda s, same: F.filter(s, lambda x, k: F.coalesce(same(x, F.get(s, k + 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, k - 1)), F.lit(False)))
+    numbers = F.transform(places, lambda i: F.xxhash64(*window(i)).bitwiseAND(F.lit(-1 << index_bits)).bitwiseOR(i.cast("long")))
 
-    def covered(s: Column) -> Column:
-        same = lambda a, b: F.coalesce((a["w"]["h"] == b["w"]["h"]) & (a["w"] == b["w"]), F.lit(False))
-        twice = F.filter(s, lambda w, k: same(w, F.get(s, k + 1)) | same(w, F.get(s, k - 1)))
-        total = lambda p: F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
-        return total(F.array_sort(F.transform(F.filter(twice, lambda w: w.isNotNull()), lambda w: w["i"])))
+    def compared(c: Column) -> Column:
+        """``c``: numbers whose upper bits are those of a neighbour."""
+        differ = lambda x, y: ~reduce(and_, (u == v for u, v in zip(window(place(x)), window(place(y)))))
+        collisions = F.filter(c, lambda x, k: F.coalesce((bits(x) == bits(F.get(c, k + 1))) & differ(x, F.get(c, k + 1)), F.lit(False)))
+        by_words = let(F.sort_array(F.transform(c, lambda x: F.struct(F.struct(*(w.alias(f"w{k}") for k, w in enumerate(window(place(x))))).alias("w"), place(x).alias("i")))), lambda s: total(F.transform(either(s, lambda a, b: a["w"] == b["w"]), lambda x: x["i"])))
+        return F.when(F.size(c) < 2, F.lit(0)).when(F.size(collisions) > 0, by_words).otherwise(total(F.transform(c, place)))
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(F.array_sort(windows), covered))
+    found = let(F.sort_array(numbers), lambda s: let(either(s, lambda a, b: bits(a) == bits(b)), compared))
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(found)
 
 
 def statistics(docs: DataFrame, features: str = "features") -> DataFrame:
@@ -60,7 +71,7 @@ def statistics(docs: DataFrame, features: str = "features") -> DataFrame:
         *[F.col(f"`{c}`") for c in docs.columns],
         F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         kept("[^#*$%&|<>]+").cast("long").alias("n_symbols"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(F.col(w), _repeat_words).cast("long").alias("n_repeat_words"), signs.alias(n),
+        let(F.col(w), lambda x: _repeat_words(x)).cast("long").alias("n_repeat_words"), signs.alias(n),
     )
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     found = [F.col("n_words").cast("double"), per("word_chars", "n_words"), per("n_symbols", "word_chars"), per("n_dup_lines", "n_words"), per("n_repeat_words", "n_words"), per(f"{n}.upper", "word_chars"), per(f"{n}.bangs", "word_chars"), per(f"{n}.digits", "word_chars"), per("word_chars", f"{n}.chars")]

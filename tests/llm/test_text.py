@@ -393,3 +393,27 @@ def test_added_spans_on_sentences_the_trees_have_not_seen(spark):
         personal += label
         hit, wrong = hit + (over and label), wrong + (over and not label)
     assert hit / personal >= 0.95 and hit / max(1, hit + wrong) >= 0.95, (hit, wrong, personal)
+
+
+def test_repeated_windows_survive_colliding_hashes(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from stratalyn.llm import quality_rules
+    from stratalyn.llm.common import words_of
+
+    r = random.Random(11)
+    texts = [" ".join(r.choice("abcdé"[: r.randint(1, 5)]) for _ in range(r.randint(0, 60))) for _ in range(120)]
+
+    def want(text):
+        w = text.split()
+        places = [i for i in range(len(w) - 2) if any(w[i : i + 3] == w[j : j + 3] for j in range(len(w) - 2) if j != i)]
+        return len({i + k for i in places for k in range(3)})
+
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", words_of(F.col("text")).alias("w"))
+    for bits in (31, 62):  # 62 leave two bits of a hash
+        found = df.select("text", quality_rules._repeat_words(F.col("w"), bits).alias("n"))
+        assert [x.n for x in found.collect()] == [want(x) for x in texts]
+    # a comparator made of lambdas, called for every pair of windows, took most of the time
+    assert "array_sort" not in quality_rules.statistics(df)._jdf.queryExecution().optimizedPlan().toString()

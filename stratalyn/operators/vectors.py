@@ -29,6 +29,28 @@ def ranked(df: DataFrame, keys: list[str], score: str, ident: str, k: int) -> Da
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Neighbours are sought in at least SPREAD * SPREAD tasks, where there are rows enough.
+SPREAD = 8
+
+
+def best(sim: np.ndarray, src: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the ``k`` best finite columns of each row, and their values rounded to nine places, ties by column.
+
+    Names ascend; a column named like its row is none. Only values within rounding of a row's ``k``-th are sorted.
+    """
+    low, high = np.searchsorted(names, src, "left"), np.searchsorted(names, src, "right")
+    for i in np.flatnonzero(high > low):
+        sim[i, low[i] : high[i]] = -np.inf
+    sim[np.isnan(sim)] = -np.inf
+    least = np.partition(sim, -k, axis=1)[:, -k] - 2e-9 if sim.shape[1] > k else np.full(len(sim), -np.inf)
+    r, c = np.nonzero((sim >= least[:, None]) & (sim > -np.inf))
+    value = np.round(sim[r, c], 9)
+    order = np.lexsort((c, -value, r))
+    r, c, value = r[order], c[order], value[order]
+    kept = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
+    return r[kept], c[kept], value[kept]
+
+
 def nearest(queries: DataFrame, base: DataFrame, ident: str, vector: str, k: int, size_bound: int = 64 << 20) -> DataFrame:
     """Exact ``k`` nearest by cosine: (src, dst, rank, similarity), similarities rounded to nine places, ties by dst.
 
@@ -38,7 +60,7 @@ def nearest(queries: DataFrame, base: DataFrame, ident: str, vector: str, k: int
     """
     n, width = base.agg(F.count("*"), F.max(F.size(vector))).first()
     per = max(1, size_bound // (8 * max(1, width or 1)))
-    blocks = max(1, -(-n // per))
+    blocks = max(1, -(-n // per), min(SPREAD, -(-n // 2048)))
     kind = base.schema[ident].dataType.simpleString()
     dealt = lambda d: d.select(ident, vector, F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int").alias("block"))
     spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -51,17 +73,16 @@ def nearest(queries: DataFrame, base: DataFrame, ident: str, vector: str, k: int
         q, b = pdf[pdf.side == 0].sort_values(ident), pdf[pdf.side == 1].sort_values(ident)
         if len(q) and len(b):
             target, names = unit(b[vector]), b[ident].to_numpy()
-            for at in range(0, len(q), 512):
-                rows = q.iloc[at : at + 512]
-                sim = np.round(unit(rows[vector]) @ target.T, 9)
-                sim[rows[ident].to_numpy()[:, None] == names[None]] = -np.inf
-                order = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(sim, order, axis=1)
-                parts.append(pd.DataFrame({"src": np.repeat(rows[ident].to_numpy(), order.shape[1]), "dst": names[order].ravel(), "similarity": best.ravel()}))
+            step = max(1, (32 << 20) // (8 * len(b)))
+            for at in range(0, len(q), step):
+                rows = q.iloc[at : at + step]
+                src = rows[ident].to_numpy()
+                found = best(unit(rows[vector]) @ target.T, src, names, k)
+                parts.append(pd.DataFrame({"src": src[found[0]], "dst": names[found[1]], "similarity": found[2]}))
         out = pd.concat(parts) if parts else pd.DataFrame({"src": [], "dst": [], "similarity": []})
-        return out[np.isfinite(out.similarity.astype(float))]
+        return out
 
-    found = left.unionByName(right).groupBy("block", "other").applyInPandas(run, f"src {kind}, dst {kind}, similarity double")
+    found = left.unionByName(right).repartition(blocks * blocks, "block", "other").groupBy("block", "other").applyInPandas(run, f"src {kind}, dst {kind}, similarity double")
     return ranked(found, ["src"], "similarity", "dst", k)
 
 

@@ -317,3 +317,22 @@ def test_means_in_order_do_not_depend_on_the_dealing(spark):
     one = spark.createDataFrame([("r", i, [(n, v)]) for n, vs in (("a", (0.3, 0.2, 0.1)), ("b", (0.1, 0.2, 0.3))) for i, v in enumerate(vs)], "rec string, i int, s array<struct<name: string, score: double>>")
     for parts in (1, 5):
         assert [x.name for x in tagging.top_classes(one.repartition(parts, "i"), ["rec"], "s", 2, "i").first().top] == ["b", "a"]
+
+
+def test_best_columns_are_exact_and_need_many_tasks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    names = np.array([0, 1, 1, 4, 5, 7, 8, 9])
+    sim = np.round(r.random((6, 8)), 1) + r.random((6, 8)) * 1e-10
+    sim[2], sim[3, 4] = np.nan, np.nan
+    src = np.array([1, 4, 5, 6, 9, 0])
+    want = []
+    for i in range(6):
+        each = sorted((-round(sim[i, j], 9), j) for j in range(8) if names[j] != src[i] and not np.isnan(sim[i, j]))
+        want += [(i, j, -v) for v, j in each[:3]]
+    assert list(zip(*(x.tolist() for x in vx.best(sim.copy(), src, names, 3)))) == want
+    df = spark.range(5000).select("id", F.array(F.rand(1), F.rand(2), F.rand(3)).alias("v"))
+    assert vx.nearest(df, df, "id", "v", 2).where("rank = 1").select(F.countDistinct("src")).first()[0] == 5000
+    # three blocks a side, where one task held them all
+    assert "RepartitionByExpression [block" in vx.nearest(df, df, "id", "v", 2)._jdf.queryExecution().optimizedPlan().toString()

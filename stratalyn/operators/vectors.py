@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,17 @@ def ranked(df: DataFrame, keys: list[str], score: str, ident: str, k: int) -> Da
 
 #: Neighbours are sought in at least SPREAD * SPREAD tasks, where there are rows enough.
 SPREAD = 8
+#: Rows and columns of a tile of similarities, and the columns that share a maximum. A row with more than CROWD columns near its best is compared in full.
+ROWS, COLUMNS, SHARED, CROWD = 256, 4096, 32, 1024
+
+
+def foremost(r: np.ndarray, c: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of places and values, the ``k`` best of each row, rounded to nine places, ties by column."""
+    value = np.round(value, 9)
+    order = np.lexsort((c, -value, r))
+    r, c, value = r[order], c[order], value[order]
+    kept = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
+    return r[kept], c[kept], value[kept]
 
 
 def best(sim: np.ndarray, src: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,19 +56,81 @@ def best(sim: np.ndarray, src: np.ndarray, names: np.ndarray, k: int) -> tuple[n
     sim[np.isnan(sim)] = -np.inf
     least = np.partition(sim, -k, axis=1)[:, -k] - 2e-9 if sim.shape[1] > k else np.full(len(sim), -np.inf)
     r, c = np.nonzero((sim >= least[:, None]) & (sim > -np.inf))
-    value = np.round(sim[r, c], 9)
-    order = np.lexsort((c, -value, r))
-    r, c, value = r[order], c[order], value[order]
-    kept = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
-    return r[kept], c[kept], value[kept]
+    return foremost(r, c, sim[r, c], k)
+
+
+def closest(q: np.ndarray, src: np.ndarray, t: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``best`` finds in ``q @ t.T``, rows of length one at most, with one product in single precision for all pairs.
+
+    Only places within its error of a row's ``k``-th best are computed in double precision. Of equal columns, those with
+    the least names are enough.
+    """
+    fine = np.flatnonzero(np.isfinite(t).all(axis=1))
+    if len(fine) and t.shape[1]:
+        same = np.unique(np.ascontiguousarray(t[fine]).view(f"V{8 * t.shape[1]}").ravel(), return_inverse=True)[1].ravel()
+        order = np.argsort(same, kind="stable")
+        nth = np.arange(len(order)) - np.searchsorted(same[order], same[order], "left")
+        fine = np.sort(fine[order[nth < k + np.unique(names, return_counts=True)[1].max()]])
+    t, names, rows = t[fine], names[fine], np.flatnonzero(np.isfinite(q).all(axis=1))
+    q, src = q[rows], src[rows]
+    low, high = np.searchsorted(names, src, "left"), np.searchsorted(names, src, "right")
+    single, target, slack = q.astype(np.float32), t.astype(np.float32), np.float32((2 * t.shape[1] + 16) * 2.0**-24)
+    found, crowded, room = [], [np.zeros(0, int)], np.empty(ROWS * min(COLUMNS, len(t)), np.float32)
+    for at in range(0, len(q), ROWS):
+        part, lo, hi = single[at : at + ROWS], low[at : at + ROWS], high[at : at + ROWS]
+        floor, count, hits = np.full(len(part), -np.inf, np.float32), np.zeros(len(part), int), []
+        for first in range(0, len(t), COLUMNS):
+            some = target[first : first + COLUMNS]
+            sim = np.matmul(part, some.T, out=room[: len(part) * len(some)].reshape(len(part), len(some)))
+            for i in np.flatnonzero((hi > lo) & (hi > first) & (lo < first + sim.shape[1])):
+                sim[i, max(0, lo[i] - first) : hi[i] - first] = -np.inf
+            wide = sim.shape[1] // SHARED
+            shared, rest = sim[:, : SHARED * wide].reshape(len(sim), SHARED, wide), sim[:, SHARED * wide :]
+            top = np.concatenate([shared.max(axis=1), rest], axis=1)
+            if top.shape[1] >= k:
+                floor = np.maximum(floor, np.partition(top, -k, axis=1)[:, -k])
+            r, g = np.divmod(np.flatnonzero(top >= floor[:, None] - slack), top.shape[1])
+            one, many = g >= wide, g < wide
+            each = shared[r[many], :, g[many]]
+            i, j = np.divmod(np.flatnonzero(each >= floor[r[many], None] - slack), SHARED)
+            c = np.concatenate([j * wide + g[many][i], g[one] + (SHARED - 1) * wide])
+            value = np.concatenate([each[i, j], rest[r[one], g[one] - wide]])
+            r = np.concatenate([r[many][i], r[one]])
+            near = value > -np.inf
+            hits.append((r[near], c[near] + first, value[near]))
+            count += np.bincount(r[near], minlength=len(part))
+            floor[count > CROWD] = np.inf
+        r, c, value = (np.concatenate(x) for x in zip(*hits)) if hits else (np.zeros(0, int),) * 3
+        near = value >= floor[r] - slack
+        r, c = r[near] + at, c[near]
+        found += [(r[i : i + 8192], c[i : i + 8192], np.einsum("ij,ij->i", q[r[i : i + 8192]], t[c[i : i + 8192]])) for i in range(0, len(r), 8192)]
+        crowded.append(at + np.flatnonzero(count > CROWD))
+    crowd = np.concatenate(crowded)
+    step = max(1, (32 << 20) // (8 * max(1, len(t))))
+    for at in range(0, len(crowd), step):
+        i = crowd[at : at + step]
+        r, c, value = best(q[i] @ t.T, src[i], names, k)
+        found.append((i[r], c, value))
+    r, c, value = foremost(*(np.concatenate(x) for x in zip(*found)), k) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return rows[r], fine[c], value
+
+
+def unit(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one width as rows of length one."""
+    whole = vectors.combine_chunks()
+    width = pc.min_max(pc.list_value_length(whole)).as_py()
+    if whole.null_count or width["min"] != width["max"]:
+        raise ValueError("vectors must be of one width, none null")
+    m = whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), width["min"] or 0)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
 def nearest(queries: DataFrame, base: DataFrame, ident: str, vector: str, k: int, size_bound: int = 64 << 20) -> DataFrame:
     """Exact ``k`` nearest by cosine: (src, dst, rank, similarity), similarities rounded to nine places, ties by dst.
 
     Both sides are dealt into blocks of at most ``size_bound`` bytes of numbers, counted first. Every block of queries
-    meets every block of the base in one task, as matrices; a task passes on its best ``k`` and ties a query, never all
-    pairs, and the answers are merged.
+    meets every block of the base in one task, as matrices; a task passes on its best ``k`` a query, never all pairs, and
+    the answers are merged.
     """
     n, width = base.agg(F.count("*"), F.max(F.size(vector))).first()
     per = max(1, size_bound // (8 * max(1, width or 1)))
@@ -67,22 +141,19 @@ def nearest(queries: DataFrame, base: DataFrame, ident: str, vector: str, k: int
     left = dealt(queries).withColumn("other", spread).select("block", "other", F.lit(0).alias("side"), ident, vector)
     right = dealt(base).withColumnRenamed("block", "own").withColumn("block", spread).select("block", F.col("own").alias("other"), F.lit(1).alias("side"), ident, vector)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        unit = lambda rows: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(np.stack(rows.to_numpy()).astype(np.float64))
-        q, b = pdf[pdf.side == 0].sort_values(ident), pdf[pdf.side == 1].sort_values(ident)
-        if len(q) and len(b):
-            target, names = unit(b[vector]), b[ident].to_numpy()
-            step = max(1, (32 << 20) // (8 * len(b)))
-            for at in range(0, len(q), step):
-                rows = q.iloc[at : at + step]
-                src = rows[ident].to_numpy()
-                found = best(unit(rows[vector]) @ target.T, src, names, k)
-                parts.append(pd.DataFrame({"src": src[found[0]], "dst": names[found[1]], "similarity": found[2]}))
-        out = pd.concat(parts) if parts else pd.DataFrame({"src": [], "dst": [], "similarity": []})
-        return out
-
-    found = left.unionByName(right).repartition(blocks * blocks, "block", "other").groupBy("block", "other").applyInPandas(run, f"src {kind}, dst {kind}, similarity double")
+    def run(rows: pa.Table) -> pa.Table:
+        side = rows["side"].to_numpy()
+        at = [np.flatnonzero(side == i) for i in (0, 1)]
+        (src, q), (dst, b) = [(x[ident].combine_chunks(), x[vector]) for x in (rows.take(i) for i in at)]
+        none = pa.array([], pa.int64())
+        if not len(src) or not len(dst):
+            return pa.table({"src": src.take(none), "dst": dst.take(none), "similarity": pa.array([], pa.float64())})
+        names = [x.to_pandas().to_numpy() for x in (src, dst)]
+        i, j = (np.argsort(x, kind="stable") for x in names)
+        r, c, value = closest(unit(q)[i], names[0][i], unit(b)[j], names[1][j], k)
+        return pa.table({"src": src.take(pa.array(i[r])), "dst": dst.take(pa.array(j[c])), "similarity": value})
+
+    found = left.unionByName(right).repartition(blocks * blocks, "block", "other").groupBy("block", "other").applyInArrow(run, f"src {kind}, dst {kind}, similarity double")
     return ranked(found, ["src"], "similarity", "dst", k)
 
 

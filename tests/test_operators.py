@@ -336,3 +336,24 @@ def test_best_columns_are_exact_and_need_many_tasks(spark):
     assert vx.nearest(df, df, "id", "v", 2).where("rank = 1").select(F.countDistinct("src")).first()[0] == 5000
     # three blocks a side, where one task held them all
     assert "RepartitionByExpression [block" in vx.nearest(df, df, "id", "v", 2)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_neighbours_by_single_precision_are_those_of_double_precision(spark):
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    base = r.normal(size=(5000, 8))
+    copies = base[r.integers(0, 30, 5000)]
+    near = np.where(r.random((5000, 1)) < 0.5, base[0] + r.normal(size=(5000, 8)) * 1e-7, base)
+    holes = base.copy()
+    holes[::7], holes[3, 2], holes[5, 1] = 0, np.nan, np.inf
+    twice = np.sort(r.integers(0, 2000, 5000))
+    for t, names in ((base, np.arange(5000)), (copies, np.arange(5000)), (near, np.arange(5000)), (holes, np.arange(5000)), (base, twice), (base[:3], np.arange(3))):
+        with np.errstate(all="ignore"):
+            t = t / np.linalg.norm(t, axis=1, keepdims=True)
+        at = np.sort(r.integers(0, len(t), 200))
+        q, src = t[at], names[at] + (at % 3 == 0)
+        mine, want = vx.closest(q, src, t, names, 4), vx.best(q @ t.T, src, names, 4)
+        assert all(np.array_equal(a, b) for a, b in zip(mine[:2], want)) and np.allclose(mine[2], want[2], rtol=0, atol=2e-9)
+    with pytest.raises(Exception, match="one width"):
+        vx.nearest(df := spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0, 4.0]), (3, [1.0] * 3)], "id int, v array<double>"), df, "id", "v", 1).collect()

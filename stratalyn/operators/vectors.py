@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -195,11 +197,26 @@ def summarise_clusters(df: DataFrame, keys: list[str], order: str, family: str,
     return df.groupBy(*keys).agg(F.count("*").alias("size"), *parts, *[F.avg(c).alias(n) for n, c in means.items()]).join(modal, keys)
 
 
-def propagate(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Connected groups of an undirected graph: (node, label), label the smallest node, by minimum and pointer jumping.
+def groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges ``a`` to ``b``, ascending, and the smallest node of each one's connected group."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = np.split(at.ravel(), 2)
+    label = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != (up := label[label])).any():
+            label = up
+        x, y = label[x], label[y]
+        x, y = x[x != y], y[x != y]
+    return nodes, nodes[label]
+
+
+def propagate(edges: DataFrame, src: str = "src", dst: str = "dst", bound: int = 1 << 21) -> DataFrame:
+    """Connected groups of an undirected graph: (node, label), label the smallest node.
 
-    Every round is written to the shared folder and the one before deleted, so a lost executor costs a read, not a
-    recomputation. The last round stays, as the result reads it.
+    Up to ``bound`` edges, counted first, are solved in one task; more by minimum and pointer jumping over all machines.
+    There every round is written to the shared folder and the one before deleted, so a lost executor costs a read, not a
+    recomputation. The edges, or the last round, stay, as the result reads them.
     """
     from stratalyn.plans.session import delete, new_folder
 
@@ -209,7 +226,19 @@ def propagate(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    both = kept(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).union(edges.select(F.col(dst), F.col(src))).distinct(), "edges")
+    pairs = kept(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).na.drop(), "pairs")
+    if pairs.count() <= bound:
+        kind = pairs.schema["a"].dataType.simpleString()
+
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if got := list(batches):
+                rows = pa.Table.from_batches(got)
+                found = groups(*(rows[c].to_pandas().to_numpy() for c in "ab"))
+                yield from pa.table({n: pa.array(x, rows.schema.field("a").type) for n, x in zip(("node", "label"), found)}).to_batches(1 << 16)
+
+        return pairs.coalesce(1).mapInArrow(solve, f"node {kind}, label {kind}")
+    both = kept(pairs.union(pairs.select("b", "a")).distinct(), "edges")
+    delete(spark, f"{folder}/pairs")
     step, labels = 0, kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "0")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))

@@ -357,3 +357,24 @@ def test_neighbours_by_single_precision_are_those_of_double_precision(spark):
         assert all(np.array_equal(a, b) for a, b in zip(mine[:2], want)) and np.allclose(mine[2], want[2], rtol=0, atol=2e-9)
     with pytest.raises(Exception, match="one width"):
         vx.nearest(df := spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0, 4.0]), (3, [1.0] * 3)], "id int, v array<double>"), df, "id", "v", 1).collect()
+
+
+def test_groups_in_one_task_and_in_rounds_agree(spark):
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    name = r.permutation(400)
+    a, b = [*name[:30], *name[210:240], 900, 903], [*name[1:31], *r.permutation(name[210:240]), 900, 902]
+    nodes, labels = vx.groups(np.array(a), np.array(b))
+    top = {int(n): int(n) for n in {*a, *b}}
+    for _ in top:
+        for x, y in zip(a, b):
+            top[x] = top[y] = min(top[x], top[y])
+    assert dict(zip(nodes.tolist(), labels.tolist())) == top
+    e = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "src long, dst long")
+    for bound in (len(a), len(a) - 1):
+        assert {x.node: x.label for x in vx.propagate(e, bound=bound).collect()} == top
+    assert "MapInArrow" in vx.propagate(e)._jdf.queryExecution().optimizedPlan().toString()  # no rounds
+    assert vx.propagate(e.limit(0)).count() == 0
+    words = spark.createDataFrame([("b", "é"), ("z", "é"), ("a", "q"), (None, "q")], "src string, dst string")
+    assert {x.node: x.label for x in vx.propagate(words).collect()} == {"b": "b", "é": "b", "z": "b", "a": "a", "q": "a"}

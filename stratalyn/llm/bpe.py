@@ -6,9 +6,10 @@ neighbour to the left, already known, is compatible: a pair of tokens is compati
 first, never shows a pair across the boundary that would have merged earlier. Back-pointers give the exact ids, in time
 linear in the word.
 
-Work is done on blocks of texts: Arrow lower-cases and splits them and numbers their distinct words, numpy runs the
-dynamic programme over all words of a block at once, one prefix length at a time, and the ids of a text are gathered
-by the numbers of its words. Few or very long words go one by one, in time linear in the word.
+Work is done on blocks of texts: Arrow lower-cases and splits them and numbers their words as a table of known words
+does, numpy runs the dynamic programme over all new words at once, one prefix length at a time and once for words that
+begin alike, and the ids of a text are gathered by the numbers of its words; ``counts`` adds up their sizes instead. Few
+or very long words go one by one, in time linear in the word.
 
 The driver reads the vocabulary once and broadcasts it (1.7 MB); each Python worker builds the automaton once and keeps
 bounded tables of words and of pairs. Whole texts stream through mapInArrow; nothing is shuffled. A text of more than
@@ -33,7 +34,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +49,7 @@ KEPT_WORDS = 400_000
 KEPT_PAIRS = 1 << 20
 BLOCK = 4 << 20
 GROUP = 16_384  # words in one run of the dynamic programme
-FEW = 48  # fewer words go one by one
+FEW = 48  # fewer words, or pairs, go one by one
 #: Texts with anything but letters and signs for which NFC changes nothing and Arrow's lower case is the library's.
 _PLAIN = "".join(c for c in map(chr, [*range(0xA1, 0xAD), *range(0xAE, 0x250)]) if pc.utf8_lower(pa.scalar(c)).as_py() == c.lower())
 _ODD = "[^\\t\\n\\r\\x20-\\x7e" + _PLAIN + "]"
@@ -65,7 +65,7 @@ class _Map:
         self.put(keys, values)
 
     def _start(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) & self.mask
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) & self.mask
 
     def put(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Distinct keys that are not in the table yet."""
@@ -126,6 +126,16 @@ def _raw(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), o
 
 
+def _by_start(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """An order of words in which those that begin alike, in up to 16 bytes, stand together."""
+    key = np.zeros((len(starts), 16), np.uint8)
+    for i in range(16):
+        on = np.flatnonzero(sizes > i)
+        key[on, i] = raw[starts[on] + i]
+    key = key.view(">u8")
+    return np.lexsort((key[:, 1], key[:, 0]))
+
+
 class Tokenizer:
     def __init__(self, source: str):
         given = json.loads(source)
@@ -147,6 +157,7 @@ class Tokenizer:
         self._arrays()
         self._pattern = next(p["pattern"]["Regex"] for p in given["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._specials = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self._odd = "|".join([_ODD, *map(re.escape, self.special)])
         self._library = None
         self._forget()
         shown = [self.text.get(i, "") for i in range(size)]
@@ -169,7 +180,7 @@ class Tokenizer:
 
     def _forget(self) -> None:
         """An empty table of words: their ids one after the other, where each begins, and how many it has."""
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.ids, self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
@@ -316,7 +327,7 @@ class Tokenizer:
             self.n_pairs = _Map(np.zeros(0, np.int64), np.zeros(0, np.int8), max(KEPT_PAIRS, len(miss)))
         x, y, ok = miss >> 17, miss & 0x1FFFF, np.zeros(len(miss), np.int8)
         limit, left = np.full(len(miss), len(self.rank)), np.arange(len(miss))
-        while len(left):
+        while len(left) >= FEW:
             p, q = x[left], y[left]
             fine = self.n_merge.get(p << 17 | q, 1 << 40) >= limit[left]
             left, p, q = left[fine], p[fine], q[fine]
@@ -326,6 +337,7 @@ class Tokenizer:
             limit[left] = np.where(first, rp, rq + 1)
             x[left], y[left] = np.where(first, self.n_right[p], p), np.where(first, q, self.n_left[q])
             left = left[~done]
+        ok[left] = [self.compatible(k >> 17, k & 0x1FFFF) for k in miss[left].tolist()]
         self.n_pairs.put(miss, ok)
         return self.n_pairs.get(keys, 0) > 0
 
@@ -336,14 +348,19 @@ class Tokenizer:
         return self.n_whole[t] > 0
 
     def _encode_group(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, shortest first, and how many each has; ``symbols`` has a row a word."""
+        """Ids of words and how many each has; ``symbols`` has a row a word. What a word begins with like the row before it is looked at once."""
         words, longest = symbols.shape
-        last, state = np.zeros((words, longest), np.int32), np.zeros(words, np.int64)
-        begin = np.searchsorted(sizes, np.arange(longest), side="right")  # the words that go on at each place
+        same, fresh = symbols[1:] == symbols[:-1], np.zeros(words, np.int64)  # where each word leaves the one before
+        fresh[1:] = np.minimum(np.where(same.all(axis=1), longest, same.argmin(axis=1)), np.minimum(sizes[1:], sizes[:-1]))
+        last, state = np.zeros((longest, words), np.int32), np.zeros(words, np.int64)
         for i in range(longest):
-            k = int(begin[i])
-            state[k:] = at = self._next_state(state[k:].copy(), symbols[k:, i].astype(np.int64))
-            at, left = self.n_hit[at], np.arange(words - k)
+            own = np.flatnonzero((fresh <= i) & (sizes > i))
+            if not len(own):
+                continue
+            alike = np.diff(own, append=words)  # rows between one of these and the next are its equals so far, or at their end
+            found = self._next_state(state[own], symbols[own, i].astype(np.int64))
+            state[own[0] :] = np.repeat(found, alike)
+            at, left, tokens = self.n_hit[found], np.arange(len(own)), np.zeros(len(own), np.int32)
             while len(left):
                 t = self.n_token[at]
                 n = self.n_length[t]
@@ -351,12 +368,13 @@ class Tokenizer:
                 ok = np.empty(len(left), bool)
                 ok[head] = self._whole_tokens(t[head])
                 rest = np.flatnonzero(~head)
-                ok[rest] = self._compatible(last[k + left[rest], i - n[rest]].astype(np.int64), t[rest])
-                last[k + left[ok], i] = t[ok]
+                ok[rest] = self._compatible(last[i - n[rest], own[left[rest]]].astype(np.int64), t[rest])
+                tokens[left[ok]] = t[ok]
                 at, left = self.n_more[at[~ok]], left[~ok]
+            last[i, own[0] :] = np.repeat(tokens, alike)
         out, n, at, rows = np.zeros((words, longest), np.int32), np.zeros(words, np.int64), sizes - 1, np.arange(words)
         while len(rows):  # back-pointers
-            t = last[rows, at[rows]]
+            t = last[at[rows], rows]
             out[rows, n[rows]] = t
             n[rows] += 1
             at[rows] -= self.n_length[t]
@@ -374,24 +392,25 @@ class Tokenizer:
         order = np.argsort(sizes, kind="stable")
         order = order[int((~full).sum()) :]
         n, parts, owners = np.zeros(len(sizes), np.int64), [], []
-        for at in range(0, len(order), GROUP):
-            rows = order[at : at + GROUP]
-            own = sizes[rows]
-            lo = 0
-            while lo < len(rows):  # a run's places stay in proportion to its signs
-                hi = int(np.searchsorted(own, max(16, 2 * own[lo]), side="right"))
-                mine, size = rows[lo:hi], own[lo:hi]
-                if len(mine) < FEW:
-                    each = [self.encode_symbols(signs[offsets[r] : offsets[r + 1]].tolist()) for r in mine.tolist()]
-                    n[mine] = [len(x) for x in each]
-                    parts += [np.array(x, np.int32) for x in each]
-                else:
-                    matrix = np.zeros((len(mine), int(size[-1])), np.int32)
-                    matrix[np.arange(int(size[-1])) < size[:, None]] = signs[spread(offsets[mine], size)]
-                    ids, n[mine] = self._encode_group(matrix, size)
+        own, lo = sizes[order], 0
+        while lo < len(order):  # a run's places stay in proportion to its signs
+            hi = int(np.searchsorted(own, max(16, 2 * own[lo]), side="right"))
+            mine = order[lo:hi]
+            if len(mine) < FEW:
+                each = [self.encode_symbols(signs[offsets[r] : offsets[r + 1]].tolist()) for r in mine.tolist()]
+                n[mine] = [len(x) for x in each]
+                parts += [np.array(x, np.int32) for x in each]
+            else:
+                mine = mine[_by_start(raw, offsets[mine], sizes[mine])]
+                for at in range(0, len(mine), GROUP):
+                    rows = mine[at : at + GROUP]
+                    size = sizes[rows]
+                    matrix = np.zeros((len(rows), int(size.max())), np.int32)
+                    matrix[np.arange(matrix.shape[1]) < size[:, None]] = signs[spread(offsets[rows], size)]
+                    ids, n[rows] = self._encode_group(matrix, size)
                     parts.append(ids)
-                owners.append(mine)
-                lo = hi
+            owners.append(mine)
+            lo = hi
         ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         begin = np.zeros(len(sizes), np.int64)
         placed = np.concatenate(owners) if owners else np.zeros(0, np.int64)
@@ -430,27 +449,33 @@ class Tokenizer:
         return self.encode_symbols([*(s[0] for s in signs[:-1]), signs[-1][1]])
 
     def _numbers(self, words: pa.Array) -> np.ndarray:
-        """The number of each distinct word in the table of words, which learns those it lacks."""
-        shown = words.to_numpy(zero_copy_only=False).tolist()
-        found = np.array(list(map(self.known.get, shown, repeat(-1))), np.int64)
-        miss = np.flatnonzero(found < 0)
-        if len(miss) and len(self.known) and len(self.known) + len(miss) > KEPT_WORDS:
+        """The number of each word in the table of words, which learns those it lacks."""
+        held = len(self.known)
+        coded = pa.chunked_array([self.known, words]).dictionary_encode().chunks[-1]  # numbers go on from the table's own
+        table, each = coded.dictionary, coded.indices.to_numpy()
+        if held and len(table) > KEPT_WORDS:  # only the words at hand stay
+            here = np.zeros(len(table), bool)
+            here[each] = True
+            kept, each = np.flatnonzero(here), (np.cumsum(here) - 1)[each]
+            old, table = kept[kept < held], table.take(pa.array(kept))
+            ids, sizes, held = self.ids[spread(self.starts[old], self.sizes[old])], self.sizes[old], len(old)
             self._forget()
-            found[:], miss = -1, np.arange(len(words))
-        if not len(miss):
-            return found
-        ids, sizes = self._encode_words(words.take(pa.array(miss)))
-        first = len(self.known)
-        need, count = self.used + len(ids), first + len(miss)
+            self._learn(table.slice(0, held), ids, sizes)
+        if len(table) > held:
+            self._learn(table, *self._encode_words(table.slice(held)))
+        return each
+
+    def _learn(self, table: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """``table`` becomes the table of words; ``ids`` and ``sizes`` are those of its last words, which are new."""
+        count, need = len(table), self.used + len(ids)
+        first = count - len(sizes)
         if need > len(self.ids):
             self.ids = np.concatenate((self.ids[: self.used], np.zeros(2 * need - self.used, np.int32)))
         if count > len(self.starts):
             self.starts, self.sizes = (np.concatenate((x[:first], np.zeros(2 * count - first, np.int64))) for x in (self.starts, self.sizes))
         self.ids[self.used : need], self.sizes[first:count] = ids, sizes
         self.starts[first:count] = self.used + np.cumsum(sizes) - sizes
-        self.used, found[miss] = need, np.arange(first, count)
-        self.known.update(zip([shown[i] for i in miss.tolist()], range(first, count)))
-        return found
+        self.used, self.known = need, table
 
     def _chunks(self, text: str) -> list[str]:
         """What an odd text splits into: special tokens are found in the raw text, before lower case; other spellings are plain text."""
@@ -466,11 +491,9 @@ class Tokenizer:
                 out += ["\0" + w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(part)) if w]
         return out
 
-    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts, one after the other, and the bounds of each text among them."""
-        odd = pc.match_substring_regex(texts, _ODD)
-        for s in self.special:
-            odd = pc.or_(odd, pc.match_substring(texts, s))
+    def _located(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words of texts, one after the other, and the bounds of each text among them."""
+        odd = pc.match_substring_regex(texts, self._odd)
         strange = odd.to_numpy(zero_copy_only=False)
         split = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(pc.invert(odd)) if strange.any() else texts))
         words, counts = split.flatten(), np.zeros(len(texts), np.int64)
@@ -479,36 +502,52 @@ class Tokenizer:
             own = [self._chunks(x) for x in texts.filter(odd).to_pylist()]
             counts[strange] = [len(x) for x in own]
             words = pa.concat_arrays([words, pa.array([w for x in own for w in x], pa.string())])
-        coded = words.dictionary_encode()
-        each = self._numbers(coded.dictionary)[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        each = self._numbers(words) if len(words) else np.zeros(0, np.int64)
         if strange.any():  # words of odd texts stand after all others: put them in order
             lead = np.empty(len(texts), np.int64)
             for rows, base in ((np.flatnonzero(~strange), 0), (np.flatnonzero(strange), int(counts[~strange].sum()))):
                 lead[rows] = base + np.cumsum(counts[rows]) - counts[rows]
             each = each[spread(lead, counts)]
+        return each, np.concatenate(([0], np.cumsum(counts)))
+
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after the other, and the bounds of each text among them."""
+        each, bounds = self._located(texts)
         n = self.sizes[each]
-        bounds = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
-        return self.ids[spread(self.starts[each], n)], bounds
+        return self.ids[spread(self.starts[each], n)], np.concatenate(([0], np.cumsum(n)))[bounds]
 
-    def blocks(self, texts: pa.Array) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-        """Blocks of a column of texts: the rows, their ids and bounds. A row of several pieces occurs in several blocks."""
+    def _blocks(self, texts: pa.Array) -> Iterator[tuple[list[int], pa.Array]]:
+        """Blocks of a column of texts: the rows and their texts. A row of several pieces occurs in several blocks."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         size = np.diff(_raw(texts)[1])
         lo = 0
         while lo < len(texts):
             hi = max(lo + 1, int(np.searchsorted(np.cumsum(size[lo:]), BLOCK, side="right")) + lo)
             block = texts.slice(lo, hi - lo)
-            if size[lo] <= BLOCK or pc.any(pc.match_substring_regex(block, _ODD)).as_py() or any(pc.any(pc.match_substring(block, s)).as_py() for s in self.special):
-                yield list(range(lo, hi)), *self.encode_block(block)
+            if size[lo] <= BLOCK or pc.any(pc.match_substring_regex(block, self._odd)).as_py():
+                yield list(range(lo, hi)), block
             else:
                 raw, at = block[0].as_buffer().to_pybytes(), 0
                 while at < len(raw):
                     gap = _GAP.search(raw, at + BLOCK)
                     end = gap.start() if gap else len(raw)
-                    yield [lo], *self.encode_block(pa.array([raw[at:end].decode()]))
+                    yield [lo], pa.array([raw[at:end].decode()])
                     at = end
             lo = hi
 
+    def blocks(self, texts: pa.Array) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """The same with ids and their bounds in place of texts."""
+        for rows, block in self._blocks(texts):
+            yield rows, *self.encode_block(block)
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """How many ids every text has; the ids themselves are not put together."""
+        out = np.zeros(len(column), np.int64)
+        for rows, block in self._blocks(column):
+            each, bounds = self._located(block)
+            out[rows] += np.diff(np.concatenate(([0], np.cumsum(self.sizes[each])))[bounds])
+        return out
+
     def texts(self, column: pa.Array) -> Iterator[list[np.ndarray]]:
         """The ids of every text, as a list of pieces, in order."""
         row, held = -1, []

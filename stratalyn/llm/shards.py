@@ -8,7 +8,7 @@ slot, without a sort, a shuffle seed per run or a table of the order. Slots are
 ``PER_SHARD`` slots; a record stands at ``(slot - first slot of its shard) * stride``, so a reader resumes at any slot
 by one seek.
 
-Texts are encoded twice, once to count and once to deal: keeping the sequences between would store all ids a third time
+Texts are encoded twice, once to count, where no ids are put together, and once to deal: keeping the sequences between would store all ids a third time
 besides the shuffle and the shards. So the order of a given key follows the input's partitions: the same files, read in
 the same way, give the same order. A partition that yields another number of sequences than was counted raises an error,
 and so does a shard with a slot missing or twice; give a table, not the outcome of a shuffle, whose rows may come in
@@ -110,8 +110,7 @@ def count(docs: DataFrame, path: str, length: int = LENGTH) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, n = bpe.tokenizer(shared.value), 0
         for batch in batches:
-            for pieces in t.texts(batch.column(0)):
-                n += -(-sum(map(len, pieces)) // length)
+            n += int((-(-t.counts(batch.column(0)) // length)).sum())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
 
     return {r.part: r.n for r in docs.select(F.make_valid_utf8(F.col("text").cast("string"))).mapInArrow(run, "part int, n long").collect()}

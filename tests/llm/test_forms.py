@@ -82,6 +82,40 @@ def test_blocks_groups_and_single_words_give_the_same_ids(monkeypatch):
         assert [np.concatenate(x).tolist() for x in t.texts(pa.array(many + long))] == want
 
 
+@needs_vocabulary
+def test_counting_puts_no_ids_together(texts, monkeypatch):
+    t = bpe.Tokenizer(bpe.read_vocabulary(queries.VOCABULARY))
+    many = [*texts, None, "", "z" * 9_000 + " the" * 3_000, "日本 " * 3_000 + "<|endoftext|>"]
+    want = [len(t.encode(x)) for x in many]
+    monkeypatch.setattr(bpe, "BLOCK", 4096)
+    monkeypatch.setattr(bpe.Tokenizer, "encode_block", lambda *_: pytest.fail("ids were put together"))
+    assert t.counts(pa.array(many)).tolist() == want and t.counts(pa.array([], pa.string())).tolist() == []
+
+
+@needs_vocabulary
+def test_words_that_begin_alike_are_looked_at_once(monkeypatch):
+    t, r, looked = bpe.Tokenizer(bpe.read_vocabulary(queries.VOCABULARY)), random.Random(4), []
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 12))) for _ in range(3_000)})
+    r.shuffle(words)
+    given = bpe.Tokenizer._next_state
+    monkeypatch.setattr(bpe.Tokenizer, "_next_state", lambda self, at, s: looked.append(len(s)) or given(self, at, s))
+    assert [np.concatenate(x).tolist() for x in t.texts(pa.array(words))] == [t.encode_symbols([*(t._byte[b][0] for b in w[:-1].encode()), t._byte[ord(w[-1])][1]]) for w in words]
+    assert sum(looked) == len({w[:i] for w in words for i in range(1, len(w))}) + len(words)  # a word's end is a sign of its own
+
+
+@needs_vocabulary
+def test_a_full_table_keeps_the_words_at_hand(monkeypatch):
+    t, learnt = bpe.Tokenizer(bpe.read_vocabulary(queries.VOCABULARY)), []
+    first, second = "one two three four", "four five three six"
+    want = [t.encode(x) for x in (first, second, first)]
+    t._forget()
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 5)
+    given = bpe.Tokenizer._encode_words
+    monkeypatch.setattr(bpe.Tokenizer, "_encode_words", lambda self, words: learnt.append(sorted(words.to_pylist())) or given(self, words))
+    assert [t.encode(x) for x in (first, second, first)] == want
+    assert learnt == [["four", "one", "three", "two"], ["five", "six"], ["one", "two"]] and len(t.known) == 4
+
+
 @needs_vocabulary
 def test_encoding_keeps_columns_and_mends_bytes(spark, monkeypatch):
     docs = spark.sql("select 1 doc_id, 'the cat' text, 2 _text, 3 `_text_`, 4 TEXT_, 5 _ids union all select 2, cast(x'74686520ff636174' as string), 6, 7, 8, 9")
